@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+The reference reads closed files only and has no stream, watermark, window or
+state handling, so there is no streaming operator to rebuild. Every operator
+here is a plain DataFrame transformation and would run unchanged inside a
+``foreachBatch`` if an incremental refresh were ever wanted.
+"""
