@@ -209,3 +209,154 @@ SELECT order_id, customer_id, order_status,
        round(payment_value, 6) AS payment_value,
        CAST(payment_installments AS BIGINT) AS payment_installments, payment_type
 FROM master"""
+
+
+# --- features, imputation, encoding -------------------------------------------------
+
+BEH = """,
+beh AS (
+  SELECT *,
+    (epoch_us(order_delivered_customer_date) - epoch_us(order_estimated_delivery_date)) / 86400000000.0 AS delivery_delay_days,
+    coalesce((epoch_us(order_delivered_customer_date) - epoch_us(order_estimated_delivery_date)) > 0, false) AS is_late_delivery,
+    (epoch_us(order_delivered_customer_date) - epoch_us(order_purchase_timestamp)) / 86400000000.0 AS days_to_delivery,
+    CASE WHEN payment_value > 0 THEN total_freight / payment_value END AS freight_ratio,
+    coalesce(item_count = 1, false) AS is_single_item
+  FROM labelled),
+meds AS (
+  SELECT median(delivery_delay_days) AS m_delay, median(days_to_delivery) AS m_days,
+         median(review_score) AS m_rs, median(total_freight) AS m_tf,
+         median(payment_value) AS m_pv, median(payment_installments) AS m_pi
+  FROM beh),
+imp0 AS (
+  SELECT b.* REPLACE (
+    coalesce(delivery_delay_days, m_delay) AS delivery_delay_days,
+    coalesce(days_to_delivery, m_days) AS days_to_delivery,
+    coalesce(CAST(review_score AS DOUBLE), m_rs) AS review_score,
+    coalesce(freight_ratio, 0.0) AS freight_ratio,
+    coalesce(total_freight, m_tf) AS total_freight,
+    coalesce(payment_value, m_pv) AS payment_value,
+    coalesce(CAST(payment_installments AS DOUBLE), m_pi) AS payment_installments)
+  FROM beh b CROSS JOIN meds),
+imp AS (
+  SELECT * REPLACE (coalesce(delivery_delay_days > 0, false) AS is_late_delivery,
+                    coalesce(item_count = 1, false) AS is_single_item)
+  FROM imp0),
+topcat AS (
+  SELECT product_category_english AS lvl FROM labelled
+  WHERE product_category_english IS NOT NULL
+  GROUP BY product_category_english ORDER BY count(*) DESC, product_category_english LIMIT 15),
+grp AS (
+  SELECT *, CASE WHEN product_category_english IN (SELECT lvl FROM topcat)
+                 THEN product_category_english ELSE 'other' END AS product_category_grouped
+  FROM imp),
+lv AS (
+  SELECT src, lvl FROM (
+    SELECT src, lvl, row_number() OVER (PARTITION BY src ORDER BY lvl) AS rn FROM (
+      SELECT DISTINCT 'payment_type' AS src, payment_type AS lvl FROM grp WHERE payment_type IS NOT NULL
+      UNION ALL SELECT DISTINCT 'customer_state', customer_state FROM grp WHERE customer_state IS NOT NULL
+      UNION ALL SELECT DISTINCT 'product_category_grouped', product_category_grouped FROM grp))
+  WHERE rn > 1),
+dummies AS (
+  SELECT g.order_id, lv.src || '_' || lv.lvl AS feature,
+         CAST(coalesce(CASE lv.src WHEN 'payment_type' THEN g.payment_type
+                                   WHEN 'customer_state' THEN g.customer_state
+                                   ELSE g.product_category_grouped END = lv.lvl, false) AS DOUBLE) AS value
+  FROM grp g CROSS JOIN lv)
+"""
+
+
+def qb(final: str, months: int = MONTHS) -> str:
+    return base(months) + BEH + final
+
+
+def _oracle_b(name):
+    def deco(fn):
+        ORACLES[name] = qb(fn())
+        return fn
+    return deco
+
+
+@_oracle_b("behavioral_features")
+def _():
+    return """
+SELECT order_id, round(delivery_delay_days, 6) AS delivery_delay_days, is_late_delivery,
+       round(days_to_delivery, 6) AS days_to_delivery, round(freight_ratio, 6) AS freight_ratio,
+       is_single_item
+FROM beh"""
+
+
+@_oracle_b("impute_median")
+def _():
+    return """
+SELECT order_id, round(delivery_delay_days, 6) AS delivery_delay_days,
+       round(days_to_delivery, 6) AS days_to_delivery, round(review_score, 6) AS review_score,
+       round(freight_ratio, 6) AS freight_ratio, round(total_freight, 6) AS total_freight,
+       round(payment_value, 6) AS payment_value, round(payment_installments, 6) AS payment_installments,
+       is_late_delivery, is_single_item
+FROM imp"""
+
+
+BEH_COLUMNS = ("order_id customer_id order_status order_purchase_timestamp order_approved_at "
+               "order_delivered_carrier_date order_delivered_customer_date "
+               "order_estimated_delivery_date customer_unique_id customer_state customer_city "
+               "review_score review_comment_message item_count total_item_price total_freight "
+               "product_category_english payment_value payment_installments payment_type "
+               "orders_placed churned delivery_delay_days is_late_delivery days_to_delivery "
+               "freight_ratio is_single_item").split()
+
+
+@_oracle_b("null_audit")
+def _():
+    parts = [f"SELECT '{c}' AS column_name, count(*) FILTER (WHERE {c} IS NULL) AS null_count, "
+             f"round(count(*) FILTER (WHERE {c} IS NULL) / greatest(count(*), 1), 6) AS null_share FROM beh"
+             for c in BEH_COLUMNS]
+    return "\n" + "\nUNION ALL ".join(parts)
+
+
+SUMMARY = ("delivery_delay_days", "is_late_delivery", "days_to_delivery", "freight_ratio",
+           "is_single_item", "payment_installments", "review_score")
+
+
+@_oracle_b("feature_summary")
+def _():
+    parts = [f"SELECT '{c}' AS feature, round(avg(CAST({c} AS DOUBLE)), 6) AS mean, "
+             f"round(median(CAST({c} AS DOUBLE)), 6) AS median, "
+             f"count(*) FILTER (WHERE {c} IS NULL) AS null_count, "
+             f"round(count(*) FILTER (WHERE {c} IS NULL) / greatest(count(*), 1), 6) AS null_share FROM beh"
+             for c in SUMMARY]
+    return "\n" + "\nUNION ALL ".join(parts)
+
+
+@_oracle_b("top_categories")
+def _():
+    return """
+SELECT product_category_english AS level, count(*) AS n,
+       row_number() OVER (ORDER BY count(*) DESC, product_category_english) AS rank
+FROM labelled WHERE product_category_english IS NOT NULL
+GROUP BY product_category_english ORDER BY count(*) DESC, product_category_english LIMIT 15"""
+
+
+@_oracle_b("rare_level_group")
+def _():
+    return """
+SELECT order_id, product_category_grouped FROM grp"""
+
+
+@_oracle_b("one_hot")
+def _():
+    return """
+SELECT order_id, feature, value FROM dummies"""
+
+
+MATRIX_NUMERIC = ("review_score", "item_count", "total_freight", "payment_value",
+                  "payment_installments", "delivery_delay_days", "is_late_delivery",
+                  "days_to_delivery", "freight_ratio", "is_single_item")
+
+
+@_oracle_b("feature_matrix")
+def _():
+    parts = [f"SELECT order_id, '{c}' AS feature, round(CAST({c} AS DOUBLE), 6) AS value FROM grp"
+             for c in MATRIX_NUMERIC]
+    parts.append("SELECT order_id, 'label' AS feature, CAST(churned AS DOUBLE) AS value FROM grp")
+    parts.append("SELECT order_id, feature, value FROM dummies")
+    return "\n" + "\nUNION ALL ".join(parts)

@@ -83,3 +83,70 @@ def latest_review(spark, sf):
 def order_master_join(spark, sf):
     t = model_tables(spark, sf)
     return present(O.join_tables(t, payment_order=PAYMENT_ORDER))
+
+
+# --- features, imputation, encoding -------------------------------------------------
+
+from lapsewise.operators import encode as N  # noqa: E402
+from lapsewise.operators import features as FE  # noqa: E402
+
+
+def _beh(spark, sf):
+    return FE.add_behavioral_features(driver_frame(spark, sf))
+
+
+@query("behavioral_features")
+def behavioral_features(spark, sf):
+    return present(_beh(spark, sf).select("order_id", *FE.BEHAVIORAL_COLUMNS))
+
+
+IMPUTED_OUT = ("order_id", "delivery_delay_days", "days_to_delivery", "review_score",
+               "freight_ratio", "total_freight", "payment_value", "payment_installments",
+               "is_late_delivery", "is_single_item")
+
+
+@query("impute_median")
+def impute_median(spark, sf):
+    return present(FE.impute_missing_values(_beh(spark, sf)).select(*IMPUTED_OUT))
+
+
+@query("null_audit")
+def null_audit(spark, sf):
+    return present(FE.null_audit(_beh(spark, sf)))
+
+
+@query("feature_summary")
+def feature_summary(spark, sf):
+    return present(FE.feature_summary(_beh(spark, sf)))
+
+
+@query("top_categories")
+def top_categories(spark, sf):
+    return present(N.top_levels_df(driver_frame(spark, sf), N.CATEGORY, 15))
+
+
+@query("rare_level_group")
+def rare_level_group(spark, sf):
+    df = driver_frame(spark, sf)
+    return present(N.group_rare(df, N.CATEGORY, N.top_levels(df, N.CATEGORY, 15))
+                   .select("order_id", N.GROUPED))
+
+
+def _long(df, key, cols):
+    return df.unpivot([key], [F.col(f"`{c}`").cast("double").alias(c) for c in cols],
+                      "feature", "value")
+
+
+@query("one_hot")
+def one_hot(spark, sf):
+    df = driver_frame(spark, sf)
+    enc = N.encode_categoricals(df, 15)
+    dummies = [c for c in enc.columns if c.startswith(("payment_type_", "customer_state_",
+                                                       "product_category_grouped_"))]
+    return present(_long(enc.select("order_id", *dummies), "order_id", dummies))
+
+
+@query("feature_matrix")
+def feature_matrix(spark, sf):
+    fm, names = N.build_feature_matrix(driver_frame(spark, sf), 15)
+    return present(_long(fm, "order_id", names + ["label"]))
