@@ -360,3 +360,121 @@ def _():
     parts.append("SELECT order_id, 'label' AS feature, CAST(churned AS DOUBLE) AS value FROM grp")
     parts.append("SELECT order_id, feature, value FROM dummies")
     return "\n" + "\nUNION ALL ".join(parts)
+
+
+# --- exploratory aggregates ---------------------------------------------------------
+
+SEG = "CASE WHEN churned THEN 'Churned' ELSE 'Retained' END"
+
+
+def _hist_sql(src: str, value: str) -> str:
+    return f"""
+, d AS ({src}),
+rng AS (SELECT segment, count(*) AS total,
+               CASE WHEN max(v) > min(v) THEN min(v) ELSE min(v) - 0.5 END AS lo,
+               CASE WHEN max(v) > min(v) THEN max(v) ELSE max(v) + 0.5 END AS hi
+        FROM d GROUP BY segment),
+h AS (SELECT d.segment,
+             CAST(least(greatest(floor((v - lo) * 60.0 / (hi - lo)), 0), 59) AS BIGINT) AS bin,
+             count(*) AS n
+      FROM d JOIN rng ON d.segment = rng.segment GROUP BY 1, 2)
+SELECT h.segment, bin, round(lo + bin * ((hi - lo) / 60.0), 6) AS bin_lo,
+       round(lo + (bin + 1) * ((hi - lo) / 60.0), 6) AS bin_hi, n,
+       round(n / (total * ((hi - lo) / 60.0)), 6) AS density
+FROM h JOIN rng ON h.segment = rng.segment"""
+
+
+EXPLORE = {
+    "review_score_counts": """
+SELECT CAST(review_score AS BIGINT) AS review_score, count(*) AS n
+FROM labelled WHERE review_score IS NOT NULL GROUP BY review_score""",
+    "score_share_by_segment": f"""
+SELECT segment, review_score, n, round(n / sum(n) OVER (PARTITION BY segment), 6) AS proportion
+FROM (SELECT {SEG} AS segment, CAST(review_score AS BIGINT) AS review_score, count(*) AS n
+      FROM labelled WHERE review_score IS NOT NULL GROUP BY 1, 2)""",
+    "score_share_pivot": f"""
+SELECT review_score,
+       round(max(CASE WHEN segment = 'Churned' THEN p END), 6) AS "Churned",
+       round(max(CASE WHEN segment = 'Retained' THEN p END), 6) AS "Retained"
+FROM (SELECT segment, review_score, n / sum(n) OVER (PARTITION BY segment) AS p
+      FROM (SELECT {SEG} AS segment, CAST(review_score AS BIGINT) AS review_score, count(*) AS n
+            FROM labelled WHERE review_score IS NOT NULL GROUP BY 1, 2))
+GROUP BY review_score""",
+    "punctuality": """
+SELECT count(*) AS delivered_rows, count(delivery_delay_days) AS rows_with_delay,
+       CAST(sum(CAST(coalesce(delivery_delay_days > 0, false) AS INTEGER)) AS BIGINT) AS late_n,
+       round(avg(CAST(coalesce(delivery_delay_days > 0, false) AS INTEGER)), 6) AS late_share,
+       CAST(sum(CAST(coalesce(delivery_delay_days <= 0, false) AS INTEGER)) AS BIGINT) AS early_n,
+       round(avg(CAST(coalesce(delivery_delay_days <= 0, false) AS INTEGER)), 6) AS early_share
+FROM beh WHERE order_status = 'F'""",
+    "median_delay_by_segment": f"""
+SELECT {SEG} AS segment, round(median(delivery_delay_days), 6) AS median_delivery_delay_days
+FROM beh WHERE order_status = 'F' AND delivery_delay_days IS NOT NULL GROUP BY 1""",
+    "delay_histogram": _hist_sql(
+        f"SELECT {SEG} AS segment, greatest(least(delivery_delay_days, 60), -30) AS v FROM beh "
+        "WHERE order_status = 'F' AND delivery_delay_days IS NOT NULL", "v"),
+    "describe_by_segment": f"""
+SELECT {SEG} AS segment, count(payment_value) AS count, round(avg(payment_value), 6) AS mean,
+       round(stddev_samp(payment_value), 6) AS std, round(min(payment_value), 6) AS min,
+       round(quantile_cont(payment_value, 0.25), 6) AS p25,
+       round(quantile_cont(payment_value, 0.5), 6) AS p50,
+       round(quantile_cont(payment_value, 0.75), 6) AS p75, round(max(payment_value), 6) AS max
+FROM labelled GROUP BY 1""",
+    "clip_quantile": f"""
+SELECT order_id, l.segment, round(greatest(least(payment_value, cap), 0.0), 6) AS payment_value
+FROM (SELECT *, {SEG} AS segment FROM labelled WHERE payment_value IS NOT NULL) l
+JOIN (SELECT {SEG} AS segment, quantile_cont(payment_value, 0.99) AS cap
+      FROM labelled WHERE payment_value IS NOT NULL GROUP BY 1) c ON l.segment = c.segment""",
+    "payment_histogram": _hist_sql(f"""
+SELECT l.segment, greatest(least(payment_value, cap), 0.0) AS v
+FROM (SELECT *, {SEG} AS segment FROM labelled WHERE payment_value IS NOT NULL) l
+JOIN (SELECT {SEG} AS segment, quantile_cont(payment_value, 0.99) AS cap
+      FROM labelled WHERE payment_value IS NOT NULL GROUP BY 1) c ON l.segment = c.segment""", "v"),
+    "customer_first_order": """
+SELECT customer_unique_id, order_id, customer_state FROM (
+  SELECT *, row_number() OVER (PARTITION BY customer_unique_id ORDER BY
+           (order_purchase_timestamp IS NULL), order_purchase_timestamp, order_id) AS rn
+  FROM labelled) WHERE rn = 1""",
+    "state_churn": """
+SELECT customer_state, count(customer_unique_id) AS total_customers,
+       CAST(sum(CAST(churned AS INTEGER)) AS BIGINT) AS churned_customers,
+       round(sum(CAST(churned AS INTEGER)) / count(customer_unique_id), 6) AS churn_rate
+FROM (SELECT * FROM (
+  SELECT *, row_number() OVER (PARTITION BY customer_unique_id ORDER BY
+           (order_purchase_timestamp IS NULL), order_purchase_timestamp, order_id) AS rn
+  FROM labelled) WHERE rn = 1)
+GROUP BY customer_state""",
+    "state_churn_topk": """
+SELECT * FROM (
+SELECT customer_state, count(customer_unique_id) AS total_customers,
+       CAST(sum(CAST(churned AS INTEGER)) AS BIGINT) AS churned_customers,
+       round(sum(CAST(churned AS INTEGER)) / count(customer_unique_id), 6) AS churn_rate
+FROM (SELECT * FROM (
+  SELECT *, row_number() OVER (PARTITION BY customer_unique_id ORDER BY
+           (order_purchase_timestamp IS NULL), order_purchase_timestamp, order_id) AS rn
+  FROM labelled) WHERE rn = 1)
+GROUP BY customer_state)
+WHERE total_customers >= 100 ORDER BY churn_rate DESC, customer_state LIMIT 10""",
+    "category_churn": """
+SELECT product_category_english AS category, round(avg(CAST(churned AS DOUBLE)), 6) AS churn_rate,
+       count(churned) AS order_count
+FROM labelled WHERE product_category_english IN (SELECT lvl FROM topcat)
+GROUP BY product_category_english""",
+    "text_coverage": """
+SELECT count(*) AS rows,
+       CAST(sum(CAST(coalesce(regexp_matches(review_comment_message, '\\S'), false) AS INTEGER)) AS BIGINT) AS with_text,
+       round(avg(CAST(coalesce(regexp_matches(review_comment_message, '\\S'), false) AS INTEGER)), 6) AS text_share,
+       CAST(sum(1 - CAST(coalesce(regexp_matches(review_comment_message, '\\S'), false) AS INTEGER)) AS BIGINT) AS without_text
+FROM labelled""",
+    "comment_rate_by_segment": f"""
+SELECT {SEG} AS segment,
+       round(avg(CAST(coalesce(regexp_matches(review_comment_message, '\\S'), false) AS DOUBLE)), 6) AS comment_rate
+FROM labelled GROUP BY 1""",
+    "distinct_levels": """
+SELECT 'payment_type' AS column_name, count(DISTINCT payment_type) AS levels FROM labelled
+UNION ALL SELECT 'customer_state', count(DISTINCT customer_state) FROM labelled
+UNION ALL SELECT 'product_category_english', count(DISTINCT product_category_english) FROM labelled""",
+}
+
+for _name, _final in EXPLORE.items():
+    ORACLES[_name] = qb(_final)

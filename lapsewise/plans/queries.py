@@ -150,3 +150,101 @@ def one_hot(spark, sf):
 def feature_matrix(spark, sf):
     fm, names = N.build_feature_matrix(driver_frame(spark, sf), 15)
     return present(_long(fm, "order_id", names + ["label"]))
+
+
+# --- exploratory aggregates ---------------------------------------------------------
+
+from lapsewise.operators import explore as X  # noqa: E402
+from lapsewise.functions.exprs import non_blank  # noqa: E402
+
+# The driver orders carry TPC-H statuses; 'F' (fulfilled) plays "delivered".
+DELIVERED = "F"
+
+
+@query("review_score_counts")
+def review_score_counts(spark, sf):
+    return present(X.value_counts(driver_frame(spark, sf), "review_score"))
+
+
+@query("score_share_by_segment")
+def score_share_by_segment(spark, sf):
+    return present(X.score_share_by_segment(driver_frame(spark, sf)))
+
+
+@query("score_share_pivot")
+def score_share_pivot(spark, sf):
+    return present(X.score_share_pivot(driver_frame(spark, sf)))
+
+
+@query("punctuality")
+def punctuality(spark, sf):
+    return present(X.punctuality(_beh(spark, sf), status=DELIVERED))
+
+
+@query("median_delay_by_segment")
+def median_delay_by_segment(spark, sf):
+    d = _beh(spark, sf).where(F.col("order_status") == DELIVERED)
+    return present(X.median_by_segment(d, "delivery_delay_days"))
+
+
+@query("delay_histogram")
+def delay_histogram(spark, sf):
+    d = X.with_segment(_beh(spark, sf).where(F.col("order_status") == DELIVERED))
+    d = X.clip_range(d.na.drop(subset=["delivery_delay_days"]), "delivery_delay_days", -30, 60)
+    return present(X.histogram(d, "delivery_delay_days"))
+
+
+@query("describe_by_segment")
+def describe_by_segment(spark, sf):
+    return present(X.describe_by_segment(driver_frame(spark, sf), "payment_value"))
+
+
+@query("clip_quantile")
+def clip_quantile(spark, sf):
+    d = X.with_segment(driver_frame(spark, sf))
+    return present(X.clip_to_group_quantile(d, "payment_value", 0.99)
+                   .select("order_id", X.SEGMENT, "payment_value"))
+
+
+@query("payment_histogram")
+def payment_histogram(spark, sf):
+    d = X.clip_to_group_quantile(X.with_segment(driver_frame(spark, sf)), "payment_value", 0.99)
+    return present(X.histogram(d, "payment_value"))
+
+
+@query("customer_first_order")
+def customer_first_order(spark, sf):
+    return present(X.customer_first_order(driver_frame(spark, sf))
+                   .select("customer_unique_id", "order_id", "customer_state"))
+
+
+@query("state_churn")
+def state_churn(spark, sf):
+    return present(X.state_churn(driver_frame(spark, sf)))
+
+
+@query("state_churn_topk")
+def state_churn_topk(spark, sf):
+    return present(X.state_churn_topk(driver_frame(spark, sf), 100, 10))
+
+
+@query("category_churn")
+def category_churn(spark, sf):
+    df = driver_frame(spark, sf)
+    return present(X.category_churn(df, N.top_levels(df, N.CATEGORY, 15)))
+
+
+@query("text_coverage")
+def text_coverage(spark, sf):
+    return present(X.text_coverage(driver_frame(spark, sf)))
+
+
+@query("comment_rate_by_segment")
+def comment_rate_by_segment(spark, sf):
+    return present(X.rate_by_segment(driver_frame(spark, sf),
+                                     non_blank("review_comment_message"), "comment_rate"))
+
+
+@query("distinct_levels")
+def distinct_levels(spark, sf):
+    return present(X.distinct_levels(driver_frame(spark, sf)))
