@@ -478,3 +478,203 @@ UNION ALL SELECT 'product_category_english', count(DISTINCT product_category_eng
 
 for _name, _final in EXPLORE.items():
     ORACLES[_name] = qb(_final)
+
+
+# --- review text -------------------------------------------------------------------
+# The lexicon tables below are generated from lapsewise.operators.text (same values).
+
+TEXT = """,
+lex(word, p, s) AS (VALUES
+  ('good', 0.7, 0.6),
+  ('great', 0.8, 0.75),
+  ('excellent', 1.0, 1.0),
+  ('best', 1.0, 0.3),
+  ('perfect', 1.0, 1.0),
+  ('love', 0.5, 0.6),
+  ('happy', 0.8, 1.0),
+  ('nice', 0.6, 1.0),
+  ('fast', 0.2, 0.6),
+  ('quick', 0.33, 0.5),
+  ('recommend', 0.4, 0.5),
+  ('satisfied', 0.5, 1.0),
+  ('beautiful', 0.85, 1.0),
+  ('easy', 0.43, 0.83),
+  ('thanks', 0.2, 0.2),
+  ('ok', 0.5, 0.5),
+  ('bad', -0.7, 0.67),
+  ('poor', -0.4, 0.6),
+  ('terrible', -1.0, 1.0),
+  ('awful', -1.0, 1.0),
+  ('horrible', -1.0, 1.0),
+  ('worst', -1.0, 1.0),
+  ('worthless', -0.8, 0.9),
+  ('stupid', -0.8, 1.0),
+  ('idiot', -0.8, 1.0),
+  ('disgusting', -1.0, 1.0),
+  ('broken', -0.4, 0.4),
+  ('damaged', -0.5, 0.5),
+  ('late', -0.3, 0.6),
+  ('slow', -0.3, 0.4),
+  ('wrong', -0.5, 0.9),
+  ('never', -0.1, 0.3),
+  ('missing', -0.2, 0.05),
+  ('angry', -0.5, 1.0),
+  ('disappointed', -0.75, 0.75),
+  ('useless', -0.5, 0.2),
+  ('cheap', 0.1, 0.2),
+  ('bom', 0.7, 0.6),
+  ('boa', 0.7, 0.6),
+  ('otimo', 0.8, 0.75),
+  ('ótimo', 0.8, 0.75),
+  ('excelente', 1.0, 1.0),
+  ('perfeito', 1.0, 1.0),
+  ('recomendo', 0.4, 0.5),
+  ('ruim', -0.7, 0.67),
+  ('péssimo', -1.0, 1.0),
+  ('pessimo', -1.0, 1.0),
+  ('horrível', -1.0, 1.0),
+  ('atrasado', -0.3, 0.6),
+  ('quebrado', -0.4, 0.4),
+  ('bueno', 0.7, 0.6),
+  ('malo', -0.7, 0.67),
+  ('bien', 0.5, 0.5),
+  ('mal', -0.5, 0.6),
+  ('bon', 0.7, 0.6),
+  ('mauvais', -0.7, 0.67),
+  ('gut', 0.7, 0.6),
+  ('schlecht', -0.7, 0.67)),
+inten(word, m) AS (VALUES ('very', 1.3), ('really', 1.3), ('extremely', 1.5), ('so', 1.2), ('too', 1.2), ('quite', 1.1), ('muito', 1.3), ('muy', 1.3), ('très', 1.3), ('sehr', 1.3)),
+negs(word) AS (VALUES ('not'), ('no'), ('never'), ('don''t'), ('isn''t'), ('wasn''t'), ('não'), ('nao'), ('nunca'), ('nem'), ('pas'), ('nicht'), ('kein'), ('keine')),
+theme_terms(theme, term) AS (VALUES
+  ('delivery_delay', 'late'),
+  ('delivery_delay', 'delay'),
+  ('delivery_delay', 'delayed'),
+  ('delivery_delay', 'slow'),
+  ('delivery_delay', 'waiting'),
+  ('delivery_delay', 'wait'),
+  ('delivery_delay', 'atraso'),
+  ('delivery_delay', 'atrasado'),
+  ('delivery_delay', 'demorou'),
+  ('delivery_delay', 'prazo'),
+  ('product_quality', 'broken'),
+  ('product_quality', 'damaged'),
+  ('product_quality', 'defective'),
+  ('product_quality', 'poor'),
+  ('product_quality', 'worthless'),
+  ('product_quality', 'useless'),
+  ('product_quality', 'quebrado'),
+  ('product_quality', 'defeito'),
+  ('product_quality', 'ruim'),
+  ('wrong_or_missing_item', 'wrong'),
+  ('wrong_or_missing_item', 'different'),
+  ('wrong_or_missing_item', 'missing'),
+  ('wrong_or_missing_item', 'incomplete'),
+  ('wrong_or_missing_item', 'errado'),
+  ('wrong_or_missing_item', 'diferente'),
+  ('wrong_or_missing_item', 'faltando'),
+  ('seller_service', 'support'),
+  ('seller_service', 'service'),
+  ('seller_service', 'contact'),
+  ('seller_service', 'response'),
+  ('seller_service', 'refund'),
+  ('seller_service', 'atendimento'),
+  ('seller_service', 'resposta'),
+  ('seller_service', 'reembolso'),
+  ('hostile_experience', 'stupid'),
+  ('hostile_experience', 'idiot'),
+  ('hostile_experience', 'disgusting'),
+  ('hostile_experience', 'awful'),
+  ('hostile_experience', 'terrible'),
+  ('hostile_experience', 'horrible'),
+  ('hostile_experience', 'worst'),
+  ('hostile_experience', 'péssimo'),
+  ('hostile_experience', 'horrível')),
+src AS (
+  SELECT order_id AS k, review_comment_message AS txt FROM labelled
+  WHERE coalesce(regexp_matches(review_comment_message, '\\S'), false)),
+tk AS (
+  SELECT k, unnest(toks) AS t, generate_subscripts(toks, 1) AS i
+  FROM (SELECT k, regexp_extract_all(lower(txt), '[\\pL'']+') AS toks FROM src)),
+tk2 AS (
+  SELECT k, i, t, lag(t, 1) OVER w AS p1, lag(t, 2) OVER w AS p2
+  FROM tk WINDOW w AS (PARTITION BY k ORDER BY i)),
+sc AS (
+  SELECT k,
+    greatest(least(l.p * coalesce(n.m, 1.0)
+      * CASE WHEN coalesce(tk2.p1 IN (SELECT word FROM negs), false)
+               OR coalesce(tk2.p2 IN (SELECT word FROM negs), false) THEN -0.5 ELSE 1.0 END,
+      1.0), -1.0) AS p,
+    greatest(least(l.s * coalesce(n.m, 1.0), 1.0), 0.0) AS s
+  FROM tk2 JOIN lex l ON tk2.t = l.word LEFT JOIN inten n ON tk2.p1 = n.word),
+sagg AS (SELECT k, avg(p) AS pol, avg(s) AS subj FROM sc GROUP BY k),
+sent AS (
+  SELECT lb.*, coalesce(regexp_matches(review_comment_message, '\\S'), false) AS has_review_text,
+         coalesce(a.pol, 0.0) AS sentiment_polarity, coalesce(a.subj, 0.0) AS sentiment_subjectivity
+  FROM labelled lb LEFT JOIN sagg a ON lb.order_id = a.k),
+oc AS (
+  SELECT o.order_id, c.customer_unique_id FROM m_orders o JOIN m_customers c ON o.customer_id = c.customer_id),
+one_order AS (SELECT customer_unique_id FROM oc GROUP BY customer_unique_id HAVING count(order_id) = 1),
+neg AS (
+  SELECT r.review_id, oc.order_id, oc.customer_unique_id, r.review_score, r.review_comment_message
+  FROM oc JOIN m_reviews r ON oc.order_id = r.order_id
+  WHERE oc.customer_unique_id IN (SELECT customer_unique_id FROM one_order)
+    AND r.review_comment_message IS NOT NULL AND r.review_score <= 3)
+"""
+
+
+def qt(final: str, months: int = MONTHS) -> str:
+    return base(months) + BEH + TEXT + final
+
+
+_HASH = "md5('42:' || CAST({k} AS VARCHAR))"
+
+TEXT_Q = {
+    "sentiment_scores": """
+SELECT order_id, has_review_text, round(sentiment_polarity, 6) AS sentiment_polarity,
+       round(sentiment_subjectivity, 6) AS sentiment_subjectivity FROM sent""",
+    "sentiment_by_segment": f"""
+SELECT {SEG} AS segment,
+       round(avg(CASE WHEN has_review_text THEN sentiment_polarity END), 6) AS polarity_text_rows,
+       round(avg(sentiment_polarity), 6) AS polarity_all_rows,
+       round(avg(CAST(has_review_text AS DOUBLE)), 6) AS text_rate
+FROM sent GROUP BY 1""",
+    "sentiment_describe": """
+SELECT 'sentiment_polarity' AS feature, count(sentiment_polarity) AS count,
+       round(avg(sentiment_polarity), 6) AS mean, round(stddev_samp(sentiment_polarity), 6) AS std,
+       round(min(sentiment_polarity), 6) AS min, round(quantile_cont(sentiment_polarity, 0.25), 6) AS p25,
+       round(quantile_cont(sentiment_polarity, 0.5), 6) AS p50,
+       round(quantile_cont(sentiment_polarity, 0.75), 6) AS p75, round(max(sentiment_polarity), 6) AS max
+FROM sent
+UNION ALL
+SELECT 'sentiment_subjectivity', count(sentiment_subjectivity),
+       round(avg(sentiment_subjectivity), 6), round(stddev_samp(sentiment_subjectivity), 6),
+       round(min(sentiment_subjectivity), 6), round(quantile_cont(sentiment_subjectivity, 0.25), 6),
+       round(quantile_cont(sentiment_subjectivity, 0.5), 6),
+       round(quantile_cont(sentiment_subjectivity, 0.75), 6), round(max(sentiment_subjectivity), 6)
+FROM sent""",
+    "review_sample": f"""
+SELECT order_id, CAST(review_score AS BIGINT) AS review_score, review_comment_message
+FROM labelled
+WHERE churned AND review_score <= 3 AND coalesce(regexp_matches(review_comment_message, '\\S'), false)
+ORDER BY {_HASH.format(k="order_id")}, order_id LIMIT 50""",
+    "negative_churned_reviews": """
+SELECT review_id, order_id, customer_unique_id, CAST(review_score AS BIGINT) AS review_score FROM neg""",
+    "negative_review_sample": f"""
+SELECT review_id, order_id, CAST(review_score AS BIGINT) AS review_score, review_comment_message
+FROM neg ORDER BY {_HASH.format(k="review_id")}, review_id LIMIT 50""",
+    "theme_counts": """
+SELECT theme, reviews_with_theme, representative_id, representative_hits,
+       round(reviews_with_theme / (SELECT count(*) FROM neg), 6) AS share
+FROM (
+  SELECT theme, count(*) AS reviews_with_theme,
+         arg_min(review_id, (-hits, review_id)) AS representative_id, max(hits) AS representative_hits
+  FROM (SELECT tt.theme, d.review_id, count(*) AS hits
+        FROM (SELECT DISTINCT review_id, unnest(regexp_extract_all(lower(review_comment_message), '[\\pL'']+')) AS term
+              FROM neg) d
+        JOIN theme_terms tt ON d.term = tt.term
+        GROUP BY tt.theme, d.review_id)
+  GROUP BY theme)""",
+}
+
+for _name, _final in TEXT_Q.items():
+    ORACLES[_name] = qt(_final)

@@ -248,3 +248,72 @@ def comment_rate_by_segment(spark, sf):
 @query("distinct_levels")
 def distinct_levels(spark, sf):
     return present(X.distinct_levels(driver_frame(spark, sf)))
+
+
+# --- review text -------------------------------------------------------------------
+
+from lapsewise.operators import text as TX  # noqa: E402
+
+
+def _sent(spark, sf):
+    return TX.add_sentiment_features(driver_frame(spark, sf))
+
+
+@query("sentiment_scores")
+def sentiment_scores(spark, sf):
+    return present(_sent(spark, sf).select("order_id", "has_review_text", "sentiment_polarity",
+                                           "sentiment_subjectivity"))
+
+
+@query("sentiment_by_segment")
+def sentiment_by_segment(spark, sf):
+    d = X.with_segment(_sent(spark, sf))
+    return present(d.groupBy(X.SEGMENT).agg(
+        F.avg(F.when(F.col("has_review_text"), F.col("sentiment_polarity")))
+        .alias("polarity_text_rows"),
+        F.avg("sentiment_polarity").alias("polarity_all_rows"),
+        F.avg(F.col("has_review_text").cast("double")).alias("text_rate")))
+
+
+@query("sentiment_describe")
+def sentiment_describe(spark, sf):
+    from lapsewise.operators.stats import exact_quantiles_long
+    d = _sent(spark, sf)
+    cols = ["sentiment_polarity", "sentiment_subjectivity"]
+    pairs = [F.struct(F.lit(c).alias("name"), F.col(c).alias("x")) for c in cols]
+    long = d.select(F.explode(F.array(*pairs)).alias("p")).select("p.*")
+    base = long.groupBy("name").agg(F.count("x").alias("count"), F.avg("x").alias("mean"),
+                                    F.stddev_samp("x").alias("std"), F.min("x").alias("min"),
+                                    F.max("x").alias("max"))
+    for q, nm in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75")):
+        base = base.join(exact_quantiles_long(d, cols, q).withColumnRenamed("value", nm), "name")
+    return present(base.select(F.col("name").alias("feature"), "count", "mean", "std", "min",
+                               "p25", "p50", "p75", "max"))
+
+
+@query("review_sample")
+def review_sample(spark, sf):
+    return present(TX.review_sample(driver_frame(spark, sf), 50, 3, 42)
+                   .select("order_id", "review_score", "review_comment_message"))
+
+
+def _neg(spark, sf):
+    t = model_tables(spark, sf)
+    return TX.negative_churned_reviews(t["orders"], t["customers"], t["order_reviews"], 3)
+
+
+@query("negative_churned_reviews")
+def negative_churned_reviews(spark, sf):
+    return present(_neg(spark, sf).select("review_id", "order_id", "customer_unique_id",
+                                          "review_score"))
+
+
+@query("negative_review_sample")
+def negative_review_sample(spark, sf):
+    return present(TX.seeded_sample(_neg(spark, sf), 50, "review_id", 42)
+                   .select("review_id", "order_id", "review_score", "review_comment_message"))
+
+
+@query("theme_counts")
+def theme_counts(spark, sf):
+    return present(TX.theme_counts(_neg(spark, sf)))
