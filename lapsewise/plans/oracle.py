@@ -678,3 +678,186 @@ FROM (
 
 for _name, _final in TEXT_Q.items():
     ORACLES[_name] = qt(_final)
+
+
+# --- split, metrics, thresholds, business ------------------------------------------
+
+SCORE = """,
+lab AS (SELECT order_id, customer_unique_id, CAST(churned AS INTEGER) AS label, item_count FROM labelled),
+sp AS (
+  SELECT *, CASE WHEN row_number() OVER (PARTITION BY label ORDER BY md5('42:' || CAST(order_id AS VARCHAR)), order_id)
+                      <= ceil(count(*) OVER (PARTITION BY label) * CAST(0.2 AS DOUBLE))
+                 THEN 'test' ELSE 'train' END AS fold
+  FROM lab),
+scored AS (
+  SELECT *, (CAST(CAST(('0x' || substr(md5('7:' || CAST(order_id AS VARCHAR)), 1, 2)) AS BIGINT) AS DOUBLE)
+             + CAST(100.0 AS DOUBLE) * CAST(coalesce(item_count = 1, false) AS INTEGER)) / CAST(355.0 AS DOUBLE) AS p_churn
+  FROM sp),
+test AS (SELECT * FROM scored WHERE fold = 'test'),
+cnts AS (
+  SELECT p_churn AS s, count(*) FILTER (WHERE label = 1) AS pos, count(*) FILTER (WHERE label <> 1) AS neg
+  FROM test GROUP BY p_churn),
+roc AS (
+  SELECT s, pos, neg,
+         sum(pos) OVER (ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cp,
+         sum(neg) OVER (ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cn,
+         sum(pos) OVER () AS P, sum(neg) OVER () AS N
+  FROM cnts),
+auc AS (
+  SELECT CASE WHEN max(P) > 0 AND max(N) > 0
+              THEN sum(pos * (N - cn + CAST(0.5 AS DOUBLE) * neg)) / (max(P) * max(N)) END AS roc_auc
+  FROM roc),
+roc_pts AS (
+  SELECT s AS threshold, CASE WHEN N <> 0 THEN cn / N ELSE 0.0 END AS fpr,
+         CASE WHEN P <> 0 THEN cp / P ELSE 0.0 END AS tpr FROM roc
+  UNION ALL SELECT CAST('inf' AS DOUBLE), 0.0, 0.0),
+youden AS (
+  SELECT threshold, fpr, tpr, tpr - fpr AS j FROM roc_pts ORDER BY j DESC, threshold DESC LIMIT 1),
+rcnts AS (
+  SELECT CAST(1.0 AS DOUBLE) - p_churn AS s, count(*) FILTER (WHERE label = 0) AS pos,
+         count(*) FILTER (WHERE label <> 0) AS neg
+  FROM test GROUP BY 1),
+pr AS (
+  SELECT s AS threshold,
+         CASE WHEN cp + cn <> 0 THEN cp / (cp + cn) ELSE 0.0 END AS precision,
+         CASE WHEN P > 0 THEN cp / P ELSE 1.0 END AS recall
+  FROM (SELECT s, sum(pos) OVER (ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cp,
+               sum(neg) OVER (ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cn,
+               sum(pos) OVER () AS P FROM rcnts)),
+pr_f1 AS (
+  SELECT *, CASE WHEN precision + recall <> 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1
+  FROM pr),
+grid(j, threshold) AS (VALUES (0, '0.05'::DOUBLE), (1, '0.060000000000000005'::DOUBLE), (2, '0.07'::DOUBLE), (3, '0.08000000000000002'::DOUBLE), (4, '0.09000000000000001'::DOUBLE), (5, '0.1'::DOUBLE), (6, '0.11000000000000001'::DOUBLE), (7, '0.12000000000000001'::DOUBLE), (8, '0.13'::DOUBLE), (9, '0.14'::DOUBLE), (10, '0.15000000000000002'::DOUBLE), (11, '0.16000000000000003'::DOUBLE), (12, '0.17000000000000004'::DOUBLE), (13, '0.18000000000000005'::DOUBLE), (14, '0.19'::DOUBLE), (15, '0.2'::DOUBLE), (16, '0.21000000000000002'::DOUBLE), (17, '0.22000000000000003'::DOUBLE), (18, '0.23000000000000004'::DOUBLE), (19, '0.24000000000000005'::DOUBLE), (20, '0.25000000000000006'::DOUBLE), (21, '0.26000000000000006'::DOUBLE), (22, '0.27'::DOUBLE), (23, '0.28'::DOUBLE), (24, '0.29000000000000004'::DOUBLE), (25, '0.30000000000000004'::DOUBLE), (26, '0.31000000000000005'::DOUBLE), (27, '0.32000000000000006'::DOUBLE), (28, '0.33'::DOUBLE), (29, '0.34'::DOUBLE), (30, '0.35000000000000003'::DOUBLE), (31, '0.36000000000000004'::DOUBLE), (32, '0.37000000000000005'::DOUBLE), (33, '0.38000000000000006'::DOUBLE), (34, '0.39000000000000007'::DOUBLE), (35, '0.4000000000000001'::DOUBLE), (36, '0.4100000000000001'::DOUBLE), (37, '0.42000000000000004'::DOUBLE), (38, '0.43000000000000005'::DOUBLE), (39, '0.44000000000000006'::DOUBLE), (40, '0.45000000000000007'::DOUBLE), (41, '0.4600000000000001'::DOUBLE), (42, '0.4700000000000001'::DOUBLE), (43, '0.4800000000000001'::DOUBLE), (44, '0.49000000000000005'::DOUBLE), (45, '0.5000000000000001'::DOUBLE), (46, '0.5100000000000001'::DOUBLE), (47, '0.5200000000000001'::DOUBLE), (48, '0.5300000000000001'::DOUBLE), (49, '0.5400000000000001'::DOUBLE), (50, '0.5500000000000002'::DOUBLE), (51, '0.5600000000000002'::DOUBLE), (52, '0.5700000000000002'::DOUBLE), (53, '0.5800000000000002'::DOUBLE), (54, '0.5900000000000002'::DOUBLE), (55, '0.6000000000000002'::DOUBLE), (56, '0.6100000000000001'::DOUBLE), (57, '0.6200000000000001'::DOUBLE), (58, '0.6300000000000001'::DOUBLE), (59, '0.6400000000000001'::DOUBLE), (60, '0.6500000000000001'::DOUBLE), (61, '0.6600000000000001'::DOUBLE), (62, '0.6700000000000002'::DOUBLE), (63, '0.6800000000000002'::DOUBLE), (64, '0.6900000000000002'::DOUBLE), (65, '0.7000000000000002'::DOUBLE), (66, '0.7100000000000002'::DOUBLE), (67, '0.7200000000000002'::DOUBLE), (68, '0.7300000000000002'::DOUBLE), (69, '0.7400000000000002'::DOUBLE), (70, '0.7500000000000002'::DOUBLE), (71, '0.7600000000000002'::DOUBLE), (72, '0.7700000000000002'::DOUBLE), (73, '0.7800000000000001'::DOUBLE), (74, '0.7900000000000001'::DOUBLE), (75, '0.8000000000000002'::DOUBLE), (76, '0.8100000000000002'::DOUBLE), (77, '0.8200000000000002'::DOUBLE), (78, '0.8300000000000002'::DOUBLE), (79, '0.8400000000000002'::DOUBLE), (80, '0.8500000000000002'::DOUBLE), (81, '0.8600000000000002'::DOUBLE), (82, '0.8700000000000002'::DOUBLE), (83, '0.8800000000000002'::DOUBLE), (84, '0.8900000000000002'::DOUBLE), (85, '0.9000000000000002'::DOUBLE), (86, '0.9100000000000003'::DOUBLE), (87, '0.9200000000000003'::DOUBLE), (88, '0.9300000000000002'::DOUBLE), (89, '0.9400000000000002'::DOUBLE), (90, '0.9500000000000002'::DOUBLE)),
+sweep AS (
+  SELECT j, threshold, tp, fp, pos - tp AS fn FROM (
+    SELECT g.j, g.threshold,
+           count(*) FILTER (WHERE t.label = 0 AND NOT (t.p_churn >= g.threshold)) AS tp,
+           count(*) FILTER (WHERE t.label <> 0 AND NOT (t.p_churn >= g.threshold)) AS fp,
+           count(*) FILTER (WHERE t.label = 0) AS pos
+    FROM grid g CROSS JOIN test t GROUP BY g.j, g.threshold)),
+sweep_m AS (
+  SELECT j, threshold,
+         CASE WHEN tp + fp <> 0 THEN tp / (tp + fp) ELSE 0.0 END AS precision,
+         CASE WHEN tp + fn <> 0 THEN tp / (tp + fn) ELSE 0.0 END AS recall,
+         CASE WHEN 2 * tp + fp + fn <> 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0.0 END AS f1
+  FROM sweep),
+cm AS (
+  SELECT count(*) AS rows,
+         count(*) FILTER (WHERE label = 1 AND p_churn >= 0.5) AS tp1,
+         count(*) FILTER (WHERE label = 0 AND p_churn >= 0.5) AS fp1,
+         count(*) FILTER (WHERE label = 0 AND NOT p_churn >= 0.5) AS tn1,
+         count(*) FILTER (WHERE label = 1 AND NOT p_churn >= 0.5) AS fn1
+  FROM test),
+mets AS (
+  SELECT CASE WHEN rows <> 0 THEN (tp1 + tn1) / rows ELSE 0.0 END AS accuracy,
+         CASE WHEN tn1 + fn1 <> 0 THEN tn1 / (tn1 + fn1) ELSE 0.0 END AS precision,
+         CASE WHEN tn1 + fp1 <> 0 THEN tn1 / (tn1 + fp1) ELSE 0.0 END AS recall,
+         CASE WHEN 2 * tn1 + fn1 + fp1 <> 0 THEN 2 * tn1 / (2 * tn1 + fn1 + fp1) ELSE 0.0 END AS f1,
+         CASE WHEN tp1 + fp1 <> 0 THEN tp1 / (tp1 + fp1) ELSE 0.0 END AS precision_churned,
+         CASE WHEN tp1 + fn1 <> 0 THEN tp1 / (tp1 + fn1) ELSE 0.0 END AS recall_churned,
+         CASE WHEN 2 * tp1 + fp1 + fn1 <> 0 THEN 2 * tp1 / (2 * tp1 + fp1 + fn1) ELSE 0.0 END AS f1_churned,
+         (SELECT roc_auc FROM auc) AS roc_auc, CAST(0.5 AS DOUBLE) AS threshold
+  FROM cm),
+churn AS (
+  SELECT count(*) AS customers, CAST(sum(c) AS BIGINT) AS churned_customers,
+         CAST(sum(1 - c) AS BIGINT) AS retained_customers, avg(c) AS churn_rate
+  FROM (SELECT customer_unique_id, max(CAST(churned AS INTEGER)) AS c FROM labelled GROUP BY 1)),
+roi AS (
+  SELECT scored_rows, flagged_retained, customers, flagged_full,
+         flagged_full * CAST(25.0 AS DOUBLE) AS campaign_cost,
+         flagged_full * CAST(0.15 AS DOUBLE) AS expected_conversions,
+         flagged_full * CAST(0.15 AS DOUBLE) * CAST(560.0 AS DOUBLE) AS expected_revenue,
+         CASE WHEN flagged_full <> 0 THEN
+           (flagged_full * CAST(0.15 AS DOUBLE) * CAST(560.0 AS DOUBLE) - flagged_full * CAST(25.0 AS DOUBLE))
+           / (flagged_full * CAST(25.0 AS DOUBLE)) * 100.0 END AS net_roi_pct
+  FROM (SELECT count(*) AS scored_rows,
+               count(*) FILTER (WHERE NOT p_churn >= (SELECT threshold FROM youden)) AS flagged_retained,
+               (SELECT customers FROM churn) AS customers,
+               CAST(floor(count(*) FILTER (WHERE NOT p_churn >= (SELECT threshold FROM youden))
+                          / count(*) * (SELECT customers FROM churn)) AS BIGINT) AS flagged_full
+        FROM test))
+"""
+
+
+def qs(final: str, months: int = MONTHS) -> str:
+    return base(months) + BEH + SCORE + final
+
+
+METRIC_Q = {
+    "stratified_split": "SELECT order_id, CAST(label AS BIGINT) AS label, fold FROM sp",
+    "class_distribution": """
+SELECT fold, CAST(label AS BIGINT) AS label, n, round(n / sum(n) OVER (PARTITION BY fold), 6) AS share
+FROM (SELECT fold, label, count(*) AS n FROM sp GROUP BY fold, label)""",
+    "imbalance_weight": """
+SELECT count(*) FILTER (WHERE label = 0) AS n_retained, count(*) FILTER (WHERE label = 1) AS n_churned,
+       round(CASE WHEN count(*) FILTER (WHERE label = 1) <> 0 THEN
+         CAST(count(*) FILTER (WHERE label = 0) AS DOUBLE) / count(*) FILTER (WHERE label = 1) END, 6) AS scale_pos_weight
+FROM sp WHERE fold = 'train'""",
+    "confusion_matrix": """
+SELECT CAST(label AS BIGINT) AS actual, CAST(p_churn >= 0.5 AS BIGINT) AS predicted, count(*) AS n
+FROM test GROUP BY 1, 2""",
+    "classification_metrics": """
+SELECT round(accuracy, 6) AS accuracy, round(precision, 6) AS precision, round(recall, 6) AS recall,
+       round(f1, 6) AS f1, round(precision_churned, 6) AS precision_churned,
+       round(recall_churned, 6) AS recall_churned, round(f1_churned, 6) AS f1_churned,
+       round(roc_auc, 6) AS roc_auc, threshold
+FROM mets""",
+    "majority_baseline": """
+SELECT round(CASE WHEN count(*) <> 0 THEN count(*) FILTER (WHERE label = m) / count(*) ELSE 0.0 END, 6) AS accuracy,
+       round(CASE WHEN m = 0 AND count(*) <> 0 THEN count(*) FILTER (WHERE label = 0) / count(*) ELSE 0.0 END, 6) AS precision,
+       round(CASE WHEN m = 0 AND count(*) FILTER (WHERE label = 0) <> 0 THEN 1.0 ELSE 0.0 END, 6) AS recall,
+       round(CASE WHEN m = 0 AND count(*) FILTER (WHERE label = 0) <> 0
+                  THEN 2.0 * count(*) FILTER (WHERE label = 0) / (count(*) + count(*) FILTER (WHERE label = 0)) ELSE 0.0 END, 6) AS f1,
+       round(CASE WHEN m = 1 AND count(*) <> 0 THEN count(*) FILTER (WHERE label = 1) / count(*) ELSE 0.0 END, 6) AS precision_churned,
+       round(CASE WHEN m = 1 AND count(*) FILTER (WHERE label = 1) <> 0 THEN 1.0 ELSE 0.0 END, 6) AS recall_churned,
+       round(CASE WHEN m = 1 AND count(*) FILTER (WHERE label = 1) <> 0
+                  THEN 2.0 * count(*) FILTER (WHERE label = 1) / (count(*) + count(*) FILTER (WHERE label = 1)) ELSE 0.0 END, 6) AS f1_churned,
+       round(CASE WHEN count(*) FILTER (WHERE label = 1) > 0 AND count(*) FILTER (WHERE label <> 1) > 0 THEN 0.5 END, 6) AS roc_auc,
+       CAST(0.5 AS DOUBLE) AS threshold
+FROM test, (SELECT label AS m FROM sp WHERE fold = 'train' GROUP BY label ORDER BY count(*) DESC, label DESC LIMIT 1)
+GROUP BY m""",
+    "roc_auc": "SELECT round(roc_auc, 6) AS roc_auc FROM auc",
+    "roc_curve": "SELECT round(threshold, 6) AS threshold, round(fpr, 6) AS fpr, round(tpr, 6) AS tpr FROM roc_pts",
+    "pr_curve": """
+SELECT round(threshold, 6) AS threshold, round(precision, 6) AS precision, round(recall, 6) AS recall,
+       round(f1, 6) AS f1 FROM pr_f1""",
+    "no_skill": "SELECT round(avg(CAST(label = 0 AS DOUBLE)), 6) AS no_skill FROM test",
+    "threshold_grid": """
+SELECT CAST(j AS BIGINT) AS j, round(threshold, 6) AS threshold, round(precision, 6) AS precision,
+       round(recall, 6) AS recall, round(f1, 6) AS f1 FROM sweep_m""",
+    "threshold_best_f1": """
+SELECT CASE WHEN f1 <= 0 THEN 0.5 ELSE round(threshold, 6) END AS threshold,
+       CASE WHEN f1 <= 0 THEN 0.0 ELSE round(precision, 6) END AS precision,
+       CASE WHEN f1 <= 0 THEN 0.0 ELSE round(recall, 6) END AS recall,
+       CASE WHEN f1 <= 0 THEN 0.0 ELSE round(f1, 6) END AS f1
+FROM (SELECT * FROM sweep_m ORDER BY f1 DESC, j ASC LIMIT 1)""",
+    "threshold_pr": """
+SELECT round(threshold, 6) AS threshold, round(precision, 6) AS precision, round(recall, 6) AS recall,
+       round(f1, 6) AS f1 FROM (SELECT * FROM pr_f1 ORDER BY f1 DESC, threshold ASC LIMIT 1)""",
+    "threshold_youden": """
+SELECT round(threshold, 6) AS threshold, round(fpr, 6) AS fpr, round(tpr, 6) AS tpr, round(j, 6) AS j FROM youden""",
+    "top_decile": """
+SELECT order_id, round(CAST(1.0 AS DOUBLE) - p_churn, 6) AS p_retained FROM test
+WHERE CAST(1.0 AS DOUBLE) - p_churn >= (SELECT quantile_cont(CAST(1.0 AS DOUBLE) - p_churn, 0.9) FROM test)""",
+    "revenue_opportunity": """
+SELECT count(*) FILTER (WHERE label = 0) AS actual_retained,
+       count(*) FILTER (WHERE label = 0 AND NOT p_churn >= (SELECT threshold FROM youden)) AS retained_tp,
+       count(*) FILTER (WHERE label = 0 AND p_churn >= (SELECT threshold FROM youden)) AS retained_fn,
+       round(count(*) FILTER (WHERE label = 0 AND NOT p_churn >= (SELECT threshold FROM youden)) * CAST(560.0 AS DOUBLE), 6) AS potential_revenue,
+       round(count(*) FILTER (WHERE label = 0 AND p_churn >= (SELECT threshold FROM youden)) * CAST(560.0 AS DOUBLE), 6) AS revenue_at_risk
+FROM test""",
+    "campaign_roi": """
+SELECT scored_rows, flagged_retained, customers, flagged_full, round(campaign_cost, 6) AS campaign_cost,
+       round(expected_conversions, 6) AS expected_conversions, round(expected_revenue, 6) AS expected_revenue,
+       round(net_roi_pct, 6) AS net_roi_pct
+FROM roi""",
+    "findings_record": """
+SELECT churn.customers, churned_customers, retained_customers, round(churn_rate, 6) AS churn_rate,
+       round(roc_auc, 6) AS roc_auc, round(f1, 6) AS f1, round(f1_churned, 6) AS f1_churned, threshold,
+       flagged_full, round(campaign_cost, 6) AS campaign_cost, round(expected_revenue, 6) AS expected_revenue,
+       round(net_roi_pct, 6) AS net_roi_pct, printf('%.1f%%', churn_rate * 100.0) AS churn_rate_text
+FROM churn, mets, roi""",
+}
+
+for _name, _final in METRIC_Q.items():
+    ORACLES[_name] = qs(_final)

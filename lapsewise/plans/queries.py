@@ -317,3 +317,137 @@ def negative_review_sample(spark, sf):
 @query("theme_counts")
 def theme_counts(spark, sf):
     return present(TX.theme_counts(_neg(spark, sf)))
+
+
+# --- split, metrics, thresholds, business ------------------------------------------
+
+from lapsewise.operators import business as B  # noqa: E402
+from lapsewise.operators import metrics as M  # noqa: E402
+from lapsewise.operators import sampling as SP  # noqa: E402
+
+
+def _split(spark, sf):
+    df = driver_frame(spark, sf).select("order_id", "customer_unique_id",
+                                        F.col("churned").cast("int").alias("label"), "item_count")
+    return SP.stratified_split(df, "label", "order_id", 0.2, 42)
+
+
+def rule_score(key: str = "order_id", single: str = "item_count"):
+    """A fixed scoring rule used to exercise the metric operators exactly:
+    (first byte of md5('7:'||key) + 100·single_item) / 355, in [0, 1] with ties."""
+    h = F.conv(F.substring(F.md5(F.concat(F.lit("7:"), F.col(key).cast("string"))), 1, 2), 16, 10)
+    one = F.coalesce(F.col(single) == 1, F.lit(False)).cast("int")
+    return (h.cast("double") + F.lit(100.0) * one) / F.lit(355.0)
+
+
+def _scored(spark, sf):
+    # read by many metric plans: materialise once (lineage cut)
+    from lapsewise.session import materialize
+    return materialize(_split(spark, sf).withColumn("p_churn", rule_score()))
+
+
+def _test(spark, sf):
+    return _scored(spark, sf).where(F.col("fold") == "test")
+
+
+@query("stratified_split")
+def stratified_split(spark, sf):
+    return present(_split(spark, sf).select("order_id", "label", "fold"))
+
+
+@query("class_distribution")
+def class_distribution(spark, sf):
+    return present(M.class_distribution(_split(spark, sf), "label", by="fold"))
+
+
+@query("imbalance_weight")
+def imbalance_weight(spark, sf):
+    return present(M.scale_pos_weight(_split(spark, sf).where(F.col("fold") == "train")))
+
+
+@query("confusion_matrix")
+def confusion_matrix(spark, sf):
+    return present(M.confusion_matrix(_test(spark, sf), 0.5))
+
+
+@query("classification_metrics")
+def classification_metrics(spark, sf):
+    return present(M.classification_metrics(_test(spark, sf), 0.5))
+
+
+@query("majority_baseline")
+def majority_baseline(spark, sf):
+    s = _scored(spark, sf)
+    return present(M.majority_baseline(s.where(F.col("fold") == "train"),
+                                       s.where(F.col("fold") == "test")))
+
+
+@query("roc_auc")
+def roc_auc(spark, sf):
+    return present(M.roc_auc(_test(spark, sf)))
+
+
+@query("roc_curve")
+def roc_curve(spark, sf):
+    return present(M.roc_curve(_test(spark, sf)))
+
+
+@query("pr_curve")
+def pr_curve(spark, sf):
+    return present(M.pr_curve(_test(spark, sf)))
+
+
+@query("no_skill")
+def no_skill(spark, sf):
+    return present(M.no_skill(_test(spark, sf)))
+
+
+@query("threshold_grid")
+def threshold_grid(spark, sf):
+    return present(M.threshold_grid(_test(spark, sf)))
+
+
+@query("threshold_best_f1")
+def threshold_best_f1(spark, sf):
+    return present(M.best_grid_threshold(_test(spark, sf)))
+
+
+@query("threshold_pr")
+def threshold_pr(spark, sf):
+    return present(M.pr_threshold(_test(spark, sf)))
+
+
+@query("threshold_youden")
+def threshold_youden(spark, sf):
+    return present(M.youden_threshold(_test(spark, sf)))
+
+
+@query("top_decile")
+def top_decile(spark, sf):
+    return present(M.top_decile(_test(spark, sf)).select("order_id", "p_retained"))
+
+
+def _youden(test):
+    return M.youden_threshold(test).select("threshold")
+
+
+@query("revenue_opportunity")
+def revenue_opportunity(spark, sf):
+    test = _test(spark, sf)
+    return present(B.revenue_opportunity(test, _youden(test)))
+
+
+@query("campaign_roi")
+def campaign_roi(spark, sf):
+    test = _test(spark, sf)
+    customers = L.customer_churn_summary(driver_frame(spark, sf))
+    return present(B.campaign_roi(test, _youden(test), customers))
+
+
+@query("findings_record")
+def findings_record(spark, sf):
+    test = _test(spark, sf)
+    churn = L.customer_churn_summary(driver_frame(spark, sf))
+    mets = M.classification_metrics(test, 0.5)
+    roi = B.campaign_roi(test, _youden(test), churn)
+    return present(B.findings_record(churn, mets, roi))

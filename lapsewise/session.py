@@ -30,6 +30,9 @@ def get_session(master: str | None = None, app: str = "lapsewise",
                .config("spark.ui.showConsoleProgress", "false"))
     if master:
         builder = builder.master(master)
+    if master and master.startswith("local"):
+        # local mode: the driver JVM is the only executor
+        builder = builder.config("spark.driver.memory", os.environ.get("LAPSEWISE_DRIVER_MEMORY", "16g"))
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
@@ -65,3 +68,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for written intermediate tables."""
     return os.path.join(checkpoint_dir(spark), name)
+
+
+def materialize(df):
+    """Cut lineage: reliable ``checkpoint`` into the shared checkpoint folder.
+
+    Used where a result is read by many later plans (split cuts, the scored
+    table); a reliable checkpoint survives executor loss, unlike a local one.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
