@@ -451,3 +451,80 @@ def findings_record(spark, sf):
     mets = M.classification_metrics(test, 0.5)
     roi = B.campaign_roi(test, _youden(test), churn)
     return present(B.findings_record(churn, mets, roi))
+
+
+# --- models and attribution (no SQL oracle: rows-only checks) ----------------------
+
+from lapsewise.operators import attribution as AT  # noqa: E402
+from lapsewise.operators import models as MD  # noqa: E402
+
+SMOKE_TREES = 20
+_MODELS: dict = {}
+
+
+def model_inputs(spark, sf):
+    """Feature matrix with text features and the exact split, materialised once."""
+    key = ("inputs", spark.sparkContext.applicationId, sf)
+    if key not in _MODELS:
+        from lapsewise.session import materialize
+        # the notebook path fills a missing item count with 1 before modelling
+        fm, names = N.build_feature_matrix(TX.add_sentiment_features(driver_frame(spark, sf)), 15,
+                                           fill_item_count=1)
+        split = materialize(SP.stratified_split(fm, "label", "order_id", 0.2, 42))
+        _MODELS[key] = (split, names)
+    return _MODELS[key]
+
+
+def fitted(spark, sf, kind: str):
+    key = (kind, spark.sparkContext.applicationId, sf)
+    if key not in _MODELS:
+        data, names = model_inputs(spark, sf)
+        train = data.where(F.col("fold") == "train")
+        if kind == "gbt":
+            _MODELS[key] = MD.train_gbt(train, names, max_iter=SMOKE_TREES)
+        else:
+            _MODELS[key] = MD.train_logreg(train, names)
+    return _MODELS[key]
+
+
+def _model_scores(spark, sf, kind):
+    data, _ = model_inputs(spark, sf)
+    return MD.score(fitted(spark, sf, kind), data.where(F.col("fold") == "test"))
+
+
+@query("gbt_scores")
+def gbt_scores(spark, sf):
+    return present(_model_scores(spark, sf, "gbt"))
+
+
+@query("logreg_scores")
+def logreg_scores(spark, sf):
+    return present(_model_scores(spark, sf, "logreg"))
+
+
+@query("model_comparison")
+def model_comparison(spark, sf):
+    data, _ = model_inputs(spark, sf)
+    test = data.where(F.col("fold") == "test")
+    base = M.majority_baseline(data.where(F.col("fold") == "train"), test) \
+        .withColumn("model", F.lit("majority"))
+    comp = MD.model_comparison({"logistic_regression": _model_scores(spark, sf, "logreg"),
+                                "gbt": _model_scores(spark, sf, "gbt")})
+    return present(comp.unionByName(base))
+
+
+def _importance(spark, sf):
+    data, names = model_inputs(spark, sf)
+    gbt = fitted(spark, sf, "gbt").stages[-1]
+    att = AT.row_attributions(data.where(F.col("fold") == "test"), gbt, names)
+    return AT.feature_importance(att, names)
+
+
+@query("feature_importance")
+def feature_importance(spark, sf):
+    return present(_importance(spark, sf))
+
+
+@query("sentiment_contribution")
+def sentiment_contribution(spark, sf):
+    return present(AT.sentiment_contribution(_importance(spark, sf)))
