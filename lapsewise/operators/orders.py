@@ -9,11 +9,13 @@ Scale notes
   ``max_by``), so a hot order with a third of all lines never lands whole in
   one task before the partial aggregation.
 * "first payment" and "latest review" use ``min_by``/``max_by`` over an
-  explicit total order, not a sort-based window: no per-key sort, no
-  single-task partition.
-* The four ``order_id`` joins share one hash partitioning (the aggregates
-  are already partitioned by ``order_id``), so only the spine shuffles for
-  them; the customer join comes last because it changes the key.
+  explicit total order instead of a window: with struct buffers Spark runs
+  them as sort-based aggregates (spillable, partial per map task), so no
+  order's rows need to meet in one window partition.
+* The customer join runs on the narrow order spine; the three ``order_id``
+  sides (already hash-partitioned by ``order_id`` by their aggregation) are
+  attached last, so the wide rows carrying review text are never shuffled by
+  another key.
 """
 
 from __future__ import annotations
@@ -121,23 +123,39 @@ def latest_review(reviews: DataFrame, tie: str = "review_id") -> DataFrame:
                                 "review_answer_timestamp"])
 
 
-def join_tables(tables: dict[str, DataFrame], orders: DataFrame | None = None,
-                payment_order: Sequence[str] = ("payment_sequential",),
-                review_tie: str = "review_id") -> DataFrame:
-    """J-13: one row per order with customer, latest review, item and payment aggregates.
+def attach_customers(spine: DataFrame, customers: DataFrame) -> DataFrame:
+    """J-3: the narrow order spine ⟕ customer attributes (shuffles only narrow rows)."""
+    return left_attach(spine.select(*ORDER_COLUMNS),
+                       customers.select("customer_id", *CUSTOMER_COLUMNS), "customer_id")
 
-    ``orders`` overrides the spine (e.g. an already windowed one); the side
-    aggregates are then reduced to the spine's orders by the left joins.
+
+def attach_order_sides(df: DataFrame, tables: dict[str, DataFrame],
+                       payment_order: Sequence[str] = ("payment_sequential",),
+                       review_tie: str = "review_id") -> DataFrame:
+    """J-4 … J-6: latest review, item and payment aggregates by ``order_id``.
+
+    The three sides are already hash-partitioned by ``order_id`` by their own
+    aggregation, so the joins add one shuffle of ``df`` and none of the sides.
     """
-    spine = (orders if orders is not None else tables["orders"]).select(*ORDER_COLUMNS)
     reviews = latest_review(tables["order_reviews"], review_tie).select("order_id",
                                                                         *REVIEW_COLUMNS)
     items = items_per_order(tables["order_items"], tables.get("products"),
                             tables.get("category_translation"))
     payments = payments_per_order(tables["payments"], payment_order)
-    customers = tables["customers"].select("customer_id", *CUSTOMER_COLUMNS)
-    df = left_attach(spine, reviews, "order_id")
-    df = left_attach(df, items, "order_id")
-    df = left_attach(df, payments, "order_id")
-    df = left_attach(df, customers, "customer_id")
-    return df.select(*MASTER_COLUMNS)
+    out = left_attach(df, reviews, "order_id")
+    out = left_attach(out, items, "order_id")
+    return left_attach(out, payments, "order_id")
+
+
+def join_tables(tables: dict[str, DataFrame], orders: DataFrame | None = None,
+                payment_order: Sequence[str] = ("payment_sequential",),
+                review_tie: str = "review_id") -> DataFrame:
+    """J-13: one row per order with customer, latest review, item and payment aggregates.
+
+    ``orders`` overrides the spine (e.g. an already windowed one). Customers
+    are joined to the narrow spine first, so the wide rows (with review text)
+    are never re-shuffled by another key.
+    """
+    spine = orders if orders is not None else tables["orders"]
+    df = attach_customers(spine, tables["customers"])
+    return attach_order_sides(df, tables, payment_order, review_tie).select(*MASTER_COLUMNS)

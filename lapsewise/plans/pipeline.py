@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lapsewise.operators.labels import add_churn_label, apply_observation_window
-from lapsewise.operators.orders import join_tables
+from lapsewise.operators.orders import MASTER_COLUMNS, attach_customers, attach_order_sides
 from lapsewise.sources.driver import PAYMENT_ORDER, model_tables
 
 # Default observation window for the driver tables: with six months nearly
@@ -22,10 +22,16 @@ TEST_WINDOW_MONTHS = 60
 def load_retention_frame(tables: dict[str, DataFrame], months: int = 6,
                          payment_order=("payment_sequential",),
                          review_tie: str = "review_id") -> DataFrame:
+    """Window → customers → label on the narrow spine → per-order sides.
+
+    Same rows and columns as window(join_tables) + add_churn_label: the label
+    only reads the customer and order ids, so it is computed before the wide
+    (review text) columns are attached and no wide row is shuffled twice.
+    """
     spine = apply_observation_window(tables["orders"], months)
-    joined = join_tables(tables, orders=spine, payment_order=payment_order,
-                         review_tie=review_tie)
-    return add_churn_label(joined)
+    narrow = add_churn_label(attach_customers(spine, tables["customers"]))
+    wide = attach_order_sides(narrow, tables, payment_order, review_tie)
+    return wide.select(*MASTER_COLUMNS, "orders_placed", "churned")
 
 
 def driver_frame(spark: SparkSession, sf_dir: str, months: int = TEST_WINDOW_MONTHS) -> DataFrame:

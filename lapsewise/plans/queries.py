@@ -467,10 +467,12 @@ def model_inputs(spark, sf):
     key = ("inputs", spark.sparkContext.applicationId, sf)
     if key not in _MODELS:
         from lapsewise.session import materialize
+        # the labelled frame with text scores is read by several passes
+        # (vocabulary, medians, matrix): materialise it once
+        base = materialize(TX.add_sentiment_features(driver_frame(spark, sf)))
         # the notebook path fills a missing item count with 1 before modelling
-        fm, names = N.build_feature_matrix(TX.add_sentiment_features(driver_frame(spark, sf)), 15,
-                                           fill_item_count=1)
-        split = materialize(SP.stratified_split(fm, "label", "order_id", 0.2, 42))
+        fm, names = N.build_feature_matrix(base, 15, fill_item_count=1)
+        split = materialize(SP.stratified_split(materialize(fm), "label", "order_id", 0.2, 42))
         _MODELS[key] = (split, names)
     return _MODELS[key]
 
