@@ -70,7 +70,7 @@ def impute_missing_values(df: DataFrame, fit: DataFrame | None = None,
     """E-2 / E-3: fill NULLs by median (of ``fit``, default ``df``) or constant.
 
     Columns absent from ``df`` are skipped. Flags are re-derived from the
-    filled bases afterwards. ``fill_item_count=1`` reproduces the notebook
+    filled bases afterwards. ``fill_item_count=1`` reproduces the modelling
     variant that treats orders without items as single-item orders.
     """
     fit = df if fit is None else fit

@@ -861,3 +861,54 @@ FROM churn, mets, roi""",
 
 for _name, _final in METRIC_Q.items():
     ORACLES[_name] = qs(_final)
+
+
+# --- remaining inventory items --------------------------------------------------------
+
+MORE_Q = {
+    "source_summary": """
+SELECT 'orders' AS "table", count(*) AS rows, CAST(8 AS BIGINT) AS cols FROM m_orders
+UNION ALL SELECT 'customers', count(*), 4 FROM m_customers
+UNION ALL SELECT 'order_items', count(*), 5 FROM m_items
+UNION ALL SELECT 'payments', count(*), 10 FROM m_payments
+UNION ALL SELECT 'products', count(*), 2 FROM m_products
+UNION ALL SELECT 'category_translation', count(*), 2 FROM m_translation
+UNION ALL SELECT 'order_reviews', count(*), 5 FROM m_reviews""",
+    "row_churn_rate": """
+SELECT fold, count(*) AS rows, round(avg(CAST(label = 1 AS DOUBLE)), 6) AS churn_rate FROM sp GROUP BY fold""",
+    "impute_train_median": """
+, b2 AS (SELECT b.*, sp.fold FROM beh b JOIN sp ON b.order_id = sp.order_id),
+tm AS (
+  SELECT median(delivery_delay_days) AS m_delay, median(days_to_delivery) AS m_days,
+         median(review_score) AS m_rs, median(total_freight) AS m_tf,
+         median(payment_value) AS m_pv, median(payment_installments) AS m_pi
+  FROM b2 WHERE fold = 'train')
+SELECT order_id, round(coalesce(delivery_delay_days, m_delay), 6) AS delivery_delay_days,
+       round(coalesce(days_to_delivery, m_days), 6) AS days_to_delivery,
+       round(coalesce(CAST(review_score AS DOUBLE), m_rs), 6) AS review_score,
+       round(coalesce(freight_ratio, 0.0), 6) AS freight_ratio,
+       round(coalesce(total_freight, m_tf), 6) AS total_freight,
+       round(coalesce(payment_value, m_pv), 6) AS payment_value,
+       round(coalesce(CAST(payment_installments AS DOUBLE), m_pi), 6) AS payment_installments,
+       coalesce(coalesce(delivery_delay_days, m_delay) > 0, false) AS is_late_delivery,
+       coalesce(item_count = 1, false) AS is_single_item, fold
+FROM b2 CROSS JOIN tm""",
+    "event_churn_summary": """
+, ev AS (SELECT * FROM events WHERE ts < (SELECT max(ts) FROM events) - INTERVAL 6 MONTH),
+evc AS (SELECT user_id, count(DISTINCT event_id) AS n FROM ev WHERE user_id IS NOT NULL GROUP BY user_id),
+evl AS (SELECT ev.user_id, coalesce(evc.n = 1, false) AS churned FROM ev LEFT JOIN evc ON ev.user_id = evc.user_id)
+SELECT count(*) AS customers, CAST(sum(c) AS BIGINT) AS churned_customers,
+       CAST(sum(1 - c) AS BIGINT) AS retained_customers, round(avg(c), 6) AS churn_rate
+FROM (SELECT user_id, max(CAST(churned AS INTEGER)) AS c FROM evl GROUP BY user_id)""",
+    "latest_conversation_turn": """
+SELECT conv_id, turn, role FROM (
+  SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY
+           (turn IS NULL) DESC, turn DESC, role DESC) AS rn
+  FROM conversations) WHERE rn = 1""",
+}
+
+for _name, _final in MORE_Q.items():
+    ORACLES[_name] = qs(_final)
+
+ORACLES["polarity_histogram"] = qt(_hist_sql(
+    f"SELECT {SEG} AS segment, sentiment_polarity AS v FROM sent WHERE has_review_text", "v"))

@@ -470,7 +470,7 @@ def model_inputs(spark, sf):
         # the labelled frame with text scores is read by several passes
         # (vocabulary, medians, matrix): materialise it once
         base = materialize(TX.add_sentiment_features(driver_frame(spark, sf)))
-        # the notebook path fills a missing item count with 1 before modelling
+        # the modelling variant fills a missing item count with 1 (trees reject NaN)
         fm, names = N.build_feature_matrix(base, 15, fill_item_count=1)
         split = materialize(SP.stratified_split(materialize(fm), "label", "order_id", 0.2, 42))
         _MODELS[key] = (split, names)
@@ -530,3 +530,74 @@ def feature_importance(spark, sf):
 @query("sentiment_contribution")
 def sentiment_contribution(spark, sf):
     return present(AT.sentiment_contribution(_importance(spark, sf)))
+
+
+# --- remaining inventory items --------------------------------------------------------
+
+from lapsewise.sources.driver import read_driver  # noqa: E402
+from lapsewise.sources.files import source_summary as _source_summary  # noqa: E402
+
+
+@query("source_summary")
+def source_summary(spark, sf):
+    return present(_source_summary(model_tables(spark, sf)))
+
+
+@query("row_churn_rate")
+def row_churn_rate(spark, sf):
+    s = _split(spark, sf).withColumn("churned", F.col("label") == 1)
+    return present(L.row_churn_rate(s, by="fold"))
+
+
+@query("polarity_histogram")
+def polarity_histogram(spark, sf):
+    d = X.with_segment(_sent(spark, sf)).where(F.col("has_review_text"))
+    return present(X.histogram(d, "sentiment_polarity"))
+
+
+@query("impute_train_median")
+def impute_train_median(spark, sf):
+    d = FE.add_behavioral_features(driver_frame(spark, sf))
+    folds = _split(spark, sf).select("order_id", "fold")
+    d = d.join(folds, "order_id")
+    return present(FE.impute_missing_values(d, fit=d.where(F.col("fold") == "train"))
+                   .select(*IMPUTED_OUT, "fold"))
+
+
+@query("event_churn_summary")
+def event_churn_summary(spark, sf):
+    """Second label grain: users with exactly one event inside the window."""
+    ev = read_driver(spark, sf, "events").select("event_id", "user_id", "ts")
+    win = L.apply_observation_window(ev, 6, ts="ts")
+    lab = L.add_churn_label(win, customer="user_id", order="event_id")
+    return present(L.customer_churn_summary(lab, customer="user_id"))
+
+
+@query("latest_conversation_turn")
+def latest_conversation_turn(spark, sf):
+    """Second W-1 case: the last turn of every conversation."""
+    conv = read_driver(spark, sf, "conversations")
+    return present(O.latest_per_key(conv, "conv_id", "turn", "role", cols=["turn", "role"]))
+
+
+@query("attribution_rows")
+def attribution_rows(spark, sf):
+    data, names = model_inputs(spark, sf)
+    gbt = fitted(spark, sf, "gbt").stages[-1]
+    att = AT.row_attributions(data.where(F.col("fold") == "test"), gbt, names)
+    return present(AT.scored_wide(att, names))
+
+
+@query("best_model")
+def best_model(spark, sf):
+    return present(MD.best_model(QUERIES["model_comparison"](spark, sf)))
+
+
+@query("findings_with_drivers")
+def findings_with_drivers(spark, sf):
+    data, _ = model_inputs(spark, sf)
+    test = _model_scores(spark, sf, "gbt")
+    churn = L.customer_churn_summary(driver_frame(spark, sf))
+    roi = B.campaign_roi(test, _youden(test), churn)
+    return B.findings_record(churn, M.classification_metrics(test, 0.5), roi,
+                             _importance(spark, sf), top_k=5)
