@@ -3,7 +3,8 @@
 Sentiment (X-1) is a lexicon model evaluated entirely inside one projection:
 the whole text is tokenised with ``regexp_extract_all``, each token looked up
 in a map literal (the lexicon), modifiers read from the one or two previous
-tokens by index, and the matched scores summed with ``aggregate``. No Python
+tokens (shifted copies of the token array), and the matched scores summed
+in one ``aggregate`` pass. No Python
 UDF, no explode, no shuffle: a document's cost is linear in its length and the
 job is embarrassingly parallel across rows.
 
@@ -88,34 +89,52 @@ def _map(d: dict, value) -> Column:
     return F.create_map(*[x for k, v in d.items() for x in (F.lit(k), value(v))])
 
 
-def sentiment_struct(text) -> Column:
-    """X-1: ``struct(polarity, subjectivity)`` of a text (see module docstring)."""
-    toks = tokens(text)
+def score_tokens(toks: Column) -> Column:
+    """X-1 on a token array: ``struct(polarity, subjectivity)`` (see module docstring).
+
+    One linear pass: the previous-token arrays are shifted ``slice``s of the
+    tokens, ``arrays_zip`` aligns them, and a single ``aggregate`` keeps
+    (Σp, Σs, n). No element is fetched by index, so the cost is linear in the
+    length of the text (indexing a token expression inside the lambda would
+    re-tokenise the text for every token).
+    """
     lex = _map(LEXICON, lambda v: F.struct(F.lit(float(v[0])).alias("p"),
                                            F.lit(float(v[1])).alias("s")))
     inten = _map(INTENSIFIERS, lambda v: F.lit(float(v)))
     negs = F.array(*[F.lit(w) for w in NEGATIONS])
-
-    def modifiers(t, i):
-        prev1 = F.when(i > 0, F.get(toks, i - 1))
-        prev2 = F.when(i > 1, F.get(toks, i - 2))
-        mult = F.coalesce(F.try_element_at(inten, prev1), F.lit(1.0))
-        neg = is_true(F.array_contains(negs, prev1)) | is_true(F.array_contains(negs, prev2))
-        e = F.try_element_at(lex, t)
-        # greatest/least skip NULLs: guard so unmatched tokens stay NULL
+    n = F.size(toks)
+    none = F.lit(None).cast("string")
+    prev1 = F.concat(F.array(none), F.slice(toks, 1, F.greatest(n - 1, F.lit(0))))
+    prev2 = F.concat(F.array(none, none), F.slice(toks, 1, F.greatest(n - 2, F.lit(0))))
+    zipped = F.arrays_zip(toks.alias("t"), prev1.alias("p1"), prev2.alias("p2"))
+
+    def step(acc, x):
+        e = F.when(x["t"].isNotNull(), F.try_element_at(lex, x["t"]))
         hit = e.isNotNull()
-        p = F.when(hit, F.greatest(F.least(
-            e["p"] * mult * F.when(neg, F.lit(-0.5)).otherwise(F.lit(1.0)), F.lit(1.0)),
-            F.lit(-1.0)))
-        s = F.when(hit, F.greatest(F.least(e["s"] * mult, F.lit(1.0)), F.lit(0.0)))
-        return F.struct(p.alias("p"), s.alias("s"))
+        mult = F.coalesce(F.when(x["p1"].isNotNull(), F.try_element_at(inten, x["p1"])),
+                          F.lit(1.0))
+        neg = is_true(F.array_contains(negs, x["p1"])) | is_true(F.array_contains(negs, x["p2"]))
+        p = F.greatest(F.least(e["p"] * mult * F.when(neg, F.lit(-0.5)).otherwise(F.lit(1.0)),
+                               F.lit(1.0)), F.lit(-1.0))
+        s = F.greatest(F.least(e["s"] * mult, F.lit(1.0)), F.lit(0.0))
+        # greatest/least skip NULLs: add only lexicon hits
+        return F.struct((acc["sp"] + F.when(hit, p).otherwise(F.lit(0.0))).alias("sp"),
+                        (acc["ss"] + F.when(hit, s).otherwise(F.lit(0.0))).alias("ss"),
+                        (acc["n"] + hit.cast("int")).alias("n"))
+
+    def finish(acc):
+        return F.struct(F.when(acc["n"] > 0, acc["sp"] / acc["n"]).otherwise(F.lit(0.0))
+                        .alias("polarity"),
+                        F.when(acc["n"] > 0, acc["ss"] / acc["n"]).otherwise(F.lit(0.0))
+                        .alias("subjectivity"))
+
+    start = F.struct(F.lit(0.0).alias("sp"), F.lit(0.0).alias("ss"), F.lit(0).alias("n"))
+    return F.aggregate(zipped, start, step, finish)
+
 
-    scored = F.filter(F.transform(toks, modifiers), lambda x: x["p"].isNotNull())
-    n = F.size(scored)
-    sp = F.aggregate(scored, F.lit(0.0), lambda acc, x: acc + x["p"])
-    ss = F.aggregate(scored, F.lit(0.0), lambda acc, x: acc + x["s"])
-    return F.struct(F.when(n > 0, sp / n).otherwise(F.lit(0.0)).alias("polarity"),
-                    F.when(n > 0, ss / n).otherwise(F.lit(0.0)).alias("subjectivity"))
+def sentiment_struct(text) -> Column:
+    """X-1: ``struct(polarity, subjectivity)`` of a text."""
+    return score_tokens(tokens(text))
 
 
 def add_sentiment_features(df: DataFrame, text: str = "review_comment_message") -> DataFrame:
@@ -124,13 +143,13 @@ def add_sentiment_features(df: DataFrame, text: str = "review_comment_message")
     Only non-blank texts are scored (the CASE short-circuits), others get 0.0.
     """
     has = non_blank(text)
-    scored = F.when(has, sentiment_struct(text))
     return (df.withColumn("has_review_text", has)
-            .withColumn("__sent", scored)
+            .withColumn("__toks", F.when(F.col("has_review_text"), tokens(text)))
+            .withColumn("__sent", F.when(F.col("has_review_text"), score_tokens(F.col("__toks"))))
             .withColumn("sentiment_polarity", F.coalesce(F.col("__sent.polarity"), F.lit(0.0)))
             .withColumn("sentiment_subjectivity",
                         F.coalesce(F.col("__sent.subjectivity"), F.lit(0.0)))
-            .drop("__sent"))
+            .drop("__toks", "__sent"))
 
 
 def seeded_sample(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
