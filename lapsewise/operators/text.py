@@ -161,12 +161,17 @@ def seeded_sample(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     return df.orderBy(hash_key(key, seed), F.col(key)).limit(n)
 
 
+def review_pool(df: DataFrame, max_score: int = 3,
+                text: str = "review_comment_message") -> DataFrame:
+    """Windowed review candidates: churned ∧ score ≤ max_score ∧ non-blank text (P-4, P-7, P-8)."""
+    return df.where(is_true(F.col("churned")) & is_true(F.col("review_score") <= max_score)
+                    & non_blank(text))
+
+
 def review_sample(df: DataFrame, n: int = 50, max_score: int = 3, seed: int = 42,
                   text: str = "review_comment_message", key: str = "order_id") -> DataFrame:
-    """X-3: churned ∧ score ≤ max_score ∧ non-blank text, fixed-seed sample of n."""
-    pool = df.where(is_true(F.col("churned")) & is_true(F.col("review_score") <= max_score)
-                    & non_blank(text))
-    return seeded_sample(pool, n, key, seed)
+    """X-3: fixed-seed sample of n windowed review candidates."""
+    return seeded_sample(review_pool(df, max_score, text), n, key, seed)
 
 
 def negative_churned_reviews(orders: DataFrame, customers: DataFrame, reviews: DataFrame,

@@ -912,3 +912,26 @@ for _name, _final in MORE_Q.items():
 
 ORACLES["polarity_histogram"] = qt(_hist_sql(
     f"SELECT {SEG} AS segment, sentiment_polarity AS v FROM sent WHERE has_review_text", "v"))
+
+
+def _themes_sql(pool: str) -> str:
+    return f"""
+, pool AS ({pool})
+SELECT theme, reviews_with_theme, representative_id, representative_hits,
+       round(reviews_with_theme / (SELECT count(*) FROM pool), 6) AS share
+FROM (
+  SELECT theme, count(*) AS reviews_with_theme,
+         arg_min(k, (-hits, k)) AS representative_id, max(hits) AS representative_hits
+  FROM (SELECT tt.theme, d.k, count(*) AS hits
+        FROM (SELECT DISTINCT k, unnest(regexp_extract_all(lower(txt), '[\\pL'']+')) AS term FROM pool) d
+        JOIN theme_terms tt ON d.term = tt.term
+        GROUP BY tt.theme, d.k)
+  GROUP BY theme)"""
+
+
+ORACLES["review_themes_window"] = qt(_themes_sql(
+    "SELECT order_id AS k, review_comment_message AS txt FROM labelled WHERE churned "
+    "AND review_score <= 3 AND coalesce(regexp_matches(review_comment_message, '\\S'), false)"))
+ORACLES["review_themes_all"] = qt(_themes_sql(
+    "SELECT order_id AS k, review_comment_message AS txt FROM rev_latest "
+    "WHERE review_comment_message IS NOT NULL"))

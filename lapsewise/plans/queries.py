@@ -601,3 +601,18 @@ def findings_with_drivers(spark, sf):
     roi = B.campaign_roi(test, _youden(test), churn)
     return B.findings_record(churn, M.classification_metrics(test, 0.5), roi,
                              _importance(spark, sf), top_k=5)
+
+
+@query("review_themes_window")
+def review_themes_window(spark, sf):
+    """X-5 over all windowed candidates (churned, score ≤ 3, non-blank text)."""
+    pool = TX.review_pool(driver_frame(spark, sf)).select("order_id", "review_comment_message")
+    return present(TX.theme_counts(pool, key="order_id"))
+
+
+@query("review_themes_all")
+def review_themes_all(spark, sf):
+    """X-5 over the latest review of every order (the whole review table)."""
+    rev = O.latest_review(model_tables(spark, sf)["order_reviews"]) \
+        .where(F.col("review_comment_message").isNotNull())
+    return present(TX.theme_counts(rev.select("order_id", "review_comment_message"), key="order_id"))
