@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lapsewise.functions.exprs import is_true, non_blank, r6
 from lapsewise.operators.orders import earliest_per_key
-from lapsewise.operators.stats import exact_quantiles_long
+from lapsewise.operators.stats import exact_quantiles_long, exact_quantiles_multi
 
 SEGMENT = "segment"
 
@@ -78,12 +78,11 @@ def describe_by_segment(df: DataFrame, value: str = "payment_value") -> DataFram
     base = seg.groupBy(SEGMENT).agg(F.count(value).alias("count"), F.avg(value).alias("mean"),
                                     F.stddev_samp(value).alias("std"), F.min(value).alias("min"),
                                     F.max(value).alias("max"))
-    out = base
-    for q, name in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75")):
-        qq = exact_quantiles_long(seg, [value], q, by=SEGMENT).select(
-            SEGMENT, F.col("value").alias(name))
-        out = out.join(qq, SEGMENT, "left")
-    return out.select(SEGMENT, "count", "mean", "std", "min", "p25", "p50", "p75", "max")
+    qs = (exact_quantiles_multi(seg, [value], [0.25, 0.5, 0.75], by=SEGMENT)
+          .groupBy(SEGMENT).agg(*[F.max(F.when(F.col("q") == q, F.col("value"))).alias(nm)
+                                  for q, nm in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))]))
+    return (base.join(qs, SEGMENT, "left")
+            .select(SEGMENT, "count", "mean", "std", "min", "p25", "p50", "p75", "max"))
 
 
 def clip_to_group_quantile(df: DataFrame, value: str, q: float = 0.99, lower: float = 0.0,

@@ -33,45 +33,56 @@ def _long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
             .select("p.name", "p.x").where(F.col("x").isNotNull() & ~F.isnan("x")))
 
 
-def exact_quantiles_long(df: DataFrame, cols: Sequence[str], q: float = 0.5,
-                         accuracy: int = DEFAULT_ACCURACY, by: str | None = None) -> DataFrame:
-    """``(name[, by], value)``: exact linear-interpolated ``q`` quantile per column.
-
-    With ``by`` the quantile is taken per group (e.g. per segment); the
-    bracket logic is the same per (column, group).
+def exact_quantiles_multi(df: DataFrame, cols: Sequence[str], qs: Sequence[float],
+                          accuracy: int = DEFAULT_ACCURACY, by: str | None = None) -> DataFrame:
+    """``(name[, by], q, value)`` for several quantiles with the same two passes.
+
+    The per-(column, group, q) bracket table is tiny; every value row is
+    compared with the brackets of its (column, group) in the join and only
+    values at or below a bracket's top survive, to be counted per distinct
+    value (values below the bracket collapse into one NULL count).
     """
     keys = ["name"] + ([by] if by else [])
-    if by:
-        pairs = [F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("x")) for c in cols]
-        long = (df.select(F.col(by), F.explode(F.array(*pairs)).alias("p"))
-                .select("p.name", by, "p.x").where(F.col("x").isNotNull() & ~F.isnan("x")))
-    else:
-        long = _long(df, cols)
+    pairs = [F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("x")) for c in cols]
+    base = df.select(*([F.col(by)] if by else []), F.explode(F.array(*pairs)).alias("p"))
+    long = (base.select("p.name", *([by] if by else []), "p.x")
+            .where(F.col("x").isNotNull() & ~F.isnan("x")))
     margin = 3.0 / accuracy
+    probs = []
+    for q in qs:
+        probs += [max(0.0, q - margin), min(1.0, q + margin)]
+    agg = (long.groupBy(*keys)
+           .agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("mn"), F.max("x").alias("mx"),
+                F.percentile_approx("x", probs, accuracy).alias("b")))
     small = F.col("n") <= 2 * accuracy
-    stats = (long.groupBy(*keys)
-             .agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("mn"), F.max("x").alias("mx"),
-                  F.percentile_approx("x", [max(0.0, q - margin), min(1.0, q + margin)],
-                                      accuracy).alias("b"))
-             .select(*keys, "n",
-                     F.when(small, F.col("mn")).otherwise(F.col("b")[0]).alias("lo"),
-                     F.when(small, F.col("mx")).otherwise(F.col("b")[1]).alias("hi"),
-                     ((F.col("n") - 1).cast("double") * F.lit(float(q))).alias("pos")))
-    # one row per column (and group): its size is bounded by the key count
-    joined = long.join(stats, keys)
-    bracket = (joined.where(F.col("x") <= F.col("hi"))
-               .select(*keys, "pos", F.when(F.col("x") >= F.col("lo"), F.col("x")).alias("v"))
-               .groupBy(*keys, "pos", "v").agg(F.count(F.lit(1)).alias("c")))
-    w = Window.partitionBy(*keys).orderBy(F.col("v").asc_nulls_first()) \
+    per_q = [F.struct(F.lit(float(q)).alias("q"),
+                      F.when(small, F.col("mn")).otherwise(F.col("b")[2 * i]).alias("lo"),
+                      F.when(small, F.col("mx")).otherwise(F.col("b")[2 * i + 1]).alias("hi"),
+                      ((F.col("n") - 1).cast("double") * F.lit(float(q))).alias("pos"))
+             for i, q in enumerate(qs)]
+    stats = (agg.select(*keys, F.explode(F.array(*per_q)).alias("s"))
+             .select(*keys, "s.q", "s.lo", "s.hi", "s.pos"))
+    # one row per (column, group, q): bounded by the key count times len(qs)
+    bracket = (long.join(stats, keys).where(F.col("x") <= F.col("hi"))
+               .select(*keys, "q", "pos", F.when(F.col("x") >= F.col("lo"), F.col("x")).alias("v"))
+               .groupBy(*keys, "q", "pos", "v").agg(F.count(F.lit(1)).alias("c")))
+    w = Window.partitionBy(*keys, "q").orderBy(F.col("v").asc_nulls_first()) \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cum = bracket.withColumn("cum", F.sum("c").over(w)).where(F.col("v").isNotNull())
     k1 = F.floor(F.col("pos"))
     k2 = F.ceil(F.col("pos"))
-    picked = cum.groupBy(*keys, "pos").agg(
+    picked = cum.groupBy(*keys, "q", "pos").agg(
         F.min(F.when(F.col("cum") > k1, F.col("v"))).alias("v1"),
         F.min(F.when(F.col("cum") > k2, F.col("v"))).alias("v2"))
     frac = F.col("pos") - F.floor(F.col("pos"))
-    return picked.select(*keys, (F.col("v1") + (F.col("v2") - F.col("v1")) * frac).alias("value"))
+    return picked.select(*keys, "q", (F.col("v1") + (F.col("v2") - F.col("v1")) * frac).alias("value"))
+
+
+def exact_quantiles_long(df: DataFrame, cols: Sequence[str], q: float = 0.5,
+                         accuracy: int = DEFAULT_ACCURACY, by: str | None = None) -> DataFrame:
+    """``(name[, by], value)``: exact linear-interpolated ``q`` quantile per column
+    (per group with ``by``)."""
+    return exact_quantiles_multi(df, cols, [q], accuracy, by).drop("q")
 
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], q: float = 0.5,

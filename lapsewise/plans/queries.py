@@ -181,34 +181,46 @@ def punctuality(spark, sf):
     return present(X.punctuality(_beh(spark, sf), status=DELIVERED))
 
 
+def _narrow(df, *cols):
+    """Multi-pass statistics read only a few columns: project, then checkpoint
+    that narrow frame so later passes do not redo the joins behind it."""
+    from lapsewise.session import materialize
+    return materialize(df.select(*cols))
+
+
 @query("median_delay_by_segment")
 def median_delay_by_segment(spark, sf):
-    d = _beh(spark, sf).where(F.col("order_status") == DELIVERED)
+    d = _narrow(_beh(spark, sf).where(F.col("order_status") == DELIVERED),
+                "churned", "delivery_delay_days")
     return present(X.median_by_segment(d, "delivery_delay_days"))
 
 
 @query("delay_histogram")
 def delay_histogram(spark, sf):
-    d = X.with_segment(_beh(spark, sf).where(F.col("order_status") == DELIVERED))
+    d = _narrow(_beh(spark, sf).where(F.col("order_status") == DELIVERED),
+                "churned", "delivery_delay_days")
+    d = X.with_segment(d)
     d = X.clip_range(d.na.drop(subset=["delivery_delay_days"]), "delivery_delay_days", -30, 60)
     return present(X.histogram(d, "delivery_delay_days"))
 
 
 @query("describe_by_segment")
 def describe_by_segment(spark, sf):
-    return present(X.describe_by_segment(driver_frame(spark, sf), "payment_value"))
+    d = _narrow(driver_frame(spark, sf), "churned", "payment_value")
+    return present(X.describe_by_segment(d, "payment_value"))
 
 
 @query("clip_quantile")
 def clip_quantile(spark, sf):
-    d = X.with_segment(driver_frame(spark, sf))
+    d = X.with_segment(_narrow(driver_frame(spark, sf), "order_id", "churned", "payment_value"))
     return present(X.clip_to_group_quantile(d, "payment_value", 0.99)
                    .select("order_id", X.SEGMENT, "payment_value"))
 
 
 @query("payment_histogram")
 def payment_histogram(spark, sf):
-    d = X.clip_to_group_quantile(X.with_segment(driver_frame(spark, sf)), "payment_value", 0.99)
+    d = X.with_segment(_narrow(driver_frame(spark, sf), "churned", "payment_value"))
+    d = X.clip_to_group_quantile(d, "payment_value", 0.99)
     return present(X.histogram(d, "payment_value"))
 
 
@@ -277,16 +289,18 @@ def sentiment_by_segment(spark, sf):
 
 @query("sentiment_describe")
 def sentiment_describe(spark, sf):
-    from lapsewise.operators.stats import exact_quantiles_long
-    d = _sent(spark, sf)
+    d = _narrow(_sent(spark, sf), "sentiment_polarity", "sentiment_subjectivity")
     cols = ["sentiment_polarity", "sentiment_subjectivity"]
     pairs = [F.struct(F.lit(c).alias("name"), F.col(c).alias("x")) for c in cols]
     long = d.select(F.explode(F.array(*pairs)).alias("p")).select("p.*")
     base = long.groupBy("name").agg(F.count("x").alias("count"), F.avg("x").alias("mean"),
                                     F.stddev_samp("x").alias("std"), F.min("x").alias("min"),
                                     F.max("x").alias("max"))
-    for q, nm in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75")):
-        base = base.join(exact_quantiles_long(d, cols, q).withColumnRenamed("value", nm), "name")
+    from lapsewise.operators.stats import exact_quantiles_multi
+    qs = exact_quantiles_multi(d, cols, [0.25, 0.5, 0.75]).groupBy("name").agg(
+        *[F.max(F.when(F.col("q") == q, F.col("value"))).alias(nm)
+          for q, nm in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))])
+    base = base.join(qs, "name")
     return present(base.select(F.col("name").alias("feature"), "count", "mean", "std", "min",
                                "p25", "p50", "p75", "max"))
 
@@ -327,8 +341,9 @@ from lapsewise.operators import sampling as SP  # noqa: E402
 
 
 def _split(spark, sf):
-    df = driver_frame(spark, sf).select("order_id", "customer_unique_id",
-                                        F.col("churned").cast("int").alias("label"), "item_count")
+    # the split makes several passes (level counts, boundary rows): narrow first
+    df = _narrow(driver_frame(spark, sf), "order_id", "customer_unique_id",
+                 F.col("churned").cast("int").alias("label"), "item_count")
     return SP.stratified_split(df, "label", "order_id", 0.2, 42)
 
 
