@@ -1,24 +1,8 @@
-"""Join helpers that keep the left table's column order and size-check broadcasts."""
+"""Join helper that keeps the left table's column order (and pandas null-key matching)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-# Upper bound for any broadcast side decided here. Beyond it the planner keeps
-# a shuffle join (and AQE may still broadcast at run time from real sizes).
-DEFAULT_BROADCAST_ROWS = 100_000
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only after checking it has at most ``max_rows`` rows.
-
-    The check is a ``limit(max_rows + 1).count()`` job, so it stops reading
-    as soon as the bound is exceeded; otherwise the side stays a shuffle input.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
 
 def left_attach(df: DataFrame, other: DataFrame, key: str, how: str = "left",
                 null_safe: bool = False) -> DataFrame:
