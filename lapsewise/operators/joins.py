@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+
 def left_attach(df: DataFrame, other: DataFrame, key: str, how: str = "left",
                 null_safe: bool = False) -> DataFrame:
     """``df ⟕ other`` on ``key``; result keeps ``df``'s columns first, in order.

@@ -93,3 +93,11 @@ def test_stratified_split_exact_disjoint_and_partition_invariant(spark):
         keys = sorted((hashlib.md5(f"42:{i}".encode()).hexdigest(), i) for i, y in rows if y == lab)
         want = {i for _, i in keys[:math.ceil(n * 0.2)]}
         assert want == {i for i in ta if rows[i][1] == lab}
+
+
+def test_group_split_keeps_customers_whole(spark):
+    from lapsewise.operators.sampling import group_split
+    rows = [(i, i % 97) for i in range(2000)]
+    df = spark.createDataFrame(rows, "order_id int, customer_unique_id int")
+    out = group_split(df).groupBy("customer_unique_id").agg(F.countDistinct("fold").alias("k"))
+    assert out.where("k > 1").count() == 0
