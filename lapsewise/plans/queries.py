@@ -95,6 +95,13 @@ def _beh(spark, sf):
     return FE.add_behavioral_features(driver_frame(spark, sf))
 
 
+def _labelled_no_text(spark, sf):
+    """The labelled frame without review text, checkpointed: the feature
+    queries read it several times (vocabulary, medians, final projection)."""
+    from lapsewise.session import materialize
+    return materialize(driver_frame(spark, sf).drop("review_comment_message"))
+
+
 @query("behavioral_features")
 def behavioral_features(spark, sf):
     return present(_beh(spark, sf).select("order_id", *FE.BEHAVIORAL_COLUMNS))
@@ -107,7 +114,8 @@ IMPUTED_OUT = ("order_id", "delivery_delay_days", "days_to_delivery", "review_sc
 
 @query("impute_median")
 def impute_median(spark, sf):
-    return present(FE.impute_missing_values(_beh(spark, sf)).select(*IMPUTED_OUT))
+    beh = FE.add_behavioral_features(_labelled_no_text(spark, sf))
+    return present(FE.impute_missing_values(beh).select(*IMPUTED_OUT))
 
 
 @query("null_audit")
@@ -117,7 +125,7 @@ def null_audit(spark, sf):
 
 @query("feature_summary")
 def feature_summary(spark, sf):
-    return present(FE.feature_summary(_beh(spark, sf)))
+    return present(FE.feature_summary(FE.add_behavioral_features(_labelled_no_text(spark, sf))))
 
 
 @query("top_categories")
@@ -127,7 +135,7 @@ def top_categories(spark, sf):
 
 @query("rare_level_group")
 def rare_level_group(spark, sf):
-    df = driver_frame(spark, sf)
+    df = _labelled_no_text(spark, sf)
     return present(N.group_rare(df, N.CATEGORY, N.top_levels(df, N.CATEGORY, 15))
                    .select("order_id", N.GROUPED))
 
@@ -139,7 +147,7 @@ def _long(df, key, cols):
 
 @query("one_hot")
 def one_hot(spark, sf):
-    df = driver_frame(spark, sf)
+    df = _labelled_no_text(spark, sf)
     enc = N.encode_categoricals(df, 15)
     dummies = [c for c in enc.columns if c.startswith(("payment_type_", "customer_state_",
                                                        "product_category_grouped_"))]
@@ -148,7 +156,7 @@ def one_hot(spark, sf):
 
 @query("feature_matrix")
 def feature_matrix(spark, sf):
-    fm, names = N.build_feature_matrix(driver_frame(spark, sf), 15)
+    fm, names = N.build_feature_matrix(_labelled_no_text(spark, sf), 15)
     return present(_long(fm, "order_id", names + ["label"]))
 
 
@@ -242,7 +250,7 @@ def state_churn_topk(spark, sf):
 
 @query("category_churn")
 def category_churn(spark, sf):
-    df = driver_frame(spark, sf)
+    df = _labelled_no_text(spark, sf)
     return present(X.category_churn(df, N.top_levels(df, N.CATEGORY, 15)))
 
 
