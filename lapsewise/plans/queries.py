@@ -492,7 +492,8 @@ def model_inputs(spark, sf):
         from lapsewise.session import materialize
         # the labelled frame with text scores is read by several passes
         # (vocabulary, medians, matrix): materialise it once
-        base = materialize(TX.add_sentiment_features(driver_frame(spark, sf)))
+        base = materialize(TX.add_sentiment_features(driver_frame(spark, sf))
+                           .drop("review_comment_message"))
         # the modelling variant fills a missing item count with 1 (trees reject NaN)
         fm, names = N.build_feature_matrix(base, 15, fill_item_count=1)
         split = materialize(SP.stratified_split(materialize(fm), "label", "order_id", 0.2, 42))
