@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lapsewise.functions.exprs import fmt_pct
+from lapsewise.operators.joins import with_scalars
 
 # Campaign assumptions.
 AVG_ORDER_VALUE = 160.0
@@ -33,7 +34,7 @@ def revenue_opportunity(scored: DataFrame, threshold: DataFrame, keys: Sequence[
 
     ``threshold`` is a one-row DataFrame with a ``threshold`` column.
     """
-    s = scored.crossJoin(F.broadcast(threshold.select("threshold")))
+    s = with_scalars(scored, threshold, ["threshold"])
     pred = _pred(prob, "threshold")
     out = s.groupBy(*keys).agg(
         F.count(F.when(F.col(label) == 0, 1)).alias("actual_retained"),
@@ -54,11 +55,11 @@ def campaign_roi(scored: DataFrame, threshold: DataFrame, total_customers: DataF
     ``customers``). Net ROI % is (conversion·value − cost)/cost whatever the
     model flags; NULL when nothing is flagged.
     """
-    s = scored.crossJoin(F.broadcast(threshold.select("threshold")))
+    s = with_scalars(scored, threshold, ["threshold"])
     pred = _pred(prob, "threshold")
     out = s.groupBy(*keys).agg(F.count(F.lit(1)).alias("scored_rows"),
                                F.count(F.when(pred == 0, 1)).alias("flagged_retained"))
-    out = out.crossJoin(F.broadcast(total_customers.select("customers")))
+    out = with_scalars(out, total_customers, ["customers"])
     full = F.floor(F.col("flagged_retained") / F.col("scored_rows") * F.col("customers"))
     return (out.withColumn("flagged_full", full.cast("bigint"))
             .withColumn("campaign_cost", F.col("flagged_full") * F.lit(cost))
@@ -74,10 +75,10 @@ def findings_record(churn: DataFrame, metrics: DataFrame, roi: DataFrame,
 
     ``drivers`` has ``(feature, rank)``; at most ``top_k`` of them are listed.
     """
-    rec = (churn.select("customers", "churned_customers", "retained_customers", "churn_rate")
-           .crossJoin(metrics.select("roc_auc", "f1", "f1_churned", "threshold"))
-           .crossJoin(roi.select("flagged_full", "campaign_cost", "expected_revenue",
-                                 "net_roi_pct")))
+    rec = churn.select("customers", "churned_customers", "retained_customers", "churn_rate")
+    rec = with_scalars(rec, metrics, ["roc_auc", "f1", "f1_churned", "threshold"])
+    rec = with_scalars(rec, roi, ["flagged_full", "campaign_cost", "expected_revenue",
+                                  "net_roi_pct"])
     rec = rec.withColumn("churn_rate_text", fmt_pct("churn_rate"))
     if drivers is not None:
         top = (drivers.where(F.col("rank") <= top_k)
@@ -85,5 +86,5 @@ def findings_record(churn: DataFrame, metrics: DataFrame, roi: DataFrame,
                .select(F.transform("d", lambda x: F.format_string(
                    "Rank %d: %s", x["rank"], F.regexp_replace(x["feature"], "_", " ")))
                    .alias("top_drivers")))
-        rec = rec.crossJoin(top)
+        rec = with_scalars(rec, top)
     return rec

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lapsewise.functions.exprs import days_between, is_true, r6, safe_div
+from lapsewise.operators.joins import with_scalars
 from lapsewise.operators.stats import exact_quantiles, exact_quantiles_long
 
 BEHAVIORAL_COLUMNS = ("delivery_delay_days", "is_late_delivery", "days_to_delivery",
@@ -80,8 +81,8 @@ def impute_missing_values(df: DataFrame, fit: DataFrame | None = None,
         fills = fill_values(fit, {c: spec[c] for c in present})
         names = {c: f"__fill_{c}" for c in present}
         fills = fills.select(*[F.col(c).alias(n) for c, n in names.items()])
-        # a single row: broadcast is size-proven
-        out = df.crossJoin(F.broadcast(fills))
+        # one row of fill values, attached as scalar subqueries
+        out = with_scalars(df, fills)
         out = out.withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(n))
                                for c, n in names.items()}).drop(*names.values())
     if fill_item_count is not None and "item_count" in out.columns:
@@ -131,7 +132,7 @@ def feature_summary(df: DataFrame, cols: Sequence[str] = SUMMARY_FEATURES) -> Da
                                       F.count(F.when(F.col("x").isNull(), 1)).alias("null_count"))
     med = exact_quantiles_long(df, cols, 0.5).withColumnRenamed("name", "feature") \
         .withColumnRenamed("value", "median")
-    return (agg.join(med, "feature", "left").crossJoin(F.broadcast(n))
+    return (with_scalars(agg.join(med, "feature", "left"), n)
             .select("feature", r6("mean").alias("mean"), r6("median").alias("median"),
                     "null_count",
                     r6(F.col("null_count") / F.greatest(F.col("__n"), F.lit(1))).alias("null_share")))

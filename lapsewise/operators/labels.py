@@ -3,7 +3,7 @@
 Scale notes
 -----------
 * The cutoff is a scalar subquery (one ``max``), evaluated once and inlined
-  into the filter: no crossJoin of a growing table.
+  into the filter: no join with a growing table.
 * ``count(DISTINCT order_id)`` per customer is planned by Spark as a
   two-level aggregation, first on (customer, order) and then on customer, so
   a customer holding a third of all orders is pre-aggregated in many tasks.

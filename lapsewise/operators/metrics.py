@@ -11,8 +11,8 @@ churn probability column. Everything is a distributed aggregation:
   inside a bucket is a window partitioned by bucket;
 * the 91-threshold sweep maps every row once to the number of grid values
   ≤ its score (exact double comparisons with the grid values NumPy's
-  ``arange(0.05, 0.96, 0.01)`` produces) and reads all thresholds from
-  ≤ 92 × 2 counts, instead of 91 passes.
+  ``arange(0.05, 0.96, 0.01)`` produces); running sums over those ≤ 92
+  bucket counts give every threshold's confusion counts in one pass.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapsewise.functions.exprs import r6
+from lapsewise.operators.joins import with_scalars
 
 LABEL = "label"
 PROB = "p_churn"
@@ -95,7 +96,7 @@ def classification_metrics(scored: DataFrame, threshold: float = 0.5, label: str
                     p0.alias("precision"), r0.alias("recall"), f0.alias("f1"),
                     p1.alias("precision_churned"), r1.alias("recall_churned"),
                     f1.alias("f1_churned"))
-    return out.crossJoin(roc_auc(scored, label, prob)) \
+    return with_scalars(out, roc_auc(scored, label, prob)) \
         .withColumn("threshold", F.lit(float(threshold)))
 
 
@@ -103,7 +104,7 @@ def majority_baseline(train: DataFrame, test: DataFrame, label: str = LABEL) ->
     """M-2: predict the training majority class with a constant score, evaluate on test."""
     major = train.groupBy(label).agg(F.count(F.lit(1)).alias("n")) \
         .agg(F.max_by(label, F.struct("n", F.col(label))).alias("__major"))
-    scored = test.crossJoin(F.broadcast(major)) \
+    scored = with_scalars(test, major) \
         .withColumn(PROB, F.col("__major").cast("double")).drop("__major")
     return classification_metrics(scored, 0.5, label, PROB)
 
@@ -131,8 +132,8 @@ def running_totals(counts: DataFrame, descending: bool = True,
     raw = F.when(span > 0, F.floor((F.col("score") - F.col("__mn")) / span
                                    * F.lit(float(buckets - 1)))).otherwise(F.lit(0))
     b = (F.lit(buckets - 1) - raw) if descending else raw
-    # one-row range: broadcast is size-proven
-    c = counts.crossJoin(F.broadcast(rng)).withColumn("__b", b.cast("int")).drop("__mn", "__mx")
+    # the score range is a one-row aggregate, attached as scalars
+    c = with_scalars(counts, rng).withColumn("__b", b.cast("int")).drop("__mn", "__mx")
     per_bucket = c.groupBy("__b").agg(F.sum("pos").alias("__bp"), F.sum("neg").alias("__bn"))
     # at most `buckets` rows in this window, independent of the data size
     wb = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
@@ -156,7 +157,7 @@ def roc_auc(scored: DataFrame, label: str = LABEL, prob: str = PROB) -> DataFram
     AUC = Σ_s pos(s)·(neg below s + neg(s)/2) / (P·N); NULL for a single class.
     """
     counts = score_counts(scored, label, prob)
-    rt = running_totals(counts, descending=True).crossJoin(F.broadcast(_totals(counts)))
+    rt = with_scalars(running_totals(counts, descending=True), _totals(counts))
     term = F.col("pos") * (F.col("N") - F.col("cum_neg") + F.col("neg") * F.lit(0.5))
     return rt.agg(F.sum(term).alias("__s"), F.first("P").alias("P"), F.first("N").alias("N")) \
         .select(F.when((F.col("P") > 0) & (F.col("N") > 0),
@@ -166,7 +167,7 @@ def roc_auc(scored: DataFrame, label: str = LABEL, prob: str = PROB) -> DataFram
 def roc_curve(scored: DataFrame, label: str = LABEL, prob: str = PROB) -> DataFrame:
     """M-10: ``(threshold, fpr, tpr)`` at every distinct score plus the (+inf, 0, 0) start."""
     counts = score_counts(scored, label, prob)
-    rt = running_totals(counts, descending=True).crossJoin(F.broadcast(_totals(counts)))
+    rt = with_scalars(running_totals(counts, descending=True), _totals(counts))
     pts = rt.select(F.col("score").alias("threshold"),
                     _div(F.col("cum_neg"), F.col("N")).alias("fpr"),
                     _div(F.col("cum_pos"), F.col("P")).alias("tpr"))
@@ -189,7 +190,7 @@ def pr_curve(scored: DataFrame, label: str = LABEL, prob: str = PROB,
     score = (F.lit(1.0) - F.col(prob)) if retained else F.col(prob)
     s = scored.select(F.col(label), score.alias("__score"))
     counts = score_counts(s, label, "__score", positive=0 if retained else 1)
-    rt = running_totals(counts, descending=True).crossJoin(F.broadcast(_totals(counts)))
+    rt = with_scalars(running_totals(counts, descending=True), _totals(counts))
     precision = _div(F.col("cum_pos"), F.col("cum_pos") + F.col("cum_neg"))
     recall = F.when(F.col("P") > 0, F.col("cum_pos") / F.col("P")).otherwise(F.lit(1.0))
     return rt.select(F.col("score").alias("threshold"), precision.alias("precision"),
@@ -215,17 +216,19 @@ def threshold_grid(scored: DataFrame, label: str = LABEL, prob: str = PROB,
     """M-11 table: retained-class precision/recall/F1 at each grid threshold, one pass."""
     arr = F.array(*[F.lit(t) for t in grid])
     cnt = F.size(F.filter(arr, lambda t: t <= F.col(prob)))
-    counts = (scored.groupBy(cnt.alias("c"), F.col(label).alias("y"))
-              .agg(F.count(F.lit(1)).alias("n")))
+    # per bucket c (number of grid values ≤ p): retained / churned rows
+    counts = (scored.groupBy(cnt.alias("j"))
+              .agg(F.count(F.when(F.col(label) == 0, 1)).alias("n0"),
+                   F.count(F.when(F.col(label) != 0, 1)).alias("n1")))
     spark = scored.sparkSession
     g = spark.createDataFrame([(j, t) for j, t in enumerate(grid)], "j int, threshold double")
-    # grid (91 rows) × counts (≤ 184 rows): a bounded product
-    x = F.broadcast(g).crossJoin(counts)
-    pred_retained = F.col("c") <= F.col("j")
-    agg = x.groupBy("j", "threshold").agg(
-        F.sum(F.when(pred_retained & (F.col("y") == 0), F.col("n")).otherwise(0)).alias("tp"),
-        F.sum(F.when(pred_retained & (F.col("y") != 0), F.col("n")).otherwise(0)).alias("fp"),
-        F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("pos"))
+    # p < t_j  <=>  c ≤ j: TP/FP at threshold j are running sums of buckets 0..j
+    # (a window over the 91 grid rows only)
+    w = Window.orderBy("j").rowsBetween(Window.unboundedPreceding, 0)
+    sums = (g.join(counts, "j", "left").na.fill(0, ["n0", "n1"])
+            .withColumn("tp", F.sum("n0").over(w)).withColumn("fp", F.sum("n1").over(w)))
+    total0 = scored.agg(F.count(F.when(F.col(label) == 0, 1)).alias("pos"))
+    agg = with_scalars(sums, total0)
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("pos") - F.col("tp")
     return agg.select("j", "threshold", _div(tp, tp + fp).alias("precision"),
                       _div(tp, tp + fn).alias("recall"),
@@ -250,5 +253,4 @@ def top_decile(scored: DataFrame, prob: str = PROB, q: float = 0.9) -> DataFrame
     from lapsewise.operators.stats import exact_quantiles
     s = scored.withColumn("p_retained", F.lit(1.0) - F.col(prob))
     cut = exact_quantiles(s, ["p_retained"], q).select(F.col("p_retained").alias("__cut"))
-    # one-row cut: broadcast is size-proven
-    return s.crossJoin(F.broadcast(cut)).where(F.col("p_retained") >= F.col("__cut")).drop("__cut")
+    return with_scalars(s, cut).where(F.col("p_retained") >= F.col("__cut")).drop("__cut")

@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lapsewise.functions.exprs import hash_key, is_true, non_blank
+from lapsewise.operators.joins import with_scalars
 
 TOKEN_PATTERN = r"[\p{L}']+"
 
@@ -208,6 +209,6 @@ def theme_counts(df: DataFrame, key: str = "review_id",
         F.count(F.lit(1)).alias("reviews_with_theme"),
         F.min_by(F.col(key), F.struct(-F.col("hits"), F.col(key))).alias("representative_id"),
         F.max("hits").alias("representative_hits"))
-    return (per_theme.crossJoin(F.broadcast(total))
+    return (with_scalars(per_theme, total)
             .withColumn("share", F.col("reviews_with_theme") / F.col("reviews"))
             .drop("reviews"))
