@@ -59,3 +59,16 @@ def test_master_join_one_row_per_order(spark):
     t = model_tables(spark, "/root/testdata/sf0.001")
     m = join_tables(t, payment_order=PAYMENT_ORDER)
     assert m.count() == t["orders"].count() == m.select("order_id").distinct().count()
+
+
+def test_null_safe_lookup_matches_null_keys(spark):
+    items = spark.createDataFrame([("o1", 1, "p1", 1.0, 0.1)],
+                                  "order_id string, order_item_id int, product_id string, "
+                                  "price double, freight_value double")
+    products = spark.createDataFrame([("p1", None)], "product_id string, product_category_name string")
+    lookup = spark.createDataFrame([(None, "unnamed")],
+                                   "product_category_name string, product_category_name_english string")
+    plain = items_per_order(items, products, lookup).first()["product_category_english"]
+    pandas_like = items_per_order(items, products, lookup, null_safe_lookup=True) \
+        .first()["product_category_english"]
+    assert plain is None and pandas_like == "unnamed"
