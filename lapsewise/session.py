@@ -27,7 +27,9 @@ SCALE_DEFAULTS = {
 def get_session(master: str | None = None, app: str = "lapsewise",
                 shuffle_partitions: int | None = None) -> SparkSession:
     builder = (SparkSession.builder.appName(app).config("spark.ui.enabled", "false")
-               .config("spark.ui.showConsoleProgress", "false"))
+               .config("spark.ui.showConsoleProgress", "false")
+               # remove reliable checkpoints once their DataFrames are garbage-collected
+               .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true"))
     if master:
         builder = builder.master(master)
     if master and master.startswith("local"):
