@@ -101,3 +101,40 @@ def test_group_split_keeps_customers_whole(spark):
     df = spark.createDataFrame(rows, "order_id int, customer_unique_id int")
     out = group_split(df).groupBy("customer_unique_id").agg(F.countDistinct("fold").alias("k"))
     assert out.where("k > 1").count() == 0
+
+
+def _pr_points(rows):
+    """Retained-class PR points (score 1 - p, positive = label 0), ascending thresholds."""
+    scores = sorted({1.0 - p for _, p in rows})
+    pos = sum(1 for y, _ in rows if y == 0)
+    out = []
+    for t in scores:
+        tp = sum(1 for y, p in rows if y == 0 and 1.0 - p >= t)
+        fp = sum(1 for y, p in rows if y != 0 and 1.0 - p >= t)
+        prec = tp / (tp + fp) if tp + fp else 0.0
+        rec = tp / pos if pos else 1.0
+        f1 = 2 * prec * rec / (prec + rec) if prec + rec else 0.0
+        out.append((t, prec, rec, f1))
+    return out
+
+
+def test_pr_threshold_and_youden_brute_force(spark):
+    rnd = random.Random(23)
+    rows = [(int(rnd.random() < 0.75), round(rnd.random(), 2)) for _ in range(400)]
+    df = spark.createDataFrame(rows, "label int, p_churn double")
+    pts = _pr_points(rows)
+    best = max(pts, key=lambda x: (x[3], -x[0]))          # argmax, first = lowest threshold
+    got = M.pr_threshold(df).first()
+    assert got["threshold"] == pytest.approx(best[0]) and got["f1"] == pytest.approx(best[3])
+    assert M.pr_curve(df).count() == len(pts)
+    # Youden on the churn score: thresholds descending from +inf, first max wins (highest)
+    P = sum(1 for y, _ in rows if y == 1)
+    N = len(rows) - P
+    cands = [(0.0, float("inf"))]
+    for t in sorted({p for _, p in rows}, reverse=True):
+        tpr = sum(1 for y, p in rows if y == 1 and p >= t) / P
+        fpr = sum(1 for y, p in rows if y == 0 and p >= t) / N
+        cands.append((tpr - fpr, t))
+    j, t = max(cands, key=lambda x: (x[0], x[1]))
+    got = M.youden_threshold(df).first()
+    assert got["threshold"] == t and got["j"] == pytest.approx(j)
