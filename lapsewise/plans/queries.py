@@ -12,10 +12,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lapsewise.functions.exprs import non_blank
+from lapsewise.operators import attribution as AT
+from lapsewise.operators import business as B
+from lapsewise.operators import encode as N
+from lapsewise.operators import explore as X
+from lapsewise.operators import features as FE
 from lapsewise.operators import labels as L
+from lapsewise.operators import metrics as M
+from lapsewise.operators import models as MD
 from lapsewise.operators import orders as O
+from lapsewise.operators import sampling as SP
+from lapsewise.operators import text as TX
 from lapsewise.plans.pipeline import TEST_WINDOW_MONTHS, driver_frame, present
-from lapsewise.sources.driver import PAYMENT_ORDER, model_tables
+from lapsewise.sources.driver import PAYMENT_ORDER, model_tables, read_driver
+from lapsewise.sources.files import source_summary as _source_summary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -87,8 +98,6 @@ def order_master_join(spark, sf):
 
 # --- features, imputation, encoding -------------------------------------------------
 
-from lapsewise.operators import encode as N  # noqa: E402
-from lapsewise.operators import features as FE  # noqa: E402
 
 
 def _beh(spark, sf):
@@ -162,8 +171,6 @@ def feature_matrix(spark, sf):
 
 # --- exploratory aggregates ---------------------------------------------------------
 
-from lapsewise.operators import explore as X  # noqa: E402
-from lapsewise.functions.exprs import non_blank  # noqa: E402
 
 # The driver orders carry TPC-H statuses; 'F' (fulfilled) plays "delivered".
 DELIVERED = "F"
@@ -272,7 +279,6 @@ def distinct_levels(spark, sf):
 
 # --- review text -------------------------------------------------------------------
 
-from lapsewise.operators import text as TX  # noqa: E402
 
 
 def _sent(spark, sf):
@@ -343,9 +349,6 @@ def theme_counts(spark, sf):
 
 # --- split, metrics, thresholds, business ------------------------------------------
 
-from lapsewise.operators import business as B  # noqa: E402
-from lapsewise.operators import metrics as M  # noqa: E402
-from lapsewise.operators import sampling as SP  # noqa: E402
 
 
 def _split(spark, sf):
@@ -478,8 +481,6 @@ def findings_record(spark, sf):
 
 # --- models and attribution (no SQL oracle: rows-only checks) ----------------------
 
-from lapsewise.operators import attribution as AT  # noqa: E402
-from lapsewise.operators import models as MD  # noqa: E402
 
 SMOKE_TREES = 20
 _MODELS: dict = {}
@@ -558,8 +559,6 @@ def sentiment_contribution(spark, sf):
 
 # --- remaining inventory items --------------------------------------------------------
 
-from lapsewise.sources.driver import read_driver  # noqa: E402
-from lapsewise.sources.files import source_summary as _source_summary  # noqa: E402
 
 
 @query("source_summary")
