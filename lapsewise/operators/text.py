@@ -190,6 +190,23 @@ def negative_churned_reviews(orders: DataFrame, customers: DataFrame, reviews: D
                    & is_true(F.col("review_score") <= max_score)))
 
 
+def review_candidates(mode: str, labelled: DataFrame | None = None,
+                      tables: dict[str, DataFrame] | None = None,
+                      max_score: int = 3) -> DataFrame:
+    """Negative reviews of churned customers, in either of the two definitions.
+
+    ``mode='window'``: the labelled, windowed frame (distinct-order label,
+    latest review per order, non-blank text). ``mode='all'``: the whole data
+    (row-count label over all orders, every review, non-NULL text).
+    """
+    if mode == "window":
+        return review_pool(labelled, max_score)
+    if mode == "all":
+        return negative_churned_reviews(tables["orders"], tables["customers"],
+                                        tables["order_reviews"], max_score)
+    raise ValueError("mode must be 'window' or 'all'")
+
+
 def theme_dictionary(spark: SparkSession) -> DataFrame:
     rows = [(theme, term) for theme, terms in THEMES.items() for term in terms]
     return spark.createDataFrame(rows, "theme string, term string")

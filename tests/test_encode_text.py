@@ -77,3 +77,25 @@ def test_too_many_levels_raise(spark):
     df = spark.range(50).select(F.col("id").cast("string").alias("c"))
     with pytest.raises(ValueError):
         levels(df, "c", cap=10)
+
+
+def test_review_candidates_modes(spark):
+    from lapsewise.operators.text import review_candidates
+    lab = spark.createDataFrame([(1, True, 2, "ruim"), (2, True, 5, "bom"), (3, False, 1, "x"),
+                                 (4, True, 1, " ")],
+                                "order_id int, churned boolean, review_score int, "
+                                "review_comment_message string")
+    assert [r["order_id"] for r in review_candidates("window", labelled=lab).collect()] == [1]
+    orders = spark.createDataFrame([("o1", "c1"), ("o2", "c2"), ("o3", "c2")],
+                                   "order_id string, customer_id string")
+    customers = spark.createDataFrame([("c1", "u1"), ("c2", "u2")],
+                                      "customer_id string, customer_unique_id string")
+    reviews = spark.createDataFrame([("r1", "o1", 1, "late"), ("r2", "o1", 2, None),
+                                     ("r3", "o2", 1, "bad")],
+                                    "review_id string, order_id string, review_score int, "
+                                    "review_comment_message string")
+    got = review_candidates("all", tables={"orders": orders, "customers": customers,
+                                           "order_reviews": reviews}).collect()
+    assert [r["review_id"] for r in got] == ["r1"]
+    with pytest.raises(ValueError):
+        review_candidates("other")
