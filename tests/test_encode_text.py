@@ -99,3 +99,25 @@ def test_review_candidates_modes(spark):
     assert [r["review_id"] for r in got] == ["r1"]
     with pytest.raises(ValueError):
         review_candidates("other")
+
+
+def test_vocabulary_tie_at_top15_cut_and_null_category(spark):
+    from lapsewise.operators.encode import GROUPED, encode_categoricals, fit_vocabulary
+    rows, k = [], 0
+    # c00..c13 with 30-i rows, c14 and c15 tied at 5 rows, c16 with 1 row, plus NULLs
+    sizes = {f"c{i:02d}": 30 - i for i in range(14)} | {"c14": 5, "c15": 5, "c16": 1}
+    for name, n in sizes.items():
+        for _ in range(n):
+            rows.append((k, name, "card", "SP")); k += 1
+    rows += [(k, None, "card", "RJ"), (k + 1, None, "boleto", "SP")]
+    df = spark.createDataFrame(rows, "order_id int, product_category_english string, "
+                                     "payment_type string, customer_state string")
+    v = fit_vocabulary(df, 15)
+    assert len(v["__top"]) == 15 and "c14" in v["__top"] and "c15" not in v["__top"]
+    assert v[GROUPED] == sorted(v["__top"] + ["other"])
+    assert v["payment_type"] == ["boleto", "card"] and v["customer_state"] == ["RJ", "SP"]
+    enc = encode_categoricals(df, 15, v)
+    cols = [c for c in enc.columns if c.startswith(GROUPED + "_")]
+    assert len(cols) == 15 and GROUPED + "_c00" not in cols   # smallest level is the base
+    nulls = enc.where("order_id >= %d" % k).collect()
+    assert all(r[GROUPED + "_other"] for r in nulls)
