@@ -10,12 +10,14 @@ from __future__ import annotations
 import os
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from lapsewise.session import scratch_path
 
@@ -72,6 +74,33 @@ def chunked(texts: list[bytes], limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
         yield at, len(texts)
 
 
+def map_texts(docs: DataFrame, keep: list[str], fields: str,
+              make: Callable[[], Callable[[list[bytes]], list]], text: str = "text") -> DataFrame:
+    """The columns ``keep`` of ``docs`` plus ``fields`` (DDL), computed from the whole texts.
+
+    ``make()`` runs once a task and returns the function from texts to one
+    array for each field. One scan, no shuffle; a task holds a few hundred
+    rows of text at a time.
+    """
+    kept = [docs.schema[c] for c in keep]
+    added = list(StructType.fromDDL(fields))
+    schema = StructType(kept + added)
+    arrow = to_arrow_schema(schema)
+    carried = [F.col(c) for c in keep] + [F.col(text).alias("__text")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = make()
+        for batch in slices(batches):
+            texts = texts_of(batch.column(len(keep)))
+            for a, b in chunked(texts):
+                made = of(texts[a:b])
+                own = [batch.column(i).slice(a, b - a).cast(arrow.field(i).type) for i in range(len(keep))]
+                own += [pa.array(x, arrow.field(len(keep) + i).type) for i, x in enumerate(made)]
+                yield pa.RecordBatch.from_arrays(own, schema=arrow)
+
+    return docs.select(*carried).mapInArrow(run, schema)
+
+
 # -- words as arrays -----------------------------------------------------------------------------
 
 _MULTIPLIER = 0x9E3779B97F4A7C15
@@ -133,11 +162,15 @@ class Words:
         self.first = np.searchsorted(self.start, self.base)
         self.doc = np.repeat(np.arange(len(texts)), np.diff(self.first))
         if hashes:
-            up, down = _power_table(len(self.buf) + 1)
-            total = np.concatenate([np.zeros(1, np.uint64),
-                                    np.cumsum(_BYTE_CODE[self.buf] * up[: len(self.buf)])])
-            self.hash = mix((total[self.end] - total[self.start]) * down[self.start]
-                            + (self.end - self.start).astype(np.uint64))
+            up, self._down = _power_table(len(self.buf) + 1)
+            self._total = np.concatenate([np.zeros(1, np.uint64),
+                                          np.cumsum(_BYTE_CODE[self.buf] * up[: len(self.buf)])])
+            self.hash = self.part_hash(self.start, self.end)
+
+    def part_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """64-bit hashes of byte ranges; equal bytes have equal hashes."""
+        return mix((self._total[end] - self._total[start]) * self._down[start]
+                   + (end - start).astype(np.uint64))
 
     def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """(hash, text index) of every run of ``n`` words inside one text."""

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapsewise.llm import quality, url_filter
-from lapsewise.llm.common import table
+from lapsewise.llm import langid, quality, toxicity, url_filter
+from lapsewise.llm.common import fold, table
 
 # Fixed values of the URL query: the five rules, and the listed canonical addresses.
 URL_RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
@@ -14,6 +14,22 @@ URL_RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.
 URL_LISTED = ("cheap-pills.example.com/", "spam-farm.example.org/")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = fold(F.col("doc_id"), 5) == 0
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"), ~held_out)
+    out = toxicity.score(docs, model, ["doc_id"])
+    return out.select("doc_id", held_out.alias("held_out"), "score",
+                      (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = fold(F.col("doc_id"), 4) == 2
+    model = langid.fit(table(spark, sf_dir, "documents", "doc_id", "text", "lang"), ~held_out)
+    out = langid.identify(table(spark, sf_dir, "documents", "doc_id", "text"), model, ["doc_id"])
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = spark.createDataFrame(
         [(h, p, v, 1) for h, p, v in URL_RULES]
@@ -30,6 +46,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_toxicity": op3_toxicity,
+    "op5_language_id": op5_language_id,
     "op9_url_filter": op9_url_filter,
     "op10_quality_rules": op10_quality_rules,
 }
