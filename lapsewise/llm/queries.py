@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapsewise.llm import langid, quality, toxicity, url_filter
+from lapsewise.llm import byte_bpe, langid, quality, toxicity, url_filter
 from lapsewise.llm.common import fold, table
 
 # Fixed values of the URL query: the five rules, and the listed canonical addresses.
@@ -14,6 +15,12 @@ URL_RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.
 URL_LISTED = ("cheap-pills.example.com/", "spam-farm.example.org/")
 
 
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.round_trip(table(spark, sf_dir, "documents", "doc_id", "text"),
+                               public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
+                               public_tokenizers.PATTERN, ["doc_id"])
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = fold(F.col("doc_id"), 5) == 0
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
@@ -46,6 +53,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_byte_bpe": op1_byte_bpe,
     "op3_toxicity": op3_toxicity,
     "op5_language_id": op5_language_id,
     "op9_url_filter": op9_url_filter,

@@ -30,7 +30,7 @@ WORD_BUCKETS, GRAM_BUCKETS, DIM, HIDDEN = 1 << 16, 1 << 18, 2, 6
 TABLE_RATE = 0.05
 #: A bucket's log odds: documents that it needs, and documents at the base rate added to it.
 SUPPORT, PSEUDO = 3, 2
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 1500, 2500, 1 << 16
+SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 1200, 1800, 1 << 14
 
 
 @dataclass
@@ -55,6 +55,15 @@ class Inputs:
 
 
 def inputs(texts: list[bytes]) -> Inputs:
+    parts = [_inputs(texts[a:b]) for a, b in chunked(texts)] or [_inputs([])]
+    if len(parts) == 1:
+        return parts[0]
+    shift = np.cumsum([0] + [len(p.word) for p in parts])
+    return Inputs(np.concatenate([p.word for p in parts]), np.hstack([p.gram for p in parts]),
+                  np.concatenate([[0]] + [p.first[1:] + k for p, k in zip(parts, shift)]))
+
+
+def _inputs(texts: list[bytes]) -> Inputs:
     w = Words(texts, lower=True)
     size = w.end - w.start
     grams = [w.part_hash(w.start, w.start + np.minimum(size, n)) for n in PREFIXES]
@@ -200,8 +209,8 @@ def window_logits(model: Model, v: np.ndarray, rows: np.ndarray, piece: int = 20
 
 def _log_odds(bucket: np.ndarray, doc: np.ndarray, y: np.ndarray, size: int) -> np.ndarray:
     """Smoothed log odds of each bucket by the documents of either label that have it."""
-    pairs = np.unique(doc.astype(np.int64) * size + bucket)
-    hit, of = pairs % size, y[pairs // size]
+    pairs = np.unique(doc.astype(np.uint32) * np.uint32(size) + bucket.astype(np.uint32))
+    hit, of = pairs % np.uint32(size), y[pairs // np.uint32(size)]
     toxic, clean = (np.bincount(hit[of == k], minlength=size) for k in (1, 0))
     rate = (y.sum() + 1) / (len(y) + 2)
     share = (toxic + PSEUDO * rate) / (toxic + clean + PSEUDO)
