@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapsewise.llm import byte_bpe, langid, quality, toxicity, url_filter
+from lapsewise.llm import (byte_bpe, langid, packing, quality, token_store, toxicity,
+                           url_filter)
 from lapsewise.llm.common import fold, table
+from lapsewise.session import scratch_path
 
 # Fixed values of the URL query: the five rules, and the listed canonical addresses.
 URL_RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
@@ -21,6 +25,11 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                                public_tokenizers.PATTERN, ["doc_id"])
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"),
+                        public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = fold(F.col("doc_id"), 5) == 0
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
@@ -37,6 +46,13 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scratch_path(spark, f"token-files-{uuid.uuid4().hex}")
+    token_store.write_tokens(table(spark, sf_dir, "documents", "doc_id", "text"),
+                             public_tokenizers.path("byte_bpe_50k.json"), out)
+    return token_store.digests(spark, out)
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = spark.createDataFrame(
         [(h, p, v, 1) for h, p, v in URL_RULES]
@@ -54,8 +70,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_packing": op2_packing,
     "op3_toxicity": op3_toxicity,
     "op5_language_id": op5_language_id,
+    "op7_token_files": op7_token_files,
     "op9_url_filter": op9_url_filter,
     "op10_quality_rules": op10_quality_rules,
 }
