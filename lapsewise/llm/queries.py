@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapsewise.llm import (byte_bpe, langid, packing, quality, token_store, toxicity,
-                           url_filter)
+from lapsewise.llm import (byte_bpe, langid, packing, ppm, quality, token_store,
+                           toxicity, url_filter)
 from lapsewise.llm.common import fold, table
 from lapsewise.session import scratch_path
 
@@ -46,6 +46,13 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = fold(F.col("doc_id"), 7) == 2
+    out = ppm.score(table(spark, sf_dir, "documents", "doc_id", "text"), ~held_out)
+    return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens",
+                      "base_score", "score")
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scratch_path(spark, f"token-files-{uuid.uuid4().hex}")
     token_store.write_tokens(table(spark, sf_dir, "documents", "doc_id", "text"),
@@ -73,6 +80,7 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op3_toxicity": op3_toxicity,
     "op5_language_id": op5_language_id,
+    "op6_lm_scores": op6_lm_scores,
     "op7_token_files": op7_token_files,
     "op9_url_filter": op9_url_filter,
     "op10_quality_rules": op10_quality_rules,
