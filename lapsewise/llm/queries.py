@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapsewise.llm import (byte_bpe, langid, packing, ppm, quality, token_store,
-                           toxicity, url_filter)
+from lapsewise.llm import (byte_bpe, fingerprints, jaccard_join, langid, packing, ppm,
+                           quality, token_store, toxicity, url_filter)
 from lapsewise.llm.common import fold, table
 from lapsewise.session import scratch_path
 
@@ -39,6 +39,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                       (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join_groups(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = fold(F.col("doc_id"), 4) == 2
     model = langid.fit(table(spark, sf_dir, "documents", "doc_id", "text", "lang"), ~held_out)
@@ -60,6 +64,10 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.digests(spark, out)
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_edited(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = spark.createDataFrame(
         [(h, p, v, 1) for h, p, v in URL_RULES]
@@ -79,9 +87,11 @@ QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_packing": op2_packing,
     "op3_toxicity": op3_toxicity,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_language_id": op5_language_id,
     "op6_lm_scores": op6_lm_scores,
     "op7_token_files": op7_token_files,
+    "op8_fingerprints": op8_fingerprints,
     "op9_url_filter": op9_url_filter,
     "op10_quality_rules": op10_quality_rules,
 }
