@@ -20,10 +20,11 @@ from pyspark.sql import functions as F
 from lapsewise.llm.common import written
 
 #: Digests of the first version in a table, on average, and cells of a part on each try.
-PER_TABLE, CELLS = 6, (6, 24, 96)
+PER_TABLE, CELLS = 3, (4, 12, 48)
 #: Cells of a part in the printed fingerprint.
 PRINTED_CELLS = 4
-ROUNDS = 8
+#: Rounds of peeling before a larger table is tried.
+ROUNDS = 6
 PARAGRAPH = r"\n|(?<=[.!?])[ \t]+"
 
 
@@ -42,11 +43,12 @@ def _check(d: Column) -> Column:
     return F.xxhash64(d, F.lit("check"))
 
 
-def _places(d: Column, cells: int) -> Column:
-    """The cell of each part that holds ``d``, as an array of three."""
-    return let(F.xxhash64(d, F.lit(cells)), lambda h: F.array(*[
-        (F.pmod(F.shiftrightunsigned(h, 20 * part), F.lit(cells)) + part * cells).cast("int")
-        for part in range(3)]))
+def _placed(d: Column, check: Column, cells: int, **more: Column) -> Column:
+    """struct(d, h, p0, p1, p2): a digest, its check, and its cell in each part; and ``more``."""
+    return let(F.xxhash64(d, F.lit(cells)), lambda h: F.struct(
+        d.alias("d"), check.alias("h"), *[
+            (F.pmod(F.shiftrightunsigned(h, 20 * part), F.lit(cells)) + part * cells).cast("int")
+            .alias(f"p{part}") for part in range(3)], *[v.alias(k) for k, v in more.items()]))
 
 
 def _cell(count: Column, key: Column, check: Column) -> Column:
@@ -56,13 +58,16 @@ def _cell(count: Column, key: Column, check: Column) -> Column:
 def sketch(keys: Column, cells: int) -> Column:
     """The table of an array of distinct digests: 3 * ``cells`` cells."""
     nothing = _cell(F.lit(0), F.lit(0).cast("long"), F.lit(0).cast("long"))
-    placed = F.transform(keys, lambda d: F.struct(d.alias("d"), _check(d).alias("h"),
-                                                  _places(d, cells).alias("p")))
-    return let(placed, lambda some: F.transform(
-        F.sequence(F.lit(0), F.lit(3 * cells - 1)),
-        lambda i: F.aggregate(
-            F.filter(some, lambda e: F.array_contains(e["p"], i)), nothing,
-            lambda s, e: _cell(s["c"] + 1, s["k"].bitwiseXOR(e["d"]), s["h"].bitwiseXOR(e["h"])))))
+
+    def part(some: Column, number: int) -> Column:
+        return F.transform(
+            F.sequence(F.lit(number * cells), F.lit((number + 1) * cells - 1)),
+            lambda i: F.aggregate(
+                F.filter(some, lambda e: e[f"p{number}"] == i), nothing,
+                lambda s, e: _cell(s["c"] + 1, s["k"].bitwiseXOR(e["d"]), s["h"].bitwiseXOR(e["h"]))))
+
+    placed = F.transform(keys, lambda d: _placed(d, _check(d), cells))
+    return let(placed, lambda some: F.concat(*[part(some, number) for number in range(3)]))
 
 
 def subtract(a: Column, b: Column) -> Column:
@@ -74,13 +79,13 @@ def peel(table: Column, cells: int) -> Column:
     """struct(ok, plus, minus): whether the table of a difference peels to nothing, and how many
     digests only the first and only the second version has."""
     def remove(x: Column, i: Column, found: Column) -> Column:
-        return F.aggregate(F.filter(found, lambda p: F.array_contains(p["p"], i)), x, lambda s, p: _cell(
-            s["c"] - p["c"], s["k"].bitwiseXOR(p["k"]), s["h"].bitwiseXOR(p["h"])))
+        own = F.filter(found, lambda p: (p["p0"] == i) | (p["p1"] == i) | (p["p2"] == i))
+        return F.aggregate(own, x, lambda s, p: _cell(
+            s["c"] - p["c"], s["k"].bitwiseXOR(p["d"]), s["h"].bitwiseXOR(p["h"])))
 
     def step(state: Column) -> Column:
         pure = F.filter(state["cells"], lambda x: (F.abs(x["c"]) == 1) & (x["h"] == _check(x["k"])))
-        keys = F.transform(F.array_distinct(pure), lambda x: F.struct(
-            x["c"].alias("c"), x["k"].alias("k"), x["h"].alias("h"), _places(x["k"], cells).alias("p")))
+        keys = F.transform(F.array_distinct(pure), lambda x: _placed(x["k"], x["h"], cells, c=x["c"]))
         return let(keys, lambda found: F.when(F.size(found) == 0, state).otherwise(F.struct(
             F.transform(state["cells"], lambda x, i: remove(x, i, found)).alias("cells"),
             (state["plus"] + F.size(F.filter(found, lambda p: p["c"] == 1))).alias("plus"),
@@ -93,17 +98,19 @@ def peel(table: Column, cells: int) -> Column:
         s["plus"].alias("plus"), s["minus"].alias("minus")))
 
 
-def difference(a: Column, b: Column) -> Column:
-    """struct(ok, plus, minus) of two digest arrays from their sketches, larger ones where one fails;
-    should the largest fail too, the arrays themselves are compared."""
-    def attempt(sizes: tuple[int, ...]) -> Column:
+def differences(a: Column, others: dict[str, Column]) -> Column:
+    """For each of ``others``, struct(ok, plus, minus) against ``a`` from the sketches, larger ones
+    where one fails; should the largest fail too, the arrays themselves are compared."""
+    def attempt(b: Column, sizes: tuple[int, ...], own: Column | None = None) -> Column:
         if not sizes:
             return F.struct(F.lit(True).alias("ok"), F.size(F.array_except(a, b)).alias("plus"),
                             F.size(F.array_except(b, a)).alias("minus"))
-        tried = peel(subtract(sketch(a, sizes[0]), sketch(b, sizes[0])), sizes[0])
-        return let(tried, lambda r: F.when(r["ok"], r).otherwise(attempt(sizes[1:])))
+        own = sketch(a, sizes[0]) if own is None else own
+        tried = peel(subtract(own, sketch(b, sizes[0])), sizes[0])
+        return let(tried, lambda r: F.when(r["ok"], r).otherwise(attempt(b, sizes[1:])))
 
-    return attempt(CELLS)
+    return let(sketch(a, CELLS[0]), lambda own: F.struct(
+        *[attempt(b, CELLS, own).alias(name) for name, b in others.items()]))
 
 
 def printed(keys: Column) -> Column:
@@ -181,11 +188,11 @@ def compare_edited(docs: DataFrame, text: str = "text") -> DataFrame:
     small = rows.groupBy("k", "h", "copy", "r.table").agg(
         of(0).alias("a"), of(1).alias("e"), of(2).alias("x"), F.max("r.about").alias("about"),
         F.max("doc_id").alias("doc_id"))
-    found = small.select("k", "h", "copy", "doc_id", "about", difference(F.col("a"), F.col("e")).alias("edit"),
-                         difference(F.col("a"), F.col("x")).alias("next"))
+    found = small.select("k", "h", "copy", "doc_id", "about", differences(
+        F.col("a"), {"edit": F.col("e"), "next": F.col("x")}).alias("by"))
     total = found.groupBy("k", "h", "copy").agg(
         F.max("doc_id").alias("doc_id"), F.max("about").alias("about"),
-        *[F.sum(f"{v}.{s}").alias(f"{v}_{s}") for v in ("edit", "next") for s in ("plus", "minus")])
+        *[F.sum(f"by.{v}.{s}").alias(f"{v}_{s}") for v in ("edit", "next") for s in ("plus", "minus")])
 
     def near(v: str) -> Column:
         union = F.col("about.size") + F.col(f"{v}_minus")

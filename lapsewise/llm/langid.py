@@ -171,11 +171,12 @@ def fit(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang")
     return train(x, [r["lang"] for r in shown])
 
 
-def identify(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
-    """The columns ``keep`` plus ``lang_pred`` and ``score`` (0 to 1) of every whole text.
+def identify(docs: DataFrame, model: Model, keep: list[str],
+             names: tuple[str, str] = ("lang_pred", "score"), text: str = "text") -> DataFrame:
+    """The columns ``keep`` plus the language and the score (0 to 1) of every whole text.
 
     A null text, and one without a letter, is ``und`` with score 0.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return map_texts(docs, keep, "lang_pred string, score double",
+    return map_texts(docs, keep, f"{names[0]} string, {names[1]} double",
                      lambda: lambda texts: list(predict(shared.value, texts)), text)
