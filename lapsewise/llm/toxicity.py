@@ -26,6 +26,8 @@ PREFIXES = (3, 4, 5, 6, 7, 8, 10)
 #: Sizes of the hashed tables, of a vector in them, and of the hidden state.
 WORD_BUCKETS, GRAM_BUCKETS, DIM, HIDDEN = 1 << 16, 1 << 18, 2, 6
 #: Bounds of the training sample: rows of each label, characters of a text.
+#: Windows of a training step, and steps of a turn (two passes over its windows at least).
+BATCH, STEPS = 256, 60
 #: Step of the tables' rows against that of the network.
 TABLE_RATE = 0.05
 #: A bucket's log odds: documents that it needs, and documents at the base rate added to it.
@@ -217,7 +219,7 @@ def _log_odds(bucket: np.ndarray, doc: np.ndarray, y: np.ndarray, size: int) ->
     return np.where(toxic + clean >= SUPPORT, np.log(share / (1 - share)) - np.log(rate / (1 - rate)), 0)
 
 
-def train(texts: list[bytes], labels: np.ndarray, epochs: int = 8, seed: int = 7) -> Model:
+def train(texts: list[bytes], labels: np.ndarray, turns: int = 4, seed: int = 7) -> Model:
     """A model from labelled texts; without both labels, one that scores all texts by their share."""
     rng = np.random.default_rng(seed)
     y = np.asarray(labels, np.int64)
@@ -243,13 +245,15 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = 8, seed: int = 7
     model.gram[:, 0] = np.clip(_log_odds(x.gram[:, mine].ravel(), np.tile(of_word, len(x.gram)), seen,
                                          GRAM_BUCKETS), -1, 4) / 3
     rows, of = windows(x.first, len(x.word))
-    for epoch in range(epochs):
-        if epoch in (0, 2, 4, 6):
-            v = vectors(model, x)
-            score = (v[:, 0] + v[:, DIM])[rows].max(0) if epoch == 0 else window_logits(model, v, rows)
-            chosen, target = _choose(score, of, y, apart, rng)
-        for at in np.array_split(rng.permutation(len(chosen)), max(1, len(chosen) // 256)):
-            _step(model, x, rows[:, chosen[at]], target[at], 0.01 if epoch < 5 else 0.003)
+    for turn in range(turns):
+        v = vectors(model, x)
+        score = window_logits(model, v, rows) if turn else (v[:, 0] + v[:, DIM])[rows].max(0)
+        chosen, target = _choose(score, of, y, apart, rng)
+        done, least = 0, max(2 * -(-len(chosen) // BATCH), STEPS)
+        while done < least:
+            for at in np.array_split(rng.permutation(len(chosen)), -(-len(chosen) // BATCH)):
+                _step(model, x, rows[:, chosen[at]], target[at], 0.01 if turn < turns - 1 else 0.003)
+                done += 1
     seen = pooled(window_logits(model, vectors(model, x), rows), of, len(texts))
     held = apart if apart.any() else ~apart
     model.scale = _calibrate(seen[held], y[held])
