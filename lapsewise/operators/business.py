@@ -69,6 +69,15 @@ def campaign_roi(scored: DataFrame, threshold: DataFrame, total_customers: DataF
                                                     F.col("campaign_cost")) * F.lit(100.0)))
 
 
+#: What an encoded category name starts with, once underscores are spaces.
+CATEGORY_PREFIX = "product category grouped "
+
+
+def driver_name(feature):
+    """F-10: a feature's name with spaces, without the prefix of encoded categories."""
+    return F.replace(F.replace(feature, F.lit("_"), F.lit(" ")), F.lit(CATEGORY_PREFIX), F.lit(""))
+
+
 def findings_record(churn: DataFrame, metrics: DataFrame, roi: DataFrame,
                     drivers: DataFrame | None = None, top_k: int = 5) -> DataFrame:
     """B-4: one row of numeric findings plus the ranked drivers as ``Rank n: name``.
@@ -84,7 +93,7 @@ def findings_record(churn: DataFrame, metrics: DataFrame, roi: DataFrame,
         top = (drivers.where(F.col("rank") <= top_k)
                .agg(F.sort_array(F.collect_list(F.struct("rank", "feature"))).alias("d"))
                .select(F.transform("d", lambda x: F.format_string(
-                   "Rank %d: %s", x["rank"], F.regexp_replace(x["feature"], "_", " ")))
+                   "Rank %d: %s", x["rank"], driver_name(x["feature"])))
                    .alias("top_drivers")))
         rec = with_scalars(rec, top)
     return rec

@@ -90,7 +90,8 @@ def clip_to_group_quantile(df: DataFrame, value: str, q: float = 0.99, lower: fl
     """P-11: ``value`` clipped to [lower, per-group exact q-quantile] (NULL values dropped)."""
     d = df.na.drop(subset=[value])
     cap = exact_quantiles_long(d, [value], q, by=by).select(by, F.col("value").alias("__cap"))
-    return (d.join(cap, by, "left")
+    # one row a group of a low-cardinality column: the rows themselves are not exchanged
+    return (d.join(F.broadcast(cap), by, "left")
             .withColumn(value, F.greatest(F.least(F.col(value), F.col("__cap")), F.lit(lower)))
             .drop("__cap"))
 
@@ -117,7 +118,8 @@ def histogram(df: DataFrame, value: str, by: str = SEGMENT, bins: int = 60) -> D
                    .alias("hi")))
     idx = F.least(F.greatest(F.floor((F.col(value) - F.col("lo")) * F.lit(float(bins))
                                      / (F.col("hi") - F.col("lo"))), F.lit(0)), F.lit(bins - 1))
-    counts = (d.join(rng, by)
+    # ranges: one row a group of a low-cardinality column; counts combine map-side
+    counts = (d.join(F.broadcast(rng), by)
               .groupBy(by, idx.cast("int").alias("bin"))
               .agg(F.count(F.lit(1)).alias("n")))
     width = (F.col("hi") - F.col("lo")) / F.lit(float(bins))

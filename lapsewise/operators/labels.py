@@ -23,20 +23,22 @@ TS = "order_purchase_timestamp"
 CUSTOMER = "customer_unique_id"
 
 
-def observation_cutoff(df: DataFrame, months: int = 6, ts: str = TS):
-    """A-7 / F-2: ``max(ts) - months`` as a scalar-subquery Column."""
-    return months_before(df.agg(F.max(ts)).scalar(), months)
+def observation_cutoff(df: DataFrame, months: int = 6, ts: str = TS, days: int = 0):
+    """A-7 / F-2: ``max(ts)`` less the months and days, as a scalar-subquery Column."""
+    cutoff = months_before(df.agg(F.max(ts)).scalar(), months)
+    return cutoff - F.make_dt_interval(F.lit(days)) if days else cutoff
 
 
-def apply_observation_window(df: DataFrame, months: int = 6, ts: str = TS) -> DataFrame:
-    """P-2: keep rows strictly before ``max(ts) - months``; NULL times drop out."""
-    return df.where(F.col(ts) < observation_cutoff(df, months, ts))
+def apply_observation_window(df: DataFrame, months: int = 6, ts: str = TS, days: int = 0) -> DataFrame:
+    """P-2: keep rows strictly before ``max(ts)`` less the months and days; NULL times drop out."""
+    return df.where(F.col(ts) < observation_cutoff(df, months, ts, days))
 
 
 def window_bounds(df: DataFrame, months: int = 6, ts: str = TS) -> DataFrame:
-    """A-7: one row ``(last_order, cutoff)`` describing the window."""
+    """A-7 / F-3: one row ``(last_order, cutoff, last_order_date, cutoff_date)`` describing the window."""
     return (df.agg(F.max(ts).alias("last_order"))
-            .select("last_order", months_before("last_order", months).alias("cutoff")))
+            .select("last_order", months_before("last_order", months).alias("cutoff"))
+            .withColumns({"last_order_date": F.to_date("last_order"), "cutoff_date": F.to_date("cutoff")}))
 
 
 def orders_per_customer(df: DataFrame, customer: str = CUSTOMER,

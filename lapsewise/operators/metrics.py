@@ -5,10 +5,10 @@ churn probability column. Everything is a distributed aggregation:
 
 * counts per distinct score are combined map-side;
 * running totals over the score order (ROC/PR curves, exact AUC) never use a
-  window without partitioning over all distinct scores: scores are put into
-  equal-width buckets over [min, max] (2^20 by default), bucket totals give
-  each bucket's offset (a window over ≤ 2^20 small rows), and the running sum
-  inside a bucket is a window partitioned by bucket;
+  window without partitioning over all distinct scores: scores are dealt to
+  buckets by rank (range partitions), bucket totals give each bucket's offset
+  (a window over one row a bucket), and the running sum inside a bucket is a
+  window partitioned by bucket;
 * the 91-threshold sweep maps every row once to the number of grid values
   ≤ its score (exact double comparisons with the grid values NumPy's
   ``arange(0.05, 0.96, 0.01)`` produces); running sums over those ≤ 92
@@ -23,10 +23,10 @@ from pyspark.sql import functions as F
 
 from lapsewise.functions.exprs import r6
 from lapsewise.operators.joins import with_scalars
+from lapsewise.session import materialize
 
 LABEL = "label"
 PROB = "p_churn"
-BUCKETS = 1 << 20
 
 # Grid of the F1 sweep: NumPy's arange values (91 doubles, generated by rule).
 THRESHOLD_GRID = [float(t) for t in np.arange(0.05, 0.96, 0.01)]
@@ -122,26 +122,23 @@ def score_counts(scored: DataFrame, label: str = LABEL, score: str = PROB,
 
 
 def running_totals(counts: DataFrame, descending: bool = True,
-                   buckets: int = BUCKETS) -> DataFrame:
+                   buckets: int | None = None) -> DataFrame:
     """Adds ``cum_pos``/``cum_neg``: totals over scores at or before each score.
 
     Order is descending (ROC: predict positive when score ≥ s) or ascending.
     """
-    rng = counts.agg(F.min("score").alias("__mn"), F.max("score").alias("__mx"))
-    span = F.col("__mx") - F.col("__mn")
-    raw = F.when(span > 0, F.floor((F.col("score") - F.col("__mn")) / span
-                                   * F.lit(float(buckets - 1)))).otherwise(F.lit(0))
-    b = (F.lit(buckets - 1) - raw) if descending else raw
-    # the score range is a one-row aggregate, attached as scalars
-    c = with_scalars(counts, rng).withColumn("__b", b.cast("int")).drop("__mn", "__mx")
+    order = F.col("score").desc() if descending else F.col("score").asc()
+    # ranges by rank (Spark samples the scores), so no bucket holds much more than others;
+    # written once, as the bucket of a row must not change between its two uses
+    ranged = counts.repartitionByRange(buckets, order) if buckets else counts.repartitionByRange(order)
+    c = materialize(ranged.withColumn("__b", F.spark_partition_id()))
     per_bucket = c.groupBy("__b").agg(F.sum("pos").alias("__bp"), F.sum("neg").alias("__bn"))
-    # at most `buckets` rows in this window, independent of the data size
+    # one row a bucket in this window and in the broadcast
     wb = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_bucket.select("__b", F.coalesce(F.sum("__bp").over(wb), F.lit(0)).alias("__op"),
                                 F.coalesce(F.sum("__bn").over(wb), F.lit(0)).alias("__on"))
-    order = F.col("score").desc() if descending else F.col("score").asc()
     wi = Window.partitionBy("__b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return (c.join(offsets, "__b")
+    return (c.join(F.broadcast(offsets), "__b")
             .withColumn("cum_pos", F.col("__op") + F.sum("pos").over(wi))
             .withColumn("cum_neg", F.col("__on") + F.sum("neg").over(wi))
             .drop("__b", "__op", "__on"))

@@ -15,8 +15,6 @@ per-task unit bounded by the bucket count, not by the data.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,16 +45,17 @@ def stratified_split(df: DataFrame, label: str = "label", key: str = "order_id",
                            "__b2": F.conv(F.substring(h, 5, 4), 16, 10).cast("int")})
     sizes = (rows.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
              .withColumn("__need", F.ceil(F.col("__n") * F.lit(float(test_size))).cast("bigint")))
-    r = rows.join(sizes, label)
-    # the cut tables hold one row per label; materialising them keeps the
+    r = rows.join(F.broadcast(sizes), label)
+    # sizes and cuts hold one row per label (a class column), so they are broadcast and no
+    # row is exchanged by its label; materialising them keeps the
     # plan linear (each level would otherwise re-embed all previous levels)
     cut1 = materialize(_level_cut(r.where(F.col("__need") > 0), label, "__b1", "__need"))
-    r = r.join(cut1, label, "left")
+    r = r.join(F.broadcast(cut1), label, "left")
     in_b1 = F.col("__b1") == F.col("__b1_cut")
     second = (r.where(in_b1)
               .withColumn("__need2", F.col("__need") - F.col("__b1_below")))
     cut2 = materialize(_level_cut(second, label, "__b2", "__need2"))
-    r = r.join(cut2, label, "left")
+    r = r.join(F.broadcast(cut2), label, "left")
     in_b2 = in_b1 & (F.col("__b2") == F.col("__b2_cut"))
     tie = materialize(r.where(in_b2)
            .withColumn("__rk", F.row_number().over(
@@ -85,6 +84,3 @@ def group_split(df: DataFrame, group: str = "customer_unique_id", test_size: flo
     return df.withColumn("fold", F.when(hash_unit(group, seed) < test_size, F.lit("test"))
                          .otherwise(F.lit("train")))
 
-
-def expected_test_rows(n: int, test_size: float = 0.2) -> int:
-    return int(math.ceil(n * test_size))

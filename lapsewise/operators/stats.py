@@ -1,98 +1,119 @@
-"""Exact quantiles that never gather a whole column into one task.
-
-Spark's exact ``percentile``/``median`` keeps a value→count map per group and
-merges every partition's map in one final task: for a global median of a
-continuous column at 100 TB that task would hold billions of distinct
-values. Here the exact answer is found in two bounded passes:
-
-1. per column: row count n, min/max and ``percentile_approx`` values just
-   below and above the target rank (rank error ≤ n/accuracy);
-2. only values inside that bracket are counted per distinct value (plus one
-   count of values below it); a running sum over that bracket (≤ ~6n/accuracy
-   distinct values per column, any ties collapse) locates the order
-   statistics either side of position (n-1)·q, which are interpolated
-   linearly as pandas/NumPy do.
-
-When n ≤ 2·accuracy the bracket is simply [min, max], so small inputs are
-exact for any distribution. The result is a lazy one-row DataFrame.
+"""Exact quantiles without moving raw rows.
+
+An order statistic is found by narrowing: the range that holds it is cut into
+equal parts, one map-side combined count (with each part's least and largest
+value) tells in which part it lies, and that part's own range is the next one,
+until it is a single value. Every pass therefore shrinks the range at least to
+one of its parts, whatever the distribution; a pass shuffles a few thousand
+counts a task, never values, and the ranges (a few rows for each column,
+group and quantile) are broadcast. The same passes run at every size. Values
+between two order statistics are interpolated linearly, as pandas and NumPy do.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-
-DEFAULT_ACCURACY = 200_000
-
-
-def _long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    pairs = [F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("x")) for c in cols]
-    return (df.select(F.explode(F.array(*pairs)).alias("p"))
-            .select("p.name", "p.x").where(F.col("x").isNotNull() & ~F.isnan("x")))
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+
+from lapsewise.session import materialize
+
+#: Parts that a range is cut into on each pass.
+PARTS = 4096
+_LARGEST = 1.7976931348623157e308
+
+
+def _narrow(long: DataFrame, keys: list[str], targets: list[dict], parts: int) -> list[dict]:
+    """One pass: each open target's range becomes that of the part that holds its rank."""
+    spark = long.sparkSession
+    fields = [long.schema[k] for k in keys] + [
+        StructField("rank", LongType()), StructField("lo", DoubleType()), StructField("hi", DoubleType())]
+    rows = [tuple(t[f.name] for f in fields) for t in targets]
+    ranges = F.broadcast(spark.createDataFrame(rows, StructType(fields)))
+    on = [long[k].eqNullSafe(ranges[k]) for k in keys]
+    inside = (long.join(ranges, on).where(long["x"].between(ranges["lo"], ranges["hi"]))
+              .select(*[long[k] for k in keys], "rank", "x", "lo", "hi"))
+    # halves first, so that the span of the widest range is finite; infinities are the outer parts
+    bounded = [F.greatest(F.least(F.col(c), F.lit(_LARGEST)), F.lit(-_LARGEST)) / 2 for c in ("x", "lo", "hi")]
+    span = bounded[2] - bounded[1]
+    part = F.when(F.col("x") == F.col("lo"), F.lit(0)).when(F.col("x") == F.col("hi"), F.lit(parts - 1)).when(
+        span > 0, F.least(F.floor((bounded[0] - bounded[1]) / span * parts), F.lit(parts - 1))).otherwise(0)
+    counts = inside.groupBy(*keys, "rank", part.cast("int").alias("part")).agg(
+        F.count(F.lit(1)).alias("c"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    # at most PARTS rows for each key and rank
+    before = Window.partitionBy(*keys, "rank").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    placed = counts.withColumn("skip", F.coalesce(F.sum("c").over(before), F.lit(0)))
+    below = {tuple(t[k] for k in [*keys, "rank"]): t["below"] for t in targets}
+    need = F.broadcast(spark.createDataFrame(
+        [(*k, k[-1] - v) for k, v in below.items()],
+        StructType([long.schema[k] for k in keys] + [StructField("rank", LongType()),
+                                                     StructField("need", LongType())])))
+    hit = (placed.join(need, [placed[k].eqNullSafe(need[k]) for k in keys] + [placed["rank"] == need["rank"]])
+           .where((F.col("skip") <= F.col("need")) & (F.col("need") < F.col("skip") + F.col("c")))
+           .select(*[placed[k] for k in keys], placed["rank"], "lo", "hi", "skip"))
+    out = []
+    for r in hit.collect():                     # one row for each target
+        key = tuple(r[k] for k in [*keys, "rank"])
+        out.append({**{k: r[k] for k in [*keys, "rank", "lo", "hi"]}, "below": below[key] + r["skip"]})
+    return out
 
 
 def exact_quantiles_multi(df: DataFrame, cols: Sequence[str], qs: Sequence[float],
-                          accuracy: int = DEFAULT_ACCURACY, by: str | None = None) -> DataFrame:
-    """``(name[, by], q, value)`` for several quantiles with the same two passes.
+                          by: str | None = None, parts: int = PARTS) -> DataFrame:
+    """``(name[, by], q, value)``: exact quantiles of several columns, for each group of ``by``.
 
-    The per-(column, group, q) bracket table is tiny; every value row is
-    compared with the brackets of its (column, group) in the join and only
-    values at or below a bracket's top survive, to be counted per distinct
-    value (values below the bracket collapse into one NULL count).
+    ``by`` is a column of few groups: the collected and broadcast state is a
+    row for each column, group and order statistic. NULL and NaN do not count.
     """
     keys = ["name"] + ([by] if by else [])
+    spark = df.sparkSession
     pairs = [F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("x")) for c in cols]
-    base = df.select(*([F.col(by)] if by else []), F.explode(F.array(*pairs)).alias("p"))
-    long = (base.select("p.name", *([by] if by else []), "p.x")
-            .where(F.col("x").isNotNull() & ~F.isnan("x")))
-    margin = 3.0 / accuracy
-    probs = []
-    for q in qs:
-        probs += [max(0.0, q - margin), min(1.0, q + margin)]
-    agg = (long.groupBy(*keys)
-           .agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("mn"), F.max("x").alias("mx"),
-                F.percentile_approx("x", probs, accuracy).alias("b")))
-    small = F.col("n") <= 2 * accuracy
-    per_q = [F.struct(F.lit(float(q)).alias("q"),
-                      F.when(small, F.col("mn")).otherwise(F.col("b")[2 * i]).alias("lo"),
-                      F.when(small, F.col("mx")).otherwise(F.col("b")[2 * i + 1]).alias("hi"),
-                      ((F.col("n") - 1).cast("double") * F.lit(float(q))).alias("pos"))
-             for i, q in enumerate(qs)]
-    stats = (agg.select(*keys, F.explode(F.array(*per_q)).alias("s"))
-             .select(*keys, "s.q", "s.lo", "s.hi", "s.pos"))
-    # one row per (column, group, q): bounded by the key count times len(qs)
-    bracket = (long.join(stats, keys).where(F.col("x") <= F.col("hi"))
-               .select(*keys, "q", "pos", F.when(F.col("x") >= F.col("lo"), F.col("x")).alias("v"))
-               .groupBy(*keys, "q", "pos", "v").agg(F.count(F.lit(1)).alias("c")))
-    w = Window.partitionBy(*keys, "q").orderBy(F.col("v").asc_nulls_first()) \
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cum = bracket.withColumn("cum", F.sum("c").over(w)).where(F.col("v").isNotNull())
-    k1 = F.floor(F.col("pos"))
-    k2 = F.ceil(F.col("pos"))
-    picked = cum.groupBy(*keys, "q", "pos").agg(
-        F.min(F.when(F.col("cum") > k1, F.col("v"))).alias("v1"),
-        F.min(F.when(F.col("cum") > k2, F.col("v"))).alias("v2"))
-    frac = F.col("pos") - F.floor(F.col("pos"))
-    return picked.select(*keys, "q", (F.col("v1") + (F.col("v2") - F.col("v1")) * frac).alias("value"))
+    long = materialize(df.select(*([F.col(by)] if by else []), F.explode(F.array(*pairs)).alias("p"))
+                       .select("p.name", *([by] if by else []), "p.x")
+                       .where(F.col("x").isNotNull() & ~F.isnan("x")))
+    sizes = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"),
+                                    F.max("x").alias("hi")).collect()
+    targets: dict[tuple, dict] = {}
+    for r in sizes:
+        for q in qs:
+            pos = (r["n"] - 1) * float(q)
+            for rank in {math.floor(pos), math.ceil(pos)}:
+                targets[(*[r[k] for k in keys], rank)] = {
+                    **{k: r[k] for k in keys}, "rank": rank, "lo": r["lo"], "hi": r["hi"], "below": 0}
+    while True:
+        wide = [t for t in targets.values() if t["lo"] < t["hi"]]
+        if not wide:
+            break
+        for t in _narrow(long, keys, wide, parts):
+            targets[(*[t[k] for k in keys], t["rank"])] = t
+    rows = []
+    for r in sizes:
+        key = [r[k] for k in keys]
+        for q in qs:
+            pos = (r["n"] - 1) * float(q)
+            v1, v2 = (targets[(*key, rank)]["lo"] for rank in (math.floor(pos), math.ceil(pos)))
+            value = v1 if v1 == v2 else v1 + (v2 - v1) * (pos - math.floor(pos))
+            rows.append((*key, float(q), value))
+    schema = StructType([long.schema[k] for k in keys] + [StructField("q", DoubleType()),
+                                                          StructField("value", DoubleType())])
+    return spark.createDataFrame(rows, schema)
 
 
 def exact_quantiles_long(df: DataFrame, cols: Sequence[str], q: float = 0.5,
-                         accuracy: int = DEFAULT_ACCURACY, by: str | None = None) -> DataFrame:
+                         by: str | None = None) -> DataFrame:
     """``(name[, by], value)``: exact linear-interpolated ``q`` quantile per column
     (per group with ``by``)."""
-    return exact_quantiles_multi(df, cols, [q], accuracy, by).drop("q")
+    return exact_quantiles_multi(df, cols, [q], by).drop("q")
 
 
-def exact_quantiles(df: DataFrame, cols: Sequence[str], q: float = 0.5,
-                    accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
+def exact_quantiles(df: DataFrame, cols: Sequence[str], q: float = 0.5) -> DataFrame:
     """One row, one column per input column: the exact ``q`` quantile (NULL if no values)."""
-    long = exact_quantiles_long(df, cols, q, accuracy)
-    one = long.groupBy().agg(*[F.max(F.when(F.col("name") == c, F.col("value"))).alias(c)
-                               for c in cols])
-    return one
+    long = exact_quantiles_long(df, cols, q)
+    return long.groupBy().agg(*[F.max(F.when(F.col("name") == c, F.col("value"))).alias(c) for c in cols])
 
 
-def exact_median(df: DataFrame, cols: Sequence[str], accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
-    return exact_quantiles(df, cols, 0.5, accuracy)
+def exact_median(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    return exact_quantiles(df, cols, 0.5)

@@ -214,7 +214,10 @@ def theme_dictionary(spark: SparkSession) -> DataFrame:
 
 def theme_counts(df: DataFrame, key: str = "review_id",
                  text: str = "review_comment_message") -> DataFrame:
-    """X-5: per theme the reviews mentioning it, their share and a representative review."""
+    """X-5: per theme the reviews mentioning it, their share, and a representative review with its text.
+
+    Only keys are aggregated; the quotes are fetched for one review a theme.
+    """
     spark = df.sparkSession
     total = df.agg(F.count(F.lit(1)).alias("reviews"))
     terms = theme_dictionary(spark)
@@ -226,6 +229,11 @@ def theme_counts(df: DataFrame, key: str = "review_id",
         F.count(F.lit(1)).alias("reviews_with_theme"),
         F.min_by(F.col(key), F.struct(-F.col("hits"), F.col(key))).alias("representative_id"),
         F.max("hits").alias("representative_hits"))
+    # one row a theme of the fixed dictionary
+    chosen = F.broadcast(per_theme.select("representative_id"))
+    quotes = (df.join(chosen, df[key] == chosen["representative_id"], "left_semi")
+              .groupBy(F.col(key).alias("__id")).agg(F.min(text).alias("representative_quote")))
     return (with_scalars(per_theme, total)
             .withColumn("share", F.col("reviews_with_theme") / F.col("reviews"))
-            .drop("reviews"))
+            .join(quotes, F.col("representative_id") == F.col("__id"), "left")
+            .drop("reviews", "__id"))

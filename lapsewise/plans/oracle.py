@@ -8,7 +8,7 @@ timestamps as text, deterministic tie-breaks with ``row_number``.
 
 from __future__ import annotations
 
-MONTHS = 60
+MONTHS = 6
 
 
 def base(months: int = MONTHS) -> str:
@@ -18,15 +18,16 @@ ship AS (
   SELECT l_orderkey AS order_id, min(l_shipdate) AS carrier, max(l_shipdate) AS delivered
   FROM lineitem GROUP BY l_orderkey),
 m_orders AS (
-  SELECT o_orderkey AS order_id, o_custkey AS customer_id, o_orderstatus AS order_status,
+  SELECT o_orderkey AS order_id, o_orderkey AS customer_id, o_orderstatus AS order_status,
          o_orderdate AS order_purchase_timestamp, o_orderdate AS order_approved_at,
          s.carrier AS order_delivered_carrier_date, s.delivered AS order_delivered_customer_date,
          o_orderdate + INTERVAL 1860 DAY AS order_estimated_delivery_date
   FROM orders LEFT JOIN ship s ON s.order_id = o_orderkey),
 m_customers AS (
-  SELECT c_custkey AS customer_id, c_custkey AS customer_unique_id,
+  SELECT o_orderkey AS customer_id,
+         CASE WHEN o_orderkey % 10 = 0 THEN o_custkey ELSE -1 - o_orderkey END AS customer_unique_id,
          n_name AS customer_state, r_name AS customer_city
-  FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey
+  FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey
                 LEFT JOIN region ON n_regionkey = r_regionkey),
 m_items AS (
   SELECT l_orderkey AS order_id, l_linenumber AS order_item_id, l_partkey AS product_id,
@@ -45,13 +46,16 @@ m_translation AS (
          lower(replace(p_brand, '#', '_')) AS product_category_name_english
   FROM part WHERE NOT p_brand LIKE '%3'),
 m_reviews AS (
-  SELECT d.doc_id AS review_id, d.doc_id // 2 AS order_id,
-         CAST(1 + 2 * l.quality + 2 * (1 - l.toxic) AS INTEGER) AS review_score,
+  SELECT 3 * d.doc_id + k AS review_id,
+         CASE k WHEN 0 THEN 15 * d.doc_id WHEN 1 THEN 15 * d.doc_id + 7 ELSE 15 * (d.doc_id + 1) END AS order_id,
+         CAST(coalesce(1 + 2 * l.quality + 2 * (1 - l.toxic),
+                       CASE WHEN d.doc_id % 11 <> 0 THEN 1 + (d.doc_id + k) % 5 END) AS INTEGER) AS review_score,
          d.text AS review_comment_message,
-         CASE WHEN d.doc_id % 7 <> 0
-              THEN TIMESTAMP '1995-01-01 00:00:00' + to_days(CAST((d.doc_id * 7919) % 2000 AS INTEGER))
+         CASE WHEN (3 * d.doc_id + k) % 7 <> 0
+              THEN TIMESTAMP '1995-01-01 00:00:00'
+                   + to_days(CAST(((3 * d.doc_id + k) * 7919) % 2000 AS INTEGER))
          END AS review_answer_timestamp
-  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
+  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id, range(3) AS copies(k)),
 items_cat AS (
   SELECT i.*, t.product_category_name_english AS cat
   FROM m_items i LEFT JOIN m_products p ON i.product_id = p.product_id
@@ -664,7 +668,8 @@ SELECT review_id, order_id, CAST(review_score AS BIGINT) AS review_score, review
 FROM neg ORDER BY {_HASH.format(k="review_id")}, review_id LIMIT 50""",
     "theme_counts": """
 SELECT theme, reviews_with_theme, representative_id, representative_hits,
-       round(reviews_with_theme / (SELECT count(*) FROM neg), 6) AS share
+       round(reviews_with_theme / (SELECT count(*) FROM neg), 6) AS share,
+       (SELECT min(review_comment_message) FROM neg n WHERE n.review_id = representative_id) AS representative_quote
 FROM (
   SELECT theme, count(*) AS reviews_with_theme,
          arg_min(review_id, (-hits, review_id)) AS representative_id, max(hits) AS representative_hits
@@ -894,7 +899,7 @@ SELECT order_id, round(coalesce(delivery_delay_days, m_delay), 6) AS delivery_de
        coalesce(item_count = 1, false) AS is_single_item, fold
 FROM b2 CROSS JOIN tm""",
     "event_churn_summary": """
-, ev AS (SELECT * FROM events WHERE ts < (SELECT max(ts) FROM events) - INTERVAL 6 MONTH),
+, ev AS (SELECT * FROM events WHERE ts < (SELECT max(ts) FROM events) - INTERVAL 29 DAY),
 evc AS (SELECT user_id, count(DISTINCT event_id) AS n FROM ev WHERE user_id IS NOT NULL GROUP BY user_id),
 evl AS (SELECT ev.user_id, coalesce(evc.n = 1, false) AS churned FROM ev LEFT JOIN evc ON ev.user_id = evc.user_id)
 SELECT count(*) AS customers, CAST(sum(c) AS BIGINT) AS churned_customers,
@@ -911,14 +916,15 @@ for _name, _final in MORE_Q.items():
     ORACLES[_name] = qs(_final)
 
 ORACLES["polarity_histogram"] = qt(_hist_sql(
-    f"SELECT {SEG} AS segment, sentiment_polarity AS v FROM sent WHERE has_review_text", "v"))
+    f"SELECT {SEG} AS segment, round(sentiment_polarity, 6) AS v FROM sent WHERE has_review_text", "v"))
 
 
 def _themes_sql(pool: str) -> str:
     return f"""
 , pool AS ({pool})
 SELECT theme, reviews_with_theme, representative_id, representative_hits,
-       round(reviews_with_theme / (SELECT count(*) FROM pool), 6) AS share
+       round(reviews_with_theme / (SELECT count(*) FROM pool), 6) AS share,
+       (SELECT min(p.txt) FROM pool p WHERE p.k = representative_id) AS representative_quote
 FROM (
   SELECT theme, count(*) AS reviews_with_theme,
          arg_min(k, (-hits, k)) AS representative_id, max(hits) AS representative_hits
@@ -935,3 +941,28 @@ ORACLES["review_themes_window"] = qt(_themes_sql(
 ORACLES["review_themes_all"] = qt(_themes_sql(
     "SELECT order_id AS k, review_comment_message AS txt FROM rev_latest "
     "WHERE review_comment_message IS NOT NULL"))
+
+# every document's text at review grain
+ORACLES["sentiment_all_reviews"] = qt("""
+SELECT doc_id, has_review_text, round(coalesce(a.pol, 0.0), 6) AS sentiment_polarity,
+       round(coalesce(a.subj, 0.0), 6) AS sentiment_subjectivity
+FROM (SELECT doc_id, coalesce(regexp_matches(text, '\\S'), false) AS has_review_text FROM documents) d
+LEFT JOIN sagg a ON d.doc_id = a.k""").replace(
+    """  SELECT order_id AS k, review_comment_message AS txt FROM labelled
+  WHERE coalesce(regexp_matches(review_comment_message, '\\S'), false)),""",
+    """  SELECT doc_id AS k, text AS txt FROM documents
+  WHERE coalesce(regexp_matches(text, '\\S'), false)),""")
+
+ORACLES["window_bounds"] = f"""
+SELECT CAST(m AS VARCHAR) AS last_order, CAST(m - INTERVAL {MONTHS} MONTH AS VARCHAR) AS cutoff,
+       CAST(CAST(m AS DATE) AS VARCHAR) AS last_order_date,
+       CAST(CAST(m - INTERVAL {MONTHS} MONTH AS DATE) AS VARCHAR) AS cutoff_date
+FROM (SELECT max(o_orderdate) AS m FROM orders)"""
+
+ORACLES["order_rows_per_customer"] = q("""
+SELECT customer_unique_id, count(*) AS orders_placed
+FROM m_items i JOIN m_orders o ON i.order_id = o.order_id JOIN m_customers c ON o.customer_id = c.customer_id
+GROUP BY customer_unique_id""")
+
+ORACLES["customer_place"] = """
+SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer)"""

@@ -14,9 +14,8 @@ from lapsewise.operators.labels import add_churn_label, apply_observation_window
 from lapsewise.operators.orders import MASTER_COLUMNS, attach_customers, attach_order_sides
 from lapsewise.sources.driver import PAYMENT_ORDER, model_tables
 
-# Default observation window for the driver tables: with six months nearly
-# every customer has repeat orders; sixty months leaves a real churn share.
-TEST_WINDOW_MONTHS = 60
+#: Observation window of the registered queries, in months.
+TEST_WINDOW_MONTHS = 6
 
 
 def load_retention_frame(tables: dict[str, DataFrame], months: int = 6,

@@ -8,6 +8,7 @@ Review comments may hold quotes and line breaks, hence ``multiLine``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lapsewise.sources.schemas import SCHEMAS
 
@@ -45,15 +46,32 @@ def check_files(spark: SparkSession, data_dir: str, keys=None) -> None:
             raise FileNotFoundError(f"Expected data file not found: {path}")
 
 
+#: Tables whose fields may hold line breaks; all others are read in splits.
+MULTI_LINE = ("order_reviews",)
+
+
 def read_table(spark: SparkSession, data_dir: str, key: str) -> DataFrame:
+    """One CSV, its columns matched by header name and typed; unknown columns follow as text.
+
+    A missing column raises ``ValueError``; a value that does not fit its type
+    stops the query that reads it and names the column and the value.
+    """
     path = f"{data_dir.rstrip('/')}/{TABLE_FILES[key]}"
-    return (spark.read.schema(SCHEMAS[key])
-            .option("header", True)
-            .option("multiLine", True)
-            .option("escape", '"')
-            .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss")
-            .option("mode", "PERMISSIVE")
-            .csv(path))
+    raw = (spark.read.option("header", True).option("multiLine", key in MULTI_LINE)
+           .option("escape", '"').csv(path))
+    missing = [f.name for f in SCHEMAS[key] if f.name not in raw.columns]
+    if missing:
+        raise ValueError(f"{path} lacks the columns {missing}")
+    typed = []
+    for f in SCHEMAS[key]:
+        c, kind = F.col(f"`{f.name}`"), f.dataType.simpleString()
+        value = c if kind == "string" else F.when(
+            c.isNotNull() & c.try_cast(kind).isNull(),
+            F.raise_error(F.concat(F.lit(f"{key}.{f.name}: not a {kind}: "), c)).cast(kind)).otherwise(
+                c.try_cast(kind))
+        typed.append(value.alias(f.name))
+    known = {f.name for f in SCHEMAS[key]}
+    return raw.select(*typed, *[F.col(f"`{c}`") for c in raw.columns if c not in known])
 
 
 def load_raw_tables(spark: SparkSession, data_dir: str, keys=None) -> dict[str, DataFrame]:
@@ -66,7 +84,6 @@ def load_raw_tables(spark: SparkSession, data_dir: str, keys=None) -> dict[str,
 def source_summary(tables: dict[str, DataFrame]) -> DataFrame:
     """S-11: one row per table ``(table, rows, cols)``; one count job per table."""
     parts = []
-    from pyspark.sql import functions as F
     for name, df in tables.items():
         parts.append(df.agg(F.count(F.lit(1)).alias("rows"))
                      .select(F.lit(name).alias("table"), "rows",

@@ -39,6 +39,11 @@ def write_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
+def read_importance(spark: SparkSession, path: str) -> DataFrame:
+    """S-8: the importance ranking, best first (one row a feature)."""
+    return spark.read.parquet(path).orderBy("rank")
+
+
 def save_model(model: PipelineModel, path: str) -> None:
     """S-10."""
     model.write().overwrite().save(path)

@@ -72,11 +72,16 @@ def test_review_sample_filters_and_is_deterministic(spark):
                for r in chosen)
 
 
-def test_too_many_levels_raise(spark):
-    from lapsewise.operators.encode import levels
-    df = spark.range(50).select(F.col("id").cast("string").alias("c"))
-    with pytest.raises(ValueError):
-        levels(df, "c", cap=10)
+def test_many_levels_become_top_and_other(spark):
+    from lapsewise.operators.encode import CATEGORY, GROUPED, fit_vocabulary, one_hot_long
+    df = spark.range(4500).select("id", F.concat(F.lit("c"), F.least(F.col("id") % 1500, F.lit(1499)))
+                                  .alias(CATEGORY))
+    vocab = fit_vocabulary(df, 15)
+    assert len(vocab["__top"]) == 15 and vocab[GROUPED] == sorted(vocab["__top"] + ["other"])
+    few = fit_vocabulary(df.where("id < 10"), 15)
+    assert "other" not in few[GROUPED] and len(few[GROUPED]) == 10
+    flags = one_hot_long(df, "id", [CATEGORY])
+    assert flags.count() == 4500 - 3 and flags.where("feature like '%c0'").count() == 0
 
 
 def test_review_candidates_modes(spark):

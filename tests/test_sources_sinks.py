@@ -40,6 +40,32 @@ def test_nine_tables_typed_and_multiline(spark):
     assert rows["orders"] == 1 and rows["sellers"] == 0
 
 
+def test_columns_go_by_name_and_bad_values_are_loud(spark):
+    d = tempfile.mkdtemp()
+    _write_csvs(d)
+    with open(os.path.join(d, TABLE_FILES["customers"]), "w") as fh:
+        fh.write("customer_unique_id,note,customer_id,customer_zip_code_prefix,customer_city,customer_state\n"
+                 "U1,x,C1,1,a,SP\n")
+    r = load_raw_tables(spark, d)["customers"].first()
+    assert (r["customer_id"], r["customer_unique_id"], r["note"]) == ("C1", "U1", "x")
+    with open(os.path.join(d, TABLE_FILES["orders"]), "a") as fh:
+        fh.write("o2,c2,delivered,2018-13-45,,,,\n")
+    with pytest.raises(Exception, match="order_purchase_timestamp"):
+        load_raw_tables(spark, d)["orders"].collect()
+    with open(os.path.join(d, TABLE_FILES["payments"]), "w") as fh:
+        fh.write("order_id\no1\n")
+    with pytest.raises(ValueError, match="payment_value"):
+        load_raw_tables(spark, d)
+
+
+def test_importance_round_trip(spark):
+    from lapsewise.sources.sinks import read_importance, write_table
+    d = tempfile.mkdtemp() + "/importance"
+    write_table(spark.createDataFrame([("b", 0.1, 2), ("a", 0.5, 1)],
+                                      "feature string, mean_abs_shap double, rank int"), d)
+    assert [r["feature"] for r in read_importance(spark, d).collect()] == ["a", "b"]
+
+
 def test_missing_file_named(spark):
     d = tempfile.mkdtemp()
     _write_csvs(d)

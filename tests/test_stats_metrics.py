@@ -11,19 +11,50 @@ from lapsewise.operators.sampling import stratified_split
 from lapsewise.operators.stats import exact_quantiles
 
 
-@pytest.mark.parametrize("accuracy", [200_000, 50])
-def test_exact_quantiles_match_numpy(spark, accuracy):
+@pytest.mark.parametrize("parts", [4096, 2])
+def test_exact_quantiles_match_numpy(spark, parts, monkeypatch):
+    from lapsewise.operators import stats
+    monkeypatch.setattr(stats.exact_quantiles_multi, "__defaults__", (None, parts))
     rnd = random.Random(3)
     vals = [round(rnd.gauss(0, 10), 1) for _ in range(3000)] + [5.0] * 400
     df = spark.createDataFrame([(v, v * 2 if i % 3 else None) for i, v in enumerate(vals)],
                                "x double, y double")
     for q in (0.5, 0.25, 0.99):
-        r = exact_quantiles(df, ["x", "y"], q, accuracy=accuracy).first()
+        r = exact_quantiles(df, ["x", "y"], q).first()
         ys = [v * 2 for i, v in enumerate(vals) if i % 3]
         assert r["x"] == pytest.approx(float(np.quantile(vals, q)), abs=1e-9)
         assert r["y"] == pytest.approx(float(np.quantile(ys, q)), abs=1e-9)
 
 
+def test_exact_quantiles_of_many_rows_and_odd_values(spark):
+    df = spark.range(500_000).select(
+        F.when(F.col("id") % 1000 == 7, F.lit(1e300)).when(F.col("id") % 1000 == 8, F.lit(-1e300))
+        .when(F.col("id") == 9, F.lit(float("inf"))).when(F.col("id") == 10, F.lit(float("nan")))
+        .when(F.col("id") == 11, F.lit(None)).otherwise((F.col("id") * 7919 % 400_009) * 1e-9).alias("x"),
+        (F.col("id") % 2).alias("g"))
+    vals = np.array([r[0] for r in df.where("x is not null and not isnan(x)").select("x").collect()])
+    from lapsewise.operators.stats import exact_quantiles_multi
+    got = {r["q"]: r["value"] for r in exact_quantiles_multi(df, ["x"], [0.0, 0.25, 0.5, 0.99, 1.0]).collect()}
+    assert got.pop(1.0) == math.inf
+    for q, v in got.items():
+        assert v == pytest.approx(float(np.quantile(vals, q)), rel=1e-12)
+    two = spark.createDataFrame([(1.0, None), (2.0, None)], "x double, y double")
+    assert exact_quantiles(two, ["x", "y"], 0.25).first().asDict() == {"x": 1.25, "y": None}
+
+
+def test_running_totals_split_a_narrow_score_mass(spark):
+    rows = spark.range(100_000).select((F.lit(0.5) + F.col("id") * 1e-10).alias("score"),
+                                       F.lit(1).alias("pos"), F.lit(0).alias("neg"))
+    rows = rows.union(spark.createDataFrame([(0.0, 0, 1)], "score double, pos int, neg int"))
+    held = rows.repartitionByRange(16, F.col("score").desc()).groupBy(F.spark_partition_id()).count()
+    assert max(r["count"] for r in held.collect()) < 0.2 * 100_001
+    rt = M.running_totals(rows, True, buckets=16)
+    last = rt.where("score = 0").first()
+    assert (last["cum_pos"], last["cum_neg"]) == (100_000, 1)
+    assert rt.where(F.col("cum_pos") != F.round((F.lit(0.5) + 1e-5 - F.col("score")) * 1e10)).where(
+        "score > 0").count() == 0
+
+
 def brute_auc(rows):
     pos = [s for y, s in rows if y == 1]
     neg = [s for y, s in rows if y == 0]
