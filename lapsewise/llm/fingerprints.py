@@ -159,7 +159,9 @@ def compare_edited(docs: DataFrame, text: str = "text") -> DataFrame:
         F.xxhash64("text", F.col("doc_id").isNull()).alias("h"), F.length("text").alias("n"))
     links = followers(whole)
     keyed = whole.withColumn("copy", F.row_number().over(Window.partitionBy("k", "h").orderBy("n")))
-    given = (keyed.where("copy = 1").join(links, ["k", "h"])
+    # the conditions on n and doc_id always hold; they make this side read the same columns as the
+    # other, and abs keeps the row limit behind the exchange, so that both read one exchange of the texts
+    given = (keyed.where("abs(copy) = 1 and n >= 0 and (doc_id is not null or k < 0)").join(links, ["k", "h"])
              .select(F.col("before.k").alias("k"), F.col("before.h").alias("h"),
                      F.substring(F.col("text"), F.lit(1), F.floor(F.col("before.n") / 3).cast("int"))
                      .alias("head"), digests(F.col("text")).alias("x")))
