@@ -71,3 +71,32 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars,
             OR 100 * alpha_words < 40 * n_words) AS kept
 FROM judged
 """
+
+ORACLES["op4_jaccard_join"] = r"""
+WITH RECURSIVE docs AS (
+  SELECT row_number() OVER () AS k, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                      'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+shingles AS (
+  SELECT DISTINCT k, unnest(CASE WHEN len(w) = 0 THEN []
+                                 WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                                 ELSE list_transform(range(1, len(w) - 3),
+                                                     lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g
+  FROM docs),
+sizes AS (SELECT k, count(*) AS n FROM shingles GROUP BY k),
+pairs AS (
+  SELECT a.k AS x, b.k AS y, count(*) AS i FROM shingles a JOIN shingles b ON a.g = b.g AND a.k < b.k
+  GROUP BY 1, 2),
+links AS (
+  SELECT x, y FROM pairs JOIN sizes p ON p.k = x JOIN sizes q ON q.k = y
+  WHERE 100 * i >= 80 * (p.n + q.n - i)),
+edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach(k, r) AS (
+  SELECT k, k FROM docs
+  UNION
+  SELECT reach.k, edges.y FROM reach JOIN edges ON reach.r = edges.x)
+SELECT d.doc_id, coalesce(any_value(s.n), 0)::BIGINT AS n_shingles, min(o.doc_id) AS component_id
+FROM docs d JOIN reach USING (k) JOIN docs o ON o.k = reach.r LEFT JOIN sizes s ON s.k = d.k
+GROUP BY d.k, d.doc_id
+"""
