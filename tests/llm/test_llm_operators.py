@@ -427,6 +427,37 @@ def test_rare_words_meet_their_counts_in_the_join(spark, monkeypatch):
         assert r["base_score"] == pytest.approx(plain[r["doc_id"]]["base_score"], abs=1e-6)
 
 
+@pytest.mark.parametrize("contexts", [0, 1, 300, 5000])
+def test_contexts_beyond_the_automaton_cost_the_same(spark, monkeypatch, contexts):
+    docs = spark.read.parquet(f"{SMOKE}/documents.parquet").select("doc_id", "text").where("doc_id < 60")
+    docs = docs.union(spark.createDataFrame([(1000, None), (1002, "Zzz ÿ\u4e2d"), (1002, "Zzz ÿ\u4e2d"),
+                                             (None, "the")], "doc_id long, text string"))
+    held = fold(F.col("doc_id"), 7) == 2
+    key = lambda r: (str(r["doc_id"]), r["n_tokens"], r["base_score"])
+    monkeypatch.setattr(ppm, "MAX_CONTEXTS", 1 << 30)
+    whole = sorted(ppm.score(docs, ~held).collect(), key=key)
+    monkeypatch.setattr(ppm, "MAX_CONTEXTS", contexts)
+    for a, b in zip(sorted(ppm.score(docs, ~held).collect(), key=key), whole, strict=True):
+        assert a["score"] == pytest.approx(b["score"], rel=1e-5, abs=1e-5)
+
+
+def test_no_context_of_a_larger_corpus_is_left_out(spark):
+    docs = spark.read.parquet(f"{SMOKE}/documents.parquet").select("doc_id", "text")
+    rows = docs.collect()
+    gap, counts = b"\0" * ppm.ORDER, {}
+    for r in rows:
+        s = gap + (r["text"] or "").encode().lower() + b"\0"
+        for i in range(ppm.ORDER, len(s)):
+            for k in range(ppm.ORDER + 1):
+                own = counts.setdefault(s[i - k:i], {})
+                own[s[i]] = own.get(s[i], 0) + 1
+    assert len(counts) > ppm.MAX_CONTEXTS
+    got = {r["doc_id"]: r["score"] for r in ppm.score(docs, F.lit(True)).collect()}
+    for r in rows[::4]:
+        want = brute_ppm(counts, gap, (r["text"] or "").encode().lower())
+        assert got[r["doc_id"]] == pytest.approx(want, rel=1e-4, abs=1e-4)
+
+
 def test_scores_without_training_rows(odd, none):
     rows = ppm.score(odd, F.lit(False)).collect()
     assert len(rows) == len(ODD) and {r["train_tokens"] for r in rows} == {0}
