@@ -125,6 +125,29 @@ def test_vocabulary_gives_the_librarys_ids(smoke):
         assert own.encode(t.encode()).tolist() == library.encode(t, add_special_tokens=False).ids
 
 
+END = "<|endoftext|>"
+MARKED = [END, f"a{END}b", f"a {END} b", f"{END}{END}\n{END}", f"it{END}'s  {END}  x{END}", f"<{END}>", END[:-1],
+          END.upper(), f"中文{END}é", f"Ends. {END}", f"\t{END}\u3000{END[1:]}{END[:5]}"]
+
+
+def test_vocabulary_knows_added_tokens_inside_texts(spark, tmp_path):
+    own, library = Vocabulary(read_vocabulary(JSON50)), Tokenizer.from_file(JSON50)
+    rng = random.Random(6)
+    texts = MARKED + ["".join(rng.choice([END, *random_texts(3, i)]) for _ in range(6)) for i in range(200)]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    for t, ids in zip(texts, want, strict=True):
+        assert own.encode(t.encode()).tolist() == ids
+    assert want[1] == [64, 50256, 65]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = str(tmp_path / "tokens")
+    token_store.write_tokens(docs, JSON50, out)
+    assert {r["doc_id"]: r["ids"][:-1] for r in token_store.read_tokens(spark, out).collect()} == dict(enumerate(want))
+    packed: dict = {}
+    for r in sorted(packing.pack(docs, JSON50, with_ids=True).collect(), key=lambda r: (r["doc_id"], r["start"])):
+        packed.setdefault(r["doc_id"], []).extend(r["ids"])
+    assert {k: v[:-1] for k, v in packed.items()} == dict(enumerate(want))
+
+
 def plan_cost(ends, fee, length):
     """Cost of given sequence ends under the program's prices."""
     return sum(packing.padding(b - a, length) + packing.EACH + fee.get(b, packing.ANYWHERE)
