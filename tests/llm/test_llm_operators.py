@@ -337,6 +337,40 @@ def test_groups_match_brute_force(spark):
     assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in got) == brute_groups(rows)
 
 
+def copies(seed, n):
+    """Edited copies of two texts that share a part, and of each other's copies."""
+    rng = random.Random(seed)
+    vocabulary = [f"v{i}" for i in range(300)]
+    base = [rng.choice(vocabulary) for _ in range(70)]
+    other = base[:50] + [rng.choice(vocabulary) for _ in range(25)]
+    return [(i, " ".join(edited(rng, base if i % 3 else other, rng.choice([0, 1, 1, 2, 3, 4])))) for i in range(n)]
+
+
+@pytest.mark.parametrize("bits", [0, 2, 4])
+def test_groups_of_lists_in_blocks(spark, monkeypatch, bits):
+    monkeypatch.setattr(jaccard_join, "LIST_BITS", bits)
+    rows = copies(bits, 150) + [(9000, None), (9001, "one two"), (None, "one two")]
+    got = jaccard_join.join_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in got) == brute_groups(rows)
+
+
+def test_no_task_holds_a_whole_long_list(spark, monkeypatch):
+    held, bits = spark.sparkContext.accumulator(0), 4
+    make = jaccard_join.by_list
+
+    def watched(rows, of, schema, then, *keys):
+        def seen(columns, starts):
+            held.add(int((np.diff(starts) > 8 << bits).sum()))
+            return of(columns, starts)
+        return make(rows, seen, schema, then, *keys)
+
+    monkeypatch.setattr(jaccard_join, "LIST_BITS", bits, raising=False)
+    monkeypatch.setattr(jaccard_join, "by_list", watched)
+    docs = spark.createDataFrame(copies(1, 600), "doc_id long, text string").repartition(5)
+    assert jaccard_join.join_groups(docs).count() == 600
+    assert held.value == 0
+
+
 def test_groups_of_odd_rows_and_none(odd, none):
     rows = jaccard_join.join_groups(odd).collect()
     assert len(rows) == len(ODD)
