@@ -100,3 +100,69 @@ SELECT d.doc_id, coalesce(any_value(s.n), 0)::BIGINT AS n_shingles, min(o.doc_id
 FROM docs d JOIN reach USING (k) JOIN docs o ON o.k = reach.r LEFT JOIN sizes s ON s.k = d.k
 GROUP BY d.k, d.doc_id
 """
+
+ORACLES["op11_decontamination"] = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS k, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                      'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+items AS (
+  SELECT coalesce(item_id::VARCHAR, '') AS item,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                      'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+windows AS (
+  SELECT DISTINCT item, n, array_to_string(w[i:i + n - 1], ' ') AS g
+  FROM (SELECT item, w, least(len(w), 10) AS n, unnest(range(1, greatest(len(w) - 8, 2))) AS i
+        FROM items WHERE len(w) > 0)),
+places AS (
+  SELECT k, i, n, array_to_string(w[i:i + n - 1], ' ') AS g
+  FROM (SELECT k, w, n, unnest(range(1, len(w) - n + 2)) AS i
+        FROM docs, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n)),
+met AS (SELECT k, i, p.n, item FROM places p JOIN windows USING (n, g)),
+hit AS (SELECT k, count(DISTINCT place) AS n_hit
+        FROM (SELECT k, unnest(range(i, i + n)) AS place FROM met) GROUP BY k),
+named AS (SELECT k, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
+          FROM (SELECT DISTINCT k, item FROM met) GROUP BY k)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+       coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hit USING (k) LEFT JOIN named USING (k)
+"""
+
+ORACLES["op13_prefix_trie"] = r"""
+WITH own AS (
+  SELECT conv_id AS c,
+         list([coalesce(role, ''), coalesce(text, '')]
+              ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS t
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+crc AS (
+  SELECT c, t, list_reduce(
+      list_prepend(4294967295::BIGINT, flatten(list_transform(
+          string_split(c::VARCHAR, ''), lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+      lambda s, x: CASE WHEN x >= 0 THEN xor(s, x) ELSE xor(s >> 1, 3988292384 * (s & 1)) END) AS x
+  FROM own),
+convs AS (
+  SELECT a.c, list_concat(coalesce(b.t[1:h], []), a.t[h + 1:]) AS s
+  FROM (SELECT c, t, xor(x, 4294967295) % 6 AS h FROM crc) a
+  LEFT JOIN own b ON b.c = a.c - a.c % 100),
+prefixes AS (
+  SELECT c, d, s[1:d] AS p, d = len(s) AS ends, s FROM (SELECT c, s, unnest(range(0, len(s) + 1)) AS d FROM convs)),
+nodes AS (
+  SELECT p, d, min(c) AS c, count(*) AS n,
+         coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE ends), '') AS ids,
+         CASE WHEN d = 0 THEN 0 ELSE (count(*) - 1) * length(p[d][2]) END AS saved
+  FROM prefixes GROUP BY p, d),
+children AS (
+  SELECT p[1:d - 1] AS up, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY 1),
+own_sums AS (
+  SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN children ON up = n.p),
+below AS (
+  SELECT p[1:u] AS top, sum(saved) AS saved, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves
+  FROM (SELECT p, saved, n_children, unnest(range(0, d + 1)) AS u FROM own_sums) GROUP BY 1)
+SELECT n.c AS conv_id, n.d::BIGINT AS depth, up.c AS parent_conv_id, n.n AS n_convs, n.n_children,
+       b.n_leaves::BIGINT AS n_leaves, b.saved::BIGINT AS saved_tokens, sha256(n.ids) AS ends_sha256
+FROM own_sums n JOIN below b ON b.top = n.p
+LEFT JOIN nodes up ON n.d > 0 AND up.d = n.d - 1 AND up.p = n.p[1:n.d - 1]
+"""

@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapsewise.llm import (byte_bpe, fingerprints, jaccard_join, langid, packing, ppm,
-                           quality, token_store, toxicity, url_filter)
+from lapsewise.llm import (alignment, byte_bpe, decontaminate, fingerprints, jaccard_join, langid, packing,
+                           ppm, prefix_trie, quality, token_store, toxicity, url_filter)
 from lapsewise.llm.common import fold, table
 from lapsewise.session import scratch_path
 
@@ -83,6 +83,22 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.drop("rejected_by")
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(table(spark, sf_dir, "documents", "doc_id", "text"),
+                              table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents", "doc_id", "text"),
+                           public_tokenizers.path("byte_bpe_50k.json"),
+                           public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    return prefix_trie.nodes(prefix_trie.rebuilt(turns))
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_packing": op2_packing,
@@ -94,4 +110,7 @@ QUERIES = {
     "op8_fingerprints": op8_fingerprints,
     "op9_url_filter": op9_url_filter,
     "op10_quality_rules": op10_quality_rules,
+    "op11_decontamination": op11_decontamination,
+    "op12_alignment": op12_alignment,
+    "op13_prefix_trie": op13_prefix_trie,
 }

@@ -67,6 +67,10 @@ class Vocabulary:
         ids += self._encoding.encode_ordinary((text[at:] if at else text).decode())
         return np.array(ids, np.uint32)
 
+    def encode_plain(self, text: bytes) -> list[int]:
+        """Ids of a text in which the strings of added tokens are ordinary text."""
+        return self._encoding.encode_ordinary(text.decode())
+
 
 _KEPT: dict[bytes, Vocabulary] = {}
 
