@@ -288,7 +288,7 @@ def nodes(rows: DataFrame, limit: int = LIMIT) -> DataFrame:
             .select(F.lit(ROOT).alias("key"), F.lit(0).alias("top"), F.lit(0).alias("end"),
                     F.array(F.lit(0)).alias("lens"), "n_convs", "conv_id", F.lit(None).cast("long").alias("parent"),
                     F.lit(False).alias("leaf")))
-    every = root if heads is None else root.unionByName(heads.select(*root.columns))
+    every = written(root if heads is None else root.unionByName(heads.select(*root.columns)), "trie-heads")
     every = (every.join(sums, "key", "left").join(id_digests(ends), "key", "left")
              .fillna({"n_leaves": 0, "saved": 0, "n_children": 0})
              .fillna(NO_IDS, ["ends_sha256"]))
