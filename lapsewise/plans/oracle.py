@@ -8,6 +8,8 @@ timestamps as text, deterministic tie-breaks with ``row_number``.
 
 from __future__ import annotations
 
+import math
+
 MONTHS = 6
 
 
@@ -966,3 +968,84 @@ GROUP BY customer_unique_id""")
 
 ORACLES["customer_place"] = """
 SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer)"""
+
+
+# --- attribution by a fixed ensemble: the Shapley values from their definition --------------------
+
+def _attribution_sql(final: str) -> str:
+    """phi (order_id, feature, v) and margin (order_id, base, log_odds): every coalition of the features
+    is valued by the path-dependent rule, and a feature's value is its weighted mean gain."""
+    from lapsewise.plans.queries import FIXED_FEATURES, FIXED_TREES
+    nodes = ",\n  ".join(str(r) for r in FIXED_TREES)
+    names = ", ".join(f"({i}, '{n}')" for i, n in enumerate(FIXED_FEATURES))
+    n = len(FIXED_FEATURES)
+    xs = " UNION ALL ".join(f"SELECT order_id, {i} AS f, CAST({c} AS DOUBLE) AS x FROM rows_"
+                            for i, c in enumerate(FIXED_FEATURES))
+    weights = ", ".join(f"({k}, {math.factorial(k) * math.factorial(n - 1 - k)} / {math.factorial(n)}.0)"
+                        for k in range(n))
+    return qb(f""",
+nodes(tree, node, f, cut, l, r, value, cover) AS (VALUES
+  {nodes}),
+names(f, feature) AS (VALUES {names}),
+weights(k, w) AS (VALUES {weights}),
+rows_ AS (SELECT *, coalesce(regexp_matches(review_comment_message, '\\S'), false) AS has_review_text FROM imp),
+xs AS ({xs}),
+paths AS (
+  WITH RECURSIVE p AS (
+    SELECT tree, node, CAST([] AS STRUCT(f INTEGER, cut DOUBLE, is_left BOOLEAN, w DOUBLE)[]) AS conds
+    FROM nodes WHERE node = 0
+    UNION ALL
+    SELECT c.tree, c.node, list_append(p.conds, struct_pack(
+             f := CAST(n.f AS INTEGER), cut := CAST(n.cut AS DOUBLE), is_left := c.node = n.l,
+             w := CAST(c.cover / n.cover AS DOUBLE)))
+    FROM p JOIN nodes n ON n.tree = p.tree AND n.node = p.node
+           JOIN nodes c ON c.tree = n.tree AND (c.node = n.l OR c.node = n.r))
+  SELECT * FROM p),
+leaves AS (
+  SELECT row_number() OVER () AS leaf, n.value, conds
+  FROM paths JOIN nodes n ON n.tree = paths.tree AND n.node = paths.node WHERE n.l < 0),
+conds AS (SELECT leaf, c.f AS f, c.cut AS cut, c.is_left AS is_left, c.w AS w FROM (SELECT leaf, unnest(conds) AS c FROM leaves)),
+met AS (
+  SELECT x.order_id, c.leaf, c.f, bool_and((x.x <= c.cut) = c.is_left) AS o, product(c.w) AS w
+  FROM conds c JOIN xs x ON x.f = c.f GROUP BY ALL),
+coalitions AS (SELECT unnest(range({1 << n})) AS s),
+games AS (
+  SELECT order_id, leaf, s, product(CASE WHEN (s >> f) & 1 = 1 THEN CAST(o AS INTEGER) ELSE w END) AS g
+  FROM met, coalitions GROUP BY ALL),
+totals AS (
+  SELECT order_id, s, sum(value * g) + (SELECT coalesce(sum(value), 0) FROM leaves WHERE len(conds) = 0) AS g
+  FROM games JOIN leaves USING (leaf) GROUP BY ALL),
+phi AS (
+  SELECT a.order_id, n.feature, sum(w.w * (b.g - a.g)) AS v
+  FROM totals a JOIN names n ON (a.s >> n.f) & 1 = 0
+       JOIN totals b ON b.order_id = a.order_id AND b.s = a.s + (1 << n.f)
+       JOIN weights w ON w.k = bit_count(a.s)
+  GROUP BY ALL),
+margin AS (
+  SELECT order_id, max(CASE WHEN s = 0 THEN g END) AS base,
+         max(CASE WHEN s = {(1 << n) - 1} THEN g END) AS log_odds FROM totals GROUP BY ALL)
+""" + final)
+
+
+def _fixed_oracles() -> None:
+    from lapsewise.plans.queries import FIXED_FEATURES
+    shap = ", ".join(f"round(max(CASE WHEN feature = '{c}' THEN v END), 6) AS shap_{c}" for c in FIXED_FEATURES)
+    own = ", ".join(c if c == "has_review_text" else f"round(CAST({c} AS DOUBLE), 6) AS {c}" for c in FIXED_FEATURES)
+    ORACLES["attribution_rows"] = _attribution_sql(f"""
+SELECT r.order_id, churned, {own}, round(base, 6) AS base, round(log_odds, 6) AS log_odds,
+       round(1 / (1 + exp(-log_odds)), 6) AS churn_prob, w.* EXCLUDE (order_id)
+FROM rows_ r JOIN margin USING (order_id)
+     JOIN (SELECT order_id, {shap} FROM phi GROUP BY order_id) w USING (order_id)""")
+    ranked = """
+, ranked AS (
+  SELECT feature, round(m, 6) AS mean_abs_shap, row_number() OVER (ORDER BY m DESC, feature) AS rank
+  FROM (SELECT feature, avg(abs(v)) AS m FROM phi GROUP BY feature))
+"""
+    ORACLES["attribution_ranking"] = _attribution_sql(ranked + "SELECT * FROM ranked")
+    ORACLES["attribution_of_text"] = _attribution_sql(ranked + """
+SELECT *, 'text' AS kind FROM ranked WHERE feature = 'has_review_text'
+UNION ALL SELECT * FROM (SELECT *, 'structured' AS kind FROM ranked WHERE feature <> 'has_review_text'
+                         ORDER BY rank LIMIT 2)""")
+
+
+_fixed_oracles()

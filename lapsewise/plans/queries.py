@@ -595,8 +595,8 @@ def model_comparison(spark, sf):
 
 def _importance(spark, sf):
     data, names = model_inputs(spark, sf)
-    gbt = fitted(spark, sf, "gbt").stages[-1]
-    att = AT.row_attributions(data.where(F.col("fold") == "test"), gbt, names)
+    nodes = AT.node_table(spark, fitted(spark, sf, "gbt").stages[-1])
+    att = AT.row_attributions(data.where(F.col("fold") == "test"), nodes, names)
     return AT.feature_importance(att, names)
 
 
@@ -658,13 +658,56 @@ def latest_conversation_turn(spark, sf):
     return present(O.latest_per_key(conv, "conv_id", "turn", "role", cols=["turn", "role"]))
 
 
+# A small ensemble, given as data (fixed values): its attributions are compared with SQL.
+# Rows: tree, node, feature (place in FIXED_FEATURES), threshold, left, right, value, cover.
+FIXED_FEATURES = ("delivery_delay_days", "review_score", "freight_ratio", "payment_value", "has_review_text")
+FIXED_TREES = (
+    (0, 0, 0, -1789.5, 1, 2, 0.0, 1000.0), (0, 1, 3, 150000.25, 3, 4, 0.0, 420.0),
+    (0, 2, 4, 0.5, 5, 6, 0.0, 580.0), (0, 3, 0, -1815.5, 7, 8, 0.0, 260.0), (0, 4, -1, 0.0, -1, -1, 0.31, 160.0),
+    (0, 5, 2, 0.040625, 9, 10, 0.0, 410.0), (0, 6, -1, 0.0, -1, -1, 0.92, 170.0), (0, 7, -1, 0.0, -1, -1, -0.44, 90.0),
+    (0, 8, -1, 0.0, -1, -1, 0.18, 170.0), (0, 9, -1, 0.0, -1, -1, 0.57, 250.0), (0, 10, -1, 0.0, -1, -1, 1.21, 160.0),
+    (1, 0, 1, 3.5, 1, 2, 0.0, 1000.0), (1, 1, 1, 1.5, 3, 4, 0.0, 370.0), (1, 2, 2, 0.0375, 5, 6, 0.0, 630.0),
+    (1, 3, -1, 0.0, -1, -1, 0.66, 120.0), (1, 4, 4, 0.5, 7, 8, 0.0, 250.0), (1, 5, -1, 0.0, -1, -1, -0.07, 290.0),
+    (1, 6, -1, 0.0, -1, -1, -0.29, 340.0), (1, 7, -1, 0.0, -1, -1, 0.12, 130.0), (1, 8, -1, 0.0, -1, -1, 0.39, 120.0),
+    (2, 0, -1, 0.0, -1, -1, 2.5, 1000.0))
+
+
+def _fixed_attributions(spark, sf):
+    """The frame's imputed features, scored and attributed by FIXED_TREES."""
+    from lapsewise.session import materialize
+    labelled = materialize(driver_frame(spark, sf).withColumn("has_review_text", non_blank("review_comment_message"))
+                           .drop("review_comment_message"))
+    data = FE.impute_missing_values(FE.add_behavioral_features(labelled)) \
+        .select("order_id", "churned", *FIXED_FEATURES)
+    nodes = spark.createDataFrame(FIXED_TREES, AT.NODES)
+    return AT.log_odds(AT.row_attributions(data, nodes, FIXED_FEATURES, ["order_id", "churned", *FIXED_FEATURES]))
+
+
 @query("attribution_rows")
 def attribution_rows(spark, sf):
+    return present(AT.scored_wide(_fixed_attributions(spark, sf), FIXED_FEATURES))
+
+
+@query("attribution_ranking")
+def attribution_ranking(spark, sf):
+    return present(AT.feature_importance(_fixed_attributions(spark, sf), FIXED_FEATURES))
+
+
+@query("attribution_of_text")
+def attribution_of_text(spark, sf):
+    ranking = AT.feature_importance(_fixed_attributions(spark, sf), FIXED_FEATURES)
+    return present(AT.sentiment_contribution(ranking, top_k=2))
+
+
+@query("attribution_rows_trained")
+def attribution_rows_trained(spark, sf):
+    """S-9: the test fold scored and attributed by the trained ensemble."""
     data, names = model_inputs(spark, sf)
     model = fitted(spark, sf, "gbt")
     # features, label and score ride along, so nothing has to be joined back
     scored = MD.score(model, data.where(F.col("fold") == "test"), ["order_id", "label", *names])
-    att = AT.row_attributions(scored, model.stages[-1], names, ["order_id", "label", "p_churn", *names])
+    att = AT.row_attributions(scored, AT.node_table(spark, model.stages[-1]), names,
+                              ["order_id", "label", "p_churn", *names])
     wide = AT.scored_wide(att, names).withColumnRenamed("p_churn", "churn_prob")
     return present(wide.withColumn("churned", F.col("label") == 1).drop("label"))
 
