@@ -1,4 +1,4 @@
-"""Review-text operators (X-1 … X-5, P-4 … P-8, T-6, J-9, J-10).
+"""Review-text operators (X-1 … X-4, P-4 … P-8, T-6, J-9, J-10).
 
 Sentiment (X-1) is a lexicon model evaluated entirely inside one projection:
 the whole text is tokenised with ``regexp_extract_all``, each token looked up
@@ -19,19 +19,16 @@ The reference delegates this to a third-party English lexicon that is not in
 its repository, so scores cannot match it numerically; the contract kept is
 the one its tests pin: ranges, types, and (0, 0) for missing/blank text.
 
-Review themes (X-5, re-aimed from a remote language model) are a grouping
-job: distinct tokens per review ⋈ a theme dictionary (fixed, small, broadcast)
-→ hits per (theme, review) → per theme the number of reviews, their share and
-a representative review (most hits, then smallest id).
+A lexicon learnt from the reviews' scores is in ``lexicon``, the themes of the
+reviews (X-5) in ``themes``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lapsewise.functions.exprs import hash_key, is_true, non_blank
-from lapsewise.operators.joins import with_scalars
 
 TOKEN_PATTERN = r"[\p{L}']+"
 
@@ -65,20 +62,6 @@ INTENSIFIERS = {
 NEGATIONS = ("not", "no", "never", "don't", "isn't", "wasn't", "não", "nao", "nunca",
              "nem", "pas", "nicht", "kein", "keine")
 
-# Review themes and the tokens that signal them.
-THEMES = {
-    "delivery_delay": ("late", "delay", "delayed", "slow", "waiting", "wait", "atraso",
-                       "atrasado", "demorou", "prazo"),
-    "product_quality": ("broken", "damaged", "defective", "poor", "worthless", "useless",
-                        "quebrado", "defeito", "ruim"),
-    "wrong_or_missing_item": ("wrong", "different", "missing", "incomplete", "errado",
-                              "diferente", "faltando"),
-    "seller_service": ("support", "service", "contact", "response", "refund",
-                       "atendimento", "resposta", "reembolso"),
-    "hostile_experience": ("stupid", "idiot", "disgusting", "awful", "terrible", "horrible",
-                           "worst", "péssimo", "horrível"),
-}
-
 
 def tokens(text) -> Column:
     """Lower-cased word tokens of the whole text (letters and apostrophes)."""
@@ -205,35 +188,3 @@ def review_candidates(mode: str, labelled: DataFrame | None = None,
         return negative_churned_reviews(tables["orders"], tables["customers"],
                                         tables["order_reviews"], max_score)
     raise ValueError("mode must be 'window' or 'all'")
-
-
-def theme_dictionary(spark: SparkSession) -> DataFrame:
-    rows = [(theme, term) for theme, terms in THEMES.items() for term in terms]
-    return spark.createDataFrame(rows, "theme string, term string")
-
-
-def theme_counts(df: DataFrame, key: str = "review_id",
-                 text: str = "review_comment_message") -> DataFrame:
-    """X-5: per theme the reviews mentioning it, their share, and a representative review with its text.
-
-    Only keys are aggregated; the quotes are fetched for one review a theme.
-    """
-    spark = df.sparkSession
-    total = df.agg(F.count(F.lit(1)).alias("reviews"))
-    terms = theme_dictionary(spark)
-    toks = (df.select(key, F.explode(F.array_distinct(tokens(text))).alias("term")))
-    # the dictionary is a fixed list of a few dozen rows: broadcast is size-proven
-    hits = (toks.join(F.broadcast(terms), "term")
-            .groupBy("theme", key).agg(F.count(F.lit(1)).alias("hits")))
-    per_theme = hits.groupBy("theme").agg(
-        F.count(F.lit(1)).alias("reviews_with_theme"),
-        F.min_by(F.col(key), F.struct(-F.col("hits"), F.col(key))).alias("representative_id"),
-        F.max("hits").alias("representative_hits"))
-    # one row a theme of the fixed dictionary
-    chosen = F.broadcast(per_theme.select("representative_id"))
-    quotes = (df.join(chosen, df[key] == chosen["representative_id"], "left_semi")
-              .groupBy(F.col(key).alias("__id")).agg(F.min(text).alias("representative_quote")))
-    return (with_scalars(per_theme, total)
-            .withColumn("share", F.col("reviews_with_theme") / F.col("reviews"))
-            .join(quotes, F.col("representative_id") == F.col("__id"), "left")
-            .drop("reviews", "__id"))

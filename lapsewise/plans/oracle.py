@@ -551,50 +551,6 @@ lex(word, p, s) AS (VALUES
   ('schlecht', -0.7, 0.67)),
 inten(word, m) AS (VALUES ('very', 1.3), ('really', 1.3), ('extremely', 1.5), ('so', 1.2), ('too', 1.2), ('quite', 1.1), ('muito', 1.3), ('muy', 1.3), ('très', 1.3), ('sehr', 1.3)),
 negs(word) AS (VALUES ('not'), ('no'), ('never'), ('don''t'), ('isn''t'), ('wasn''t'), ('não'), ('nao'), ('nunca'), ('nem'), ('pas'), ('nicht'), ('kein'), ('keine')),
-theme_terms(theme, term) AS (VALUES
-  ('delivery_delay', 'late'),
-  ('delivery_delay', 'delay'),
-  ('delivery_delay', 'delayed'),
-  ('delivery_delay', 'slow'),
-  ('delivery_delay', 'waiting'),
-  ('delivery_delay', 'wait'),
-  ('delivery_delay', 'atraso'),
-  ('delivery_delay', 'atrasado'),
-  ('delivery_delay', 'demorou'),
-  ('delivery_delay', 'prazo'),
-  ('product_quality', 'broken'),
-  ('product_quality', 'damaged'),
-  ('product_quality', 'defective'),
-  ('product_quality', 'poor'),
-  ('product_quality', 'worthless'),
-  ('product_quality', 'useless'),
-  ('product_quality', 'quebrado'),
-  ('product_quality', 'defeito'),
-  ('product_quality', 'ruim'),
-  ('wrong_or_missing_item', 'wrong'),
-  ('wrong_or_missing_item', 'different'),
-  ('wrong_or_missing_item', 'missing'),
-  ('wrong_or_missing_item', 'incomplete'),
-  ('wrong_or_missing_item', 'errado'),
-  ('wrong_or_missing_item', 'diferente'),
-  ('wrong_or_missing_item', 'faltando'),
-  ('seller_service', 'support'),
-  ('seller_service', 'service'),
-  ('seller_service', 'contact'),
-  ('seller_service', 'response'),
-  ('seller_service', 'refund'),
-  ('seller_service', 'atendimento'),
-  ('seller_service', 'resposta'),
-  ('seller_service', 'reembolso'),
-  ('hostile_experience', 'stupid'),
-  ('hostile_experience', 'idiot'),
-  ('hostile_experience', 'disgusting'),
-  ('hostile_experience', 'awful'),
-  ('hostile_experience', 'terrible'),
-  ('hostile_experience', 'horrible'),
-  ('hostile_experience', 'worst'),
-  ('hostile_experience', 'péssimo'),
-  ('hostile_experience', 'horrível')),
 src AS (
   SELECT order_id AS k, review_comment_message AS txt FROM labelled
   WHERE coalesce(regexp_matches(review_comment_message, '\\S'), false)),
@@ -668,19 +624,6 @@ SELECT review_id, order_id, customer_unique_id, CAST(review_score AS BIGINT) AS
     "negative_review_sample": f"""
 SELECT review_id, order_id, CAST(review_score AS BIGINT) AS review_score, review_comment_message
 FROM neg ORDER BY {_HASH.format(k="review_id")}, review_id LIMIT 50""",
-    "theme_counts": """
-SELECT theme, reviews_with_theme, representative_id, representative_hits,
-       round(reviews_with_theme / (SELECT count(*) FROM neg), 6) AS share,
-       (SELECT min(review_comment_message) FROM neg n WHERE n.review_id = representative_id) AS representative_quote
-FROM (
-  SELECT theme, count(*) AS reviews_with_theme,
-         arg_min(review_id, (-hits, review_id)) AS representative_id, max(hits) AS representative_hits
-  FROM (SELECT tt.theme, d.review_id, count(*) AS hits
-        FROM (SELECT DISTINCT review_id, unnest(regexp_extract_all(lower(review_comment_message), '[\\pL'']+')) AS term
-              FROM neg) d
-        JOIN theme_terms tt ON d.term = tt.term
-        GROUP BY tt.theme, d.review_id)
-  GROUP BY theme)""",
 }
 
 for _name, _final in TEXT_Q.items():
@@ -921,22 +864,63 @@ ORACLES["polarity_histogram"] = qt(_hist_sql(
     f"SELECT {SEG} AS segment, round(sentiment_polarity, 6) AS v FROM sent WHERE has_review_text", "v"))
 
 
-def _themes_sql(pool: str) -> str:
+def _themes_sql(pool: str, rounds: int = 6) -> str:
+    """Themes of ``pool`` (k, txt): vocabulary, surplus co-occurrence, rounds of label propagation, names."""
+    propagation = "".join(f"""
+l{r + 1} AS MATERIALIZED (
+  SELECT term, arg_min(label, (-v, label)) AS label
+  FROM (SELECT term, label, sum(weight) AS v
+        FROM (SELECT src AS term, label, weight FROM graph JOIN l{r} ON l{r}.term = dst
+              UNION ALL SELECT o.term, label, own FROM own o JOIN l{r} ON l{r}.term = o.term)
+        GROUP BY term, label) GROUP BY term),""" for r in range(rounds))
     return f"""
-, pool AS ({pool})
-SELECT theme, reviews_with_theme, representative_id, representative_hits,
-       round(reviews_with_theme / (SELECT count(*) FROM pool), 6) AS share,
-       (SELECT min(p.txt) FROM pool p WHERE p.k = representative_id) AS representative_quote
-FROM (
-  SELECT theme, count(*) AS reviews_with_theme,
+, pool AS MATERIALIZED ({pool}),
+ws AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, k,
+         coalesce(list_filter(regexp_extract_all(lower(txt), '[\\pL'']+'), lambda t: length(t) >= 3), []) AS w
+  FROM pool),
+here AS MATERIALIZED (SELECT DISTINCT r, k, unnest(w) AS term FROM ws),
+n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM pool),
+vocab AS MATERIALIZED (
+  SELECT term FROM here GROUP BY term
+  HAVING count(*) >= 5 AND count(*) >= 0.002::DOUBLE * (SELECT n FROM n) AND count(*) <= 0.25::DOUBLE * (SELECT n FROM n)),
+at_place AS (SELECT r, unnest(w) AS t, generate_subscripts(w, 1) AS i FROM ws),
+near AS (
+  SELECT DISTINCT x.r, least(x.t, y.t) AS a, greatest(x.t, y.t) AS b
+  FROM at_place x, range(1, 5) AS d(d) JOIN at_place y ON y.r = x.r AND y.i = x.i + d.d WHERE x.t <> y.t),
+pairs AS MATERIALIZED (
+  SELECT a, b, count(*) AS c FROM near
+  WHERE a IN (SELECT term FROM vocab) AND b IN (SELECT term FROM vocab) GROUP BY a, b),
+both_ AS (SELECT a AS src, b AS dst, c FROM pairs UNION ALL SELECT b, a, c FROM pairs),
+places AS MATERIALIZED (SELECT src, CAST(sum(c) AS DOUBLE) AS m FROM both_ GROUP BY src),
+weighed AS (
+  SELECT x.src, x.dst, CAST(floor((x.c - p.m * q.m / (SELECT sum(m) FROM places)) * 1000) AS BIGINT) AS weight
+  FROM both_ x JOIN places p ON p.src = x.src JOIN places q ON q.src = x.dst WHERE x.c >= 3),
+graph AS MATERIALIZED (
+  SELECT src, dst, weight FROM weighed WHERE weight > 0
+  QUALIFY row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) <= 8),
+own AS MATERIALIZED (SELECT src AS term, max(weight) AS own FROM graph GROUP BY src),
+l0 AS MATERIALIZED (SELECT term, term AS label FROM own),{propagation}
+inside AS (
+  SELECT src AS term, x.label, sum(CASE WHEN x.label = y.label THEN weight ELSE 0 END) AS weight
+  FROM graph JOIN l{rounds} x ON x.term = src JOIN l{rounds} y ON y.term = dst GROUP BY src, x.label),
+ranked AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY label ORDER BY weight DESC, term) AS place FROM inside),
+names AS (
+  SELECT label, count(*) AS n_terms, string_agg(term, ', ' ORDER BY place) FILTER (WHERE place <= 3) AS theme
+  FROM ranked GROUP BY label HAVING count(*) >= 3),
+best AS (
+  SELECT theme, n_terms, count(*) AS reviews_with_theme,
          arg_min(k, (-hits, k)) AS representative_id, max(hits) AS representative_hits
-  FROM (SELECT tt.theme, d.k, count(*) AS hits
-        FROM (SELECT DISTINCT k, unnest(regexp_extract_all(lower(txt), '[\\pL'']+')) AS term FROM pool) d
-        JOIN theme_terms tt ON d.term = tt.term
-        GROUP BY tt.theme, d.k)
-  GROUP BY theme)"""
+  FROM (SELECT theme, n_terms, k, count(*) AS hits
+        FROM here JOIN ranked USING (term) JOIN names USING (label) GROUP BY ALL HAVING count(*) >= 2)
+  GROUP BY theme, n_terms ORDER BY reviews_with_theme DESC, theme LIMIT 5)
+SELECT *, round(reviews_with_theme / (SELECT n FROM n), 6) AS share,
+       (SELECT min(p.txt) FROM pool p WHERE p.k = representative_id) AS representative_quote
+FROM best"""
 
 
+ORACLES["theme_counts"] = qt(_themes_sql("SELECT review_id AS k, review_comment_message AS txt FROM neg"))
 ORACLES["review_themes_window"] = qt(_themes_sql(
     "SELECT order_id AS k, review_comment_message AS txt FROM labelled WHERE churned "
     "AND review_score <= 3 AND coalesce(regexp_matches(review_comment_message, '\\S'), false)"))
@@ -970,6 +954,72 @@ ORACLES["customer_place"] = """
 SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer)"""
 
 
+# --- the learnt lexicon ---------------------------------------------------------------------------
+
+_NEGATED = "('not', 'no', 'never', 'don''t', 'isn''t', 'wasn''t', 'não', 'nao', 'nunca', 'nem', 'pas', 'nicht', " \
+           "'kein', 'keine')"
+
+
+def _lexicon_sql(final: str) -> str:
+    """told (order_id, review_score, txt, held_out), lexicon (term, …) and scored (a row a review)."""
+    return q(f"""
+, told AS MATERIALIZED (
+  SELECT order_id, review_score, review_comment_message AS txt,
+         CAST('0x' || substr(md5('42:' || coalesce(review_comment_message, '')), 1, 8) AS BIGINT)
+           / 4294967296.0::DOUBLE < 0.2::DOUBLE AS held_out
+  FROM rev_latest),
+has AS (
+  SELECT DISTINCT order_id, review_score >= 4 AS good, unnest(regexp_extract_all(lower(txt), '[\\pL'']+')) AS term
+  FROM told WHERE NOT held_out AND (review_score >= 4 OR review_score <= 2)),
+counts AS (
+  SELECT term, count(*) FILTER (WHERE good) AS g, count(*) FILTER (WHERE NOT good) AS b
+  FROM has WHERE length(term) >= 2 GROUP BY term),
+sums AS (SELECT CAST(sum(g) AS DOUBLE) AS ag, CAST(sum(b) AS DOUBLE) AS ab FROM counts),
+prior AS (SELECT *, 500.0::DOUBLE * (g + b) / (ag + ab) AS a FROM counts, sums),
+rated AS (
+  SELECT *, ln((g + a) / (ag + 501.0::DOUBLE - g - a)) - ln((b + a) / (ab + 501.0::DOUBLE - b - a)) AS d,
+         1.0::DOUBLE / (g + a) + 1.0::DOUBLE / (b + a) AS var FROM prior),
+lexicon AS MATERIALIZED (
+  SELECT term, g AS n_good, b AS n_bad,
+         d * (1 - var / (d * d)) / (1 + abs(d * (1 - var / (d * d)))) AS polarity,
+         1 - 3.8416::DOUBLE * var / (d * d) AS subjectivity
+  FROM rated WHERE g + b >= 5 AND d * d > 3.8416::DOUBLE * var),
+toks AS (
+  SELECT order_id, unnest(w) AS term, generate_subscripts(w, 1) AS i
+  FROM (SELECT order_id, regexp_extract_all(lower(txt), '[\\pL'']+') AS w FROM told
+        WHERE coalesce(regexp_matches(txt, '\\S'), false))),
+scoped AS (
+  SELECT order_id, term,
+         coalesce(max(CASE WHEN term IN {_NEGATED} THEN 1 ELSE 0 END)
+                  OVER (PARTITION BY order_id ORDER BY i ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), 0) = 1 AS negated
+  FROM toks),
+means AS (
+  SELECT order_id, avg(polarity * CASE WHEN negated THEN -0.5 ELSE 1.0 END) AS p, avg(subjectivity) AS s
+  FROM scoped JOIN lexicon USING (term) GROUP BY order_id),
+scored AS (
+  SELECT t.*, coalesce(regexp_matches(txt, '\\S'), false) AS has_review_text,
+         coalesce(p, 0.0) AS sentiment_polarity, coalesce(s, 0.0) AS sentiment_subjectivity
+  FROM told t LEFT JOIN means USING (order_id))
+""" + final)
+
+
+ORACLES["sentiment_lexicon"] = _lexicon_sql("""
+SELECT term, n_good, n_bad, round(polarity, 6) AS polarity, round(subjectivity, 6) AS subjectivity FROM lexicon""")
+ORACLES["sentiment_learnt"] = _lexicon_sql("""
+SELECT order_id, held_out, has_review_text, round(sentiment_polarity, 6) AS sentiment_polarity,
+       round(sentiment_subjectivity, 6) AS sentiment_subjectivity FROM scored""")
+ORACLES["sentiment_agreement"] = _lexicon_sql("""
+SELECT *, round(agreeing / nullif(n_signed, 0), 6) AS agreement
+FROM (
+  SELECT count(*) FILTER (WHERE review_score >= 4) AS n_good, count(*) FILTER (WHERE review_score <= 2) AS n_bad,
+         round(avg(CASE WHEN review_score >= 4 THEN sentiment_polarity END), 6) AS mean_good,
+         round(avg(CASE WHEN review_score <= 2 THEN sentiment_polarity END), 6) AS mean_bad,
+         count(*) FILTER (WHERE round(sentiment_polarity, 9) <> 0) AS n_signed,
+         count(*) FILTER (WHERE (review_score >= 4 AND round(sentiment_polarity, 9) > 0)
+                             OR (review_score <= 2 AND round(sentiment_polarity, 9) < 0)) AS agreeing
+  FROM scored WHERE held_out AND has_review_text AND (review_score >= 4 OR review_score <= 2))""")
+
+
 # --- attribution by a fixed ensemble: the Shapley values from their definition --------------------
 
 def _attribution_sql(final: str) -> str:

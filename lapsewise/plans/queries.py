@@ -12,18 +12,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapsewise.functions.exprs import non_blank
+from lapsewise.functions.exprs import hash_unit, non_blank
 from lapsewise.operators import attribution as AT
 from lapsewise.operators import business as B
 from lapsewise.operators import encode as N
 from lapsewise.operators import explore as X
 from lapsewise.operators import features as FE
 from lapsewise.operators import labels as L
+from lapsewise.operators import lexicon as LX
 from lapsewise.operators import metrics as M
 from lapsewise.operators import models as MD
 from lapsewise.operators import orders as O
 from lapsewise.operators import sampling as SP
 from lapsewise.operators import text as TX
+from lapsewise.operators import themes as TH
 from lapsewise.plans.pipeline import TEST_WINDOW_MONTHS, driver_frame, present
 from lapsewise.sources.driver import PAYMENT_ORDER, model_tables, read_driver
 from lapsewise.sources.files import source_summary as _source_summary
@@ -374,7 +376,7 @@ def negative_review_sample(spark, sf):
 
 @query("theme_counts")
 def theme_counts(spark, sf):
-    return present(TX.theme_counts(_neg(spark, sf)))
+    return present(TH.find_themes(_neg(spark, sf)))
 
 
 # --- split, metrics, thresholds, business ------------------------------------------
@@ -712,6 +714,39 @@ def attribution_rows_trained(spark, sf):
     return present(wide.withColumn("churned", F.col("label") == 1).drop("label"))
 
 
+def _told_reviews(spark, sf):
+    """The latest reviews with text, narrow, and their fold: all copies of a text fall on one side."""
+    from lapsewise.session import materialize
+    rev = O.latest_review(model_tables(spark, sf)["order_reviews"]) \
+        .select("order_id", "review_score", "review_comment_message")
+    return materialize(rev.withColumn("held_out", hash_unit(F.coalesce("review_comment_message", F.lit(""))) < 0.2))
+
+
+def _learnt(spark, sf):
+    from lapsewise.session import materialize
+    told = _told_reviews(spark, sf)
+    lexicon = materialize(LX.fit_lexicon(told.where(~F.col("held_out"))))
+    return lexicon, LX.learnt_sentiment(told, lexicon)
+
+
+@query("sentiment_lexicon")
+def sentiment_lexicon(spark, sf):
+    return present(LX.fit_lexicon(_told_reviews(spark, sf).where(~F.col("held_out"))))
+
+
+@query("sentiment_learnt")
+def sentiment_learnt(spark, sf):
+    """X-2 by the learnt lexicon, for the latest review of every order."""
+    return present(_learnt(spark, sf)[1].select("order_id", "held_out", "has_review_text", "sentiment_polarity",
+                                                "sentiment_subjectivity"))
+
+
+@query("sentiment_agreement")
+def sentiment_agreement(spark, sf):
+    """How far the learnt polarity follows the scores of held-out reviews."""
+    return present(LX.agreement(_learnt(spark, sf)[1].where("held_out")))
+
+
 @query("best_model")
 def best_model(spark, sf):
     return present(MD.best_model(QUERIES["model_comparison"](spark, sf)))
@@ -731,7 +766,7 @@ def findings_with_drivers(spark, sf):
 def review_themes_window(spark, sf):
     """X-5 over all windowed candidates (churned, score ≤ 3, non-blank text)."""
     pool = TX.review_pool(driver_frame(spark, sf)).select("order_id", "review_comment_message")
-    return present(TX.theme_counts(pool, key="order_id"))
+    return present(TH.find_themes(pool, key="order_id"))
 
 
 @query("review_themes_all")
@@ -739,4 +774,4 @@ def review_themes_all(spark, sf):
     """X-5 over the latest review of every order (the whole review table)."""
     rev = O.latest_review(model_tables(spark, sf)["order_reviews"]) \
         .where(F.col("review_comment_message").isNotNull())
-    return present(TX.theme_counts(rev.select("order_id", "review_comment_message"), key="order_id"))
+    return present(TH.find_themes(rev.select("order_id", "review_comment_message"), key="order_id"))
