@@ -85,6 +85,18 @@ def impute_missing_values(df: DataFrame, fit: DataFrame | None = None,
         out = with_scalars(df, fills)
         out = out.withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(n))
                                for c, n in names.items()}).drop(*names.values())
+    return _flags_again(out, fill_item_count)
+
+
+def impute_by_values(df: DataFrame, fills: dict[str, float], fill_item_count: float | None = None) -> DataFrame:
+    """E-3 with fill values at hand (column -> value); columns that ``df`` lacks are skipped."""
+    out = df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(v).cast("double"))
+                          for c, v in fills.items() if c in df.columns})
+    return _flags_again(out, fill_item_count)
+
+
+def _flags_again(out: DataFrame, fill_item_count: float | None) -> DataFrame:
+    """The flags, from the filled columns that they stand for."""
     if fill_item_count is not None and "item_count" in out.columns:
         out = out.withColumn("item_count", F.coalesce(F.col("item_count"),
                                                       F.lit(fill_item_count).cast("bigint")))

@@ -733,6 +733,20 @@ def qs(final: str, months: int = MONTHS) -> str:
     return base(months) + BEH + SCORE + final
 
 
+def _train_fitted(final: str) -> str:
+    """As ``qb``, but medians, levels and top categories come from the training fold."""
+    split = SCORE[:SCORE.index("scored AS")].rstrip().rstrip(",")
+    train = "order_id IN (SELECT order_id FROM sp WHERE fold = 'train')"
+    beh = (BEH.replace("FROM beh),", f"FROM beh WHERE {train}),")
+           .replace("WHERE product_category_english IS NOT NULL\n", f"WHERE product_category_english IS NOT NULL AND {train}\n")
+           .replace("FROM grp WHERE payment_type IS NOT NULL", f"FROM grp WHERE payment_type IS NOT NULL AND {train}")
+           .replace("FROM grp WHERE customer_state IS NOT NULL", f"FROM grp WHERE customer_state IS NOT NULL AND {train}")
+           .replace("product_category_grouped FROM grp)", f"product_category_grouped FROM grp WHERE {train})"))
+    return base() + split + beh + final
+
+
+ORACLES["feature_matrix_train"] = _train_fitted(ORACLES["feature_matrix"][len(qb("")):])
+
 METRIC_Q = {
     "stratified_split": "SELECT order_id, CAST(label AS BIGINT) AS label, fold FROM sp",
     "class_distribution": """

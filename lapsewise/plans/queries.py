@@ -23,6 +23,7 @@ from lapsewise.operators import lexicon as LX
 from lapsewise.operators import metrics as M
 from lapsewise.operators import models as MD
 from lapsewise.operators import orders as O
+from lapsewise.operators import preprocess as PP
 from lapsewise.operators import sampling as SP
 from lapsewise.operators import text as TX
 from lapsewise.operators import themes as TH
@@ -171,6 +172,16 @@ def feature_matrix(spark, sf):
     return present(_long(fm, "order_id", names + ["label"]))
 
 
+@query("feature_matrix_train")
+def feature_matrix_train(spark, sf):
+    """E-3: every row's features by the medians, levels and categories of the training fold."""
+    from lapsewise.session import materialize
+    base = _labelled_no_text(spark, sf).withColumn("label", F.col("churned").cast("int"))
+    rows = materialize(SP.stratified_split(base, "label", "order_id", 0.2, 42))
+    stage = PP.FeaturePreprocessor().fit(rows.where(F.col("fold") == "train"))
+    return present(_long(stage.transform(rows), "order_id", [*stage.feature_names, "label"]))
+
+
 # --- exploratory aggregates ---------------------------------------------------------
 
 
@@ -539,7 +550,8 @@ def _fresh(spark, sf) -> None:
 
 
 def model_inputs(spark, sf):
-    """Feature matrix with text features and the exact split, materialised once."""
+    """(rows, stage): the labelled rows with text features and their fold, materialised once, and the
+    preprocessing fitted on the training fold alone (E-3)."""
     _fresh(spark, sf)
     key = "inputs"
     if key not in _MODELS:
@@ -547,23 +559,25 @@ def model_inputs(spark, sf):
         # the labelled frame with text scores is read by several passes
         # (vocabulary, medians, matrix): materialise it once
         base = materialize(TX.add_sentiment_features(driver_frame(spark, sf))
-                           .drop("review_comment_message"))
+                           .drop("review_comment_message")
+                           .withColumn("label", F.col("churned").cast("int")))
+        rows = materialize(SP.stratified_split(base, "label", "order_id", 0.2, 42))
         # the modelling variant fills a missing item count with 1 (trees reject NaN)
-        fm, names = N.build_feature_matrix(base, 15, fill_item_count=1)
-        split = materialize(SP.stratified_split(materialize(fm), "label", "order_id", 0.2, 42))
-        _MODELS[key] = (split, names)
+        stage = PP.FeaturePreprocessor(topN=15, fillItemCount=1.0).fit(rows.where(F.col("fold") == "train"))
+        _MODELS[key] = (rows, stage)
     return _MODELS[key]
 
 
 def fitted(spark, sf, kind: str):
-    data, names = model_inputs(spark, sf)
+    """The preprocessing and the learner, in one saveable pipeline (S-10)."""
+    rows, stage = model_inputs(spark, sf)
     key = kind
     if key not in _MODELS:
-        train = data.where(F.col("fold") == "train")
+        train = rows.where(F.col("fold") == "train")
         if kind == "gbt":
-            _MODELS[key] = MD.train_gbt(train, names, max_iter=TREES)
+            _MODELS[key] = MD.train_gbt(train, stage, max_iter=TREES)
         else:
-            _MODELS[key] = MD.train_logreg(train, names)
+            _MODELS[key] = MD.train_logreg(train, stage)
     return _MODELS[key]
 
 
@@ -596,9 +610,10 @@ def model_comparison(spark, sf):
 
 
 def _importance(spark, sf):
-    data, names = model_inputs(spark, sf)
+    data, stage = model_inputs(spark, sf)
+    names = stage.feature_names
     nodes = AT.node_table(spark, fitted(spark, sf, "gbt").stages[-1])
-    att = AT.row_attributions(data.where(F.col("fold") == "test"), nodes, names)
+    att = AT.row_attributions(stage.transform(data.where(F.col("fold") == "test")), nodes, names)
     return AT.feature_importance(att, names)
 
 
@@ -704,7 +719,8 @@ def attribution_of_text(spark, sf):
 @query("attribution_rows_trained")
 def attribution_rows_trained(spark, sf):
     """S-9: the test fold scored and attributed by the trained ensemble."""
-    data, names = model_inputs(spark, sf)
+    data, stage = model_inputs(spark, sf)
+    names = stage.feature_names
     model = fitted(spark, sf, "gbt")
     # features, label and score ride along, so nothing has to be joined back
     scored = MD.score(model, data.where(F.col("fold") == "test"), ["order_id", "label", *names])
