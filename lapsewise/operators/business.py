@@ -69,6 +69,45 @@ def campaign_roi(scored: DataFrame, threshold: DataFrame, total_customers: DataF
                                                     F.col("campaign_cost")) * F.lit(100.0)))
 
 
+def opportunity_by_grain(scored: DataFrame, threshold: DataFrame, grains: dict[str, str],
+                         label: str = "label", prob: str = "p_churn", customer: str = "customer_unique_id",
+                         cost: float = CAMPAIGN_COST_PER_CUSTOMER, conversion: float = CONVERSION_RATE,
+                         value: float = ANNUAL_REVENUE_PER_CUSTOMER) -> DataFrame:
+    """B-2 and B-3 over all rows and for every level of the columns ``grains`` (grain name -> column).
+
+    One scan and one aggregate (grouping sets). (grain, level) name a row; the
+    grain 'all' has a null level, like a grain's rows without a level. customers
+    are those of the row's scored orders; the share flagged is scaled to them.
+    """
+    names = list(grains)
+    cols = [f"__g{i}" for i in range(len(names))]
+    s = with_scalars(scored, threshold, ["threshold"]).withColumns(
+        {c: F.col(grains[g]).cast("string") for c, g in zip(cols, names, strict=True)})
+    kept, flagged = F.col(label) == 0, _pred(prob, "threshold") == 0
+    out = s.groupingSets([[], *[[c] for c in cols]], *cols).agg(
+        F.grouping_id().alias("__id"),
+        F.count(F.when(kept, 1)).alias("actual_retained"),
+        F.count(F.when(kept & flagged, 1)).alias("retained_tp"),
+        F.count(F.when(kept & ~flagged, 1)).alias("retained_fn"),
+        F.count(F.lit(1)).alias("scored_rows"), F.count(F.when(flagged, 1)).alias("flagged_retained"),
+        F.count_distinct(customer).alias("customers"))
+    full = (1 << len(cols)) - 1                 # a bit is 0 where its column is grouped by
+    grain, level = F.lit("all"), F.lit(None).cast("string")
+    for i, (c, g) in enumerate(zip(cols, names, strict=True)):
+        own = F.col("__id") == full - (1 << (len(cols) - 1 - i))
+        grain, level = F.when(own, F.lit(g)).otherwise(grain), F.when(own, F.col(c)).otherwise(level)
+    sent = F.floor(F.col("flagged_retained") / F.col("scored_rows") * F.col("customers")).cast("bigint")
+    return (out.where("scored_rows > 0")
+            .withColumns({"grain": grain, "level": level, "flagged_full": sent})
+            .withColumn("potential_revenue", F.col("retained_tp") * F.lit(value))
+            .withColumn("revenue_at_risk", F.col("retained_fn") * F.lit(value))
+            .withColumn("campaign_cost", F.col("flagged_full") * F.lit(cost))
+            .withColumn("expected_revenue", F.col("flagged_full") * F.lit(conversion) * F.lit(value))
+            .withColumn("net_roi_pct", F.try_divide(F.col("expected_revenue") - F.col("campaign_cost"),
+                                                    F.col("campaign_cost")) * F.lit(100.0))
+            .drop("__id", *cols))
+
+
 #: What an encoded category name starts with, once underscores are spaces.
 CATEGORY_PREFIX = "product category grouped "
 

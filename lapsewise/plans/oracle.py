@@ -878,6 +878,46 @@ ORACLES["polarity_histogram"] = qt(_hist_sql(
     f"SELECT {SEG} AS segment, round(sentiment_polarity, 6) AS v FROM sent WHERE has_review_text", "v"))
 
 
+# the kernel density from its linear bins, every bin at every point of the grid
+ORACLES["polarity_density"] = qt(f"""
+, vals AS (SELECT {SEG} AS segment, round(sentiment_polarity, 6) AS v FROM sent WHERE has_review_text),
+grid AS (SELECT unnest(range(513)) AS i),
+placed AS (SELECT segment, v, (v + 2.0::DOUBLE) / 0.0078125::DOUBLE AS at_,
+                  least(CAST(floor((v + 2.0::DOUBLE) / 0.0078125::DOUBLE) AS INTEGER), 511) AS j FROM vals),
+dealt AS (SELECT segment, j, 1 - (at_ - j) AS w FROM placed
+          UNION ALL SELECT segment, j + 1, at_ - j FROM placed),
+bins AS (SELECT segment, j, sum(w) AS w FROM dealt GROUP BY segment, j),
+band AS (SELECT segment, count(*) AS n, stddev_samp(v) * pow(count(*), -0.2) AS h
+         FROM vals GROUP BY segment HAVING count(*) > 1 AND stddev_samp(v) > 1e-6)
+SELECT segment, round(-2.0::DOUBLE + i * 0.0078125::DOUBLE, 6) AS x,
+       round(sum(w * exp(-0.5 * pow((i - j) * 0.0078125::DOUBLE / h, 2))) / (max(n) * max(h) * sqrt(2 * pi())), 6) AS density
+FROM bins JOIN band USING (segment), grid GROUP BY segment, i""")
+
+ORACLES["opportunity_by_grain"] = qs("""
+SELECT grain, level, actual_retained, retained_tp, retained_fn, scored_rows, flagged_retained, customers, flagged_full,
+       round(retained_tp * 560.0::DOUBLE, 6) AS potential_revenue,
+       round(retained_fn * 560.0::DOUBLE, 6) AS revenue_at_risk,
+       round(flagged_full * 25.0::DOUBLE, 6) AS campaign_cost,
+       round(flagged_full * 0.15::DOUBLE * 560.0::DOUBLE, 6) AS expected_revenue,
+       round((flagged_full * 0.15::DOUBLE * 560.0::DOUBLE - flagged_full * 25.0::DOUBLE)
+             / nullif(flagged_full * 25.0::DOUBLE, 0) * 100, 6) AS net_roi_pct
+FROM (
+  SELECT *, CAST(floor(flagged_retained / scored_rows * customers) AS BIGINT) AS flagged_full
+  FROM (
+    SELECT CASE g WHEN 1 THEN 'state' WHEN 2 THEN 'category' ELSE 'all' END AS grain,
+           CASE g WHEN 1 THEN customer_state WHEN 2 THEN product_category_english END AS level, * EXCLUDE (g, customer_state, product_category_english)
+    FROM (
+      SELECT grouping(l.customer_state, l.product_category_english) AS g, l.customer_state, l.product_category_english,
+             count(*) FILTER (WHERE label = 0) AS actual_retained,
+             count(*) FILTER (WHERE label = 0 AND NOT p_churn >= (SELECT threshold FROM youden)) AS retained_tp,
+             count(*) FILTER (WHERE label = 0 AND p_churn >= (SELECT threshold FROM youden)) AS retained_fn,
+             count(*) AS scored_rows,
+             count(*) FILTER (WHERE NOT p_churn >= (SELECT threshold FROM youden)) AS flagged_retained,
+             count(DISTINCT t.customer_unique_id) AS customers
+      FROM test t JOIN labelled l ON l.order_id = t.order_id
+      GROUP BY GROUPING SETS ((l.customer_state), (l.product_category_english), ()))))""")
+
+
 def _themes_sql(pool: str, rounds: int = 6) -> str:
     """Themes of ``pool`` (k, txt): vocabulary, surplus co-occurrence, rounds of label propagation, names."""
     propagation = "".join(f"""

@@ -513,6 +513,18 @@ def campaign_roi(spark, sf):
     return present(B.campaign_roi(test, _youden(test), customers))
 
 
+@query("opportunity_by_grain")
+def opportunity_by_grain(spark, sf):
+    """B-2 and B-3 for states, categories and all test orders, from one scan."""
+    from lapsewise.session import materialize
+    rows = _narrow(driver_frame(spark, sf), "order_id", "customer_unique_id", "customer_state",
+                   "product_category_english", F.col("churned").cast("int").alias("label"), "item_count")
+    scored = SP.stratified_split(rows, "label", "order_id", 0.2, 42).withColumn("p_churn", rule_score())
+    test = materialize(scored.where(F.col("fold") == "test"))
+    return present(B.opportunity_by_grain(test, _youden(test), {
+        "state": "customer_state", "category": "product_category_english"}))
+
+
 @query("findings_record")
 def findings_record(spark, sf):
     test = _test(spark, sf)
@@ -650,6 +662,14 @@ def polarity_histogram(spark, sf):
     return present(X.histogram(d, "sentiment_polarity"))
 
 
+@query("polarity_density")
+def polarity_density(spark, sf):
+    # rounded first, as in polarity_histogram
+    d = X.with_segment(_sent(spark, sf)).where(F.col("has_review_text")) \
+        .withColumn("sentiment_polarity", F.round("sentiment_polarity", 6))
+    return present(X.density_curve(d, "sentiment_polarity"))
+
+
 @query("impute_train_median")
 def impute_train_median(spark, sf):
     d = FE.add_behavioral_features(driver_frame(spark, sf))

@@ -169,3 +169,40 @@ def test_pr_threshold_and_youden_brute_force(spark):
     j, t = max(cands, key=lambda x: (x[0], x[1]))
     got = M.youden_threshold(df).first()
     assert got["threshold"] == t and got["j"] == pytest.approx(j)
+
+
+def test_quantiles_of_spread_values_and_wrong_brackets(spark, monkeypatch):
+    """Geometric spacing, heavy ties, groups, and sketches whose brackets miss: the counts put it right."""
+    import math as m
+    import random as r
+    from lapsewise.operators import stats
+    from lapsewise.operators.stats import exact_quantiles_multi
+    rng = r.Random(9)
+    rows = [(i % 3 if i % 7 else None, m.exp(rng.uniform(-300, 300)), float(rng.randrange(4)),
+             float("nan") if i % 5 == 0 else -1.0 / (i + 1)) for i in range(6000)]
+    df = spark.createDataFrame(rows, "g int, spread double, tied double, `odd` double")
+    qs = [0.0, 0.1, 0.999]
+    places = {"spread": 1, "tied": 2, "odd": 3}
+
+    def check(*names):
+        got = {(x["name"], x["g"], x["q"]): x["value"]
+               for x in exact_quantiles_multi(df, names, qs, by="g").collect()}
+        assert len(got) == len(names) * 4 * len(qs)
+        for g in (0, 1, 2, None):
+            for name in names:
+                j = places[name]
+                vals = [x[j] for x in rows if x[0] == g and not m.isnan(x[j])]
+                for q in qs:
+                    assert got[name, g, q] == pytest.approx(float(np.quantile(vals, q)), rel=1e-12)
+
+    check("spread", "tied", "odd")
+    monkeypatch.setattr(stats, "SKETCH", 8)
+    check("odd")
+
+
+def test_quantiles_of_nothing(spark):
+    from lapsewise.operators.stats import exact_quantiles_multi
+    df = spark.createDataFrame([(1, None), (1, float("nan"))], "g int, x double")
+    assert exact_quantiles_multi(df, ["x"], [0.5], by="g").collect() == []
+    assert exact_quantiles(df, ["x"]).first()["x"] is None
+    assert exact_quantiles(df.limit(0), ["x"]).first()["x"] is None
