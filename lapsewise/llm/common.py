@@ -188,4 +188,5 @@ _LETTER = re.compile(r"[^\W\d_]")
 
 
 def has_letter(text: bytes) -> bool:
-    return _LETTER.search(text.decode("utf-8", "replace")) is not None
+    """Whether a text has a letter; numerals (Roman, fractions, in circles) are none."""
+    return any(m.group().isalpha() for m in _LETTER.finditer(text.decode("utf-8", "replace")))

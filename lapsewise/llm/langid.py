@@ -12,15 +12,15 @@ from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapsewise.llm.common import _LOWER, _SPACE, has_letter, map_texts
 
 #: Width of the hashed n-gram histogram.
 BUCKETS = 2048
-#: Bounds of the training sample: rows in all, rows of a language, languages.
-SAMPLE_ROWS, ROWS_PER_LANG, MAX_LANGS = 8000, 800, 200
+#: Bounds of the training sample: rows in all (but one of every language), rows of a language.
+SAMPLE_ROWS, ROWS_PER_LANG = 8000, 800
 
 # Families of ISO 639-1 codes; a code that is not listed is a family of its own.
 FAMILIES = {
@@ -148,24 +148,30 @@ def predict(model: Model, texts: list[bytes]) -> tuple[list[str], np.ndarray]:
 def fit(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang") -> Model:
     """A model from a bounded sample of the rows where ``learn`` holds and ``lang`` is not null.
 
-    The sample is stratified by language: rows are drawn by a hash of their
-    text at the rate that gives ROWS_PER_LANG of a language (fewer when there
-    are many languages), SAMPLE_ROWS in all; the MAX_LANGS most frequent
-    languages are learned. Only histograms reach the driver.
+    The sample is stratified by language: distinct texts are drawn by their
+    hash at the rate that gives ROWS_PER_LANG rows of a language (fewer when
+    there are many languages, one at least), the first by hash of them are
+    taken. So copies of a text count once, no language crowds out another, and
+    the sample does not hang on the order of tasks. Only histograms reach the
+    driver.
     """
     rows = docs.where(learn & F.col(lang).isNotNull() & (F.length(text) > 0))
-    counts = (rows.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n"))
-              .orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect())
+    counts = (rows.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n")).orderBy("lang").collect())
     if not counts:
         return Model([], np.zeros((0, BUCKETS + 1), np.float32), {}, {})
-    each = min(ROWS_PER_LANG, SAMPLE_ROWS // len(counts))
-    rate = F.lit(0.0)
-    for r in counts:
-        rate = F.when(F.col(lang) == r["lang"], F.lit(min(1.0, each / r["n"]))).otherwise(rate)
-    drawn = F.pmod(F.xxhash64(F.col(text)), F.lit(1_000_003)) < rate * 1_000_003
-    picked = rows.where(drawn).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    each = max(1, min(ROWS_PER_LANG, SAMPLE_ROWS // len(counts)))
+    # twice the rate, and all of a language of few rows: enough distinct texts are left to take the first of
+    rates = docs.sparkSession.createDataFrame(
+        [(r["lang"], min(1.0, 2 * each / r["n"]) if r["n"] > 8 * each else 1.0) for r in counts],
+        "of string, rate double")
+    drawn = (rows.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
+             .join(F.broadcast(rates), F.col("lang") == F.col("of"))       # a row a language
+             .where(F.pmod("h", F.lit(1_000_003)) < F.col("rate") * 1_000_003)
+             .groupBy("lang", "h").agg(F.min("text").alias("text")))
+    first = Window.partitionBy("lang").orderBy("h")
+    picked = drawn.withColumn("place", F.row_number().over(first)).where(F.col("place") <= each)
     shown = map_texts(picked, ["lang"], "x binary", lambda: lambda texts: [
-        [r.astype(np.float16).tobytes() for r in features(texts)]]).limit(2 * SAMPLE_ROWS).collect()
+        [r.astype(np.float16).tobytes() for r in features(texts)]]).collect()
     shown.sort(key=lambda r: (r["lang"], r["x"]))
     x = np.array([np.frombuffer(r["x"], np.float16) for r in shown], np.float32).reshape(-1, BUCKETS)
     return train(x, [r["lang"] for r in shown])

@@ -14,7 +14,8 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lapsewise.llm import alignment, decontaminate, prefix_trie
+from lapsewise.llm import alignment, decontaminate, langid, prefix_trie
+from lapsewise.llm.common import has_letter
 
 NOTHING = hashlib.sha256(b"").hexdigest()
 
@@ -278,3 +279,29 @@ def test_trie_ignores_other_columns(spark):
                               "conv_id long, turn long, role string, text string, home string, ids int")
     assert prefix_trie.nodes(prefix_trie.rebuilt(d.withColumn("t", F.lit(1)))).count() in (1, 2)
 
+
+
+# -- language: letters and the sample ----------------------------------------------------------------
+
+def test_numerals_are_no_letters():
+    for t in ("½", "²", "①", "Ⅷ", "٣", "12 + 3", "_", "", "…"):
+        assert not has_letter(t.encode()), t
+    for t in ("ª", "中", "½ x", "Ⅷ²é", "ا"):
+        assert has_letter(t.encode()), t
+
+
+def test_copies_do_not_crowd_out_a_language(spark, monkeypatch):
+    """A text of a great many copies counts once; more languages than rows of the sample are all learnt."""
+    say = {"en": "the house and the garden are old", "de": "das haus und der garten sind alt",
+           "fr": "la maison et le jardin sont vieux"}
+    rows = [(i, "the copy of the copy", "en") for i in range(3000)]
+    rows += [(5000 + 10 * i + j, f"{t} {i}", lang) for i in range(40) for j, (lang, t) in enumerate(say.items())]
+    rows += [(9000 + i, f"{w} {w} {w}", f"x{i}") for i, w in enumerate(("zzyq", "qqrv", "vvkj"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    monkeypatch.setattr(langid, "SAMPLE_ROWS", 5)
+    learnt = langid.fit(docs, F.col("doc_id") >= 0).langs
+    assert {lang for own in learnt.values() for lang in own} == {*say, "x0", "x1", "x2"}
+    monkeypatch.undo()
+    model = langid.fit(docs, F.col("doc_id") >= 0)
+    new = spark.createDataFrame([(lang, t) for lang, t in say.items()], "own string, text string")
+    assert all(r["own"] == r["lang_pred"] for r in langid.identify(new, model, ["own"]).collect())
