@@ -156,14 +156,14 @@ def fit(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang")
     driver.
     """
     rows = docs.where(learn & F.col(lang).isNotNull() & (F.length(text) > 0))
-    counts = (rows.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n")).orderBy("lang").collect())
+    counts = (rows.groupBy(F.col(lang).alias("lang")).agg(F.approx_count_distinct(F.xxhash64(text)).alias("n"))
+              .orderBy("lang").collect())      # distinct texts, to a few per cent
     if not counts:
         return Model([], np.zeros((0, BUCKETS + 1), np.float32), {}, {})
     each = max(1, min(ROWS_PER_LANG, SAMPLE_ROWS // len(counts)))
-    # twice the rate, and all of a language of few rows: enough distinct texts are left to take the first of
+    # twice the rate and some more, so that enough texts are left to take the first of
     rates = docs.sparkSession.createDataFrame(
-        [(r["lang"], min(1.0, 2 * each / r["n"]) if r["n"] > 8 * each else 1.0) for r in counts],
-        "of string, rate double")
+        [(r["lang"], min(1.0, (2 * each + 20) / max(1, r["n"]))) for r in counts], "of string, rate double")
     drawn = (rows.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
              .join(F.broadcast(rates), F.col("lang") == F.col("of"))       # a row a language
              .where(F.pmod("h", F.lit(1_000_003)) < F.col("rate") * 1_000_003)
