@@ -701,5 +701,15 @@ def test_pipeline_of_odd_rows(spark, odd, tmp_path):
     odd.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, 1, 0), (5, 0, 1), (None, 1, None)], "doc_id long, quality int, toxic int").write \
         .parquet(f"{tmp_path}/labels.parquet")
-    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    assert {"doc_id", "sequence_id", "ids"} <= set(rows[0].asDict()) if rows else True
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert {"doc_id", "sequence_id", "ids"} <= set(out.columns)
+    rows = out.collect()
+    # document 1 is clean English; its copies (7) are of its group; null, empty, blank and letterless texts go
+    assert 1 in {r["doc_id"] for r in rows} and not {2, 3, 4, 7, 9} & {r["doc_id"] for r in rows}
+
+
+def test_pipeline_of_empty_tables(spark, none, tmp_path):
+    none.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert {"doc_id", "sequence_id", "ids"} <= set(out.columns) and out.count() == 0
