@@ -371,6 +371,58 @@ def test_no_task_holds_a_whole_long_list(spark, monkeypatch):
     assert held.value == 0
 
 
+@pytest.mark.parametrize("cell", [300, 2000])
+def test_groups_of_cells_in_blocks(spark, monkeypatch, cell):
+    monkeypatch.setattr(jaccard_join, "CELL", cell)
+    rows = copies(3, 120)
+    got = jaccard_join.join_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in got) == brute_groups(rows)
+
+
+def test_rows_written_for_a_group_grow_with_its_members(spark, monkeypatch):
+    """Copies of 200 words with 6 changed in each: few link, and all share lists."""
+    make, made = jaccard_join.written, {}
+
+    def counted(df, name):
+        out = make(df, name)
+        made[name] = made.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(jaccard_join, "written", counted)
+    rng = random.Random(5)
+    base = [f"v{rng.randrange(300)}" for _ in range(200)]
+    rows = [(i, " ".join(edited(rng, base, 6))) for i in range(800)]
+    seen = []
+    for n in (200, 400, 800):
+        made.clear()
+        jaccard_join.join_groups(spark.createDataFrame(rows[:n], "doc_id long, text string")).count()
+        seen.append((made["asking"], made["links"]))
+        assert made["asking"] <= 20 * n and made["links"] < n
+    assert seen[2][0] <= 6 * max(seen[0][0], 200) and seen[2][1] <= 6 * max(seen[0][1], 20)
+
+
+def test_answers_derived_from_the_pivot():
+    rng = np.random.default_rng(7)
+    pool = np.unique(rng.integers(0, 1 << 63, 90, dtype=np.uint64))
+    head = pool[:60]
+    sets = [np.sort(rng.choice(pool, int(rng.integers(30, 80)), replace=False)) for _ in range(40)]
+    rows = [({"role": jaccard_join.ASKED if i < 25 else jaccard_join.ASKING, "s": i, "class": i}, s)
+            for i, s in enumerate(sets)]
+    for percent in (40, 55, 70):
+        links = list(jaccard_join.meet(percent)(-1, head, iter(rows)))
+        want = [(x, y) for x in range(25, 40) for y in range(25)
+                if 100 * len(np.intersect1d(sets[x], sets[y])) >= percent * len(np.union1d(sets[x], sets[y]))]
+        assert set(links) <= set(want) and len(links) < 40
+
+        def groups(pairs):
+            root = list(range(40))
+            for x, y in pairs:
+                root = [root[x] if r == root[y] else r for r in root]
+            return sorted(tuple(i for i in range(40) if root[i] == r) for r in set(root))
+
+        assert groups(links) == groups(want)
+
+
 def test_groups_of_odd_rows_and_none(odd, none):
     rows = jaccard_join.join_groups(odd).collect()
     assert len(rows) == len(ODD)
