@@ -401,6 +401,21 @@ def test_rows_written_for_a_group_grow_with_its_members(spark, monkeypatch):
     assert seen[2][0] <= 6 * max(seen[0][0], 200) and seen[2][1] <= 6 * max(seen[0][1], 20)
 
 
+def test_postings_without_a_partner_are_skipped():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        length = int(rng.integers(2, 9))
+        n = np.sort(rng.integers(5, 15, length))
+        reach = rng.integers(3, 18, length)
+        want = [any(n[j] <= reach[i] and n[i] <= reach[j] for j in range(length) if j != i) for i in range(length)]
+        assert jaccard_join.partnered(n, reach, np.zeros(length, np.int64)).tolist() == want
+    for n in range(1, 60):
+        for at in range(n):
+            m = int(jaccard_join.reachable(n, np.array([at]))[0])
+            assert m < 1 or jaccard_join.needed(np.array([n]), np.array([m]))[0] <= n - at
+            assert jaccard_join.needed(np.array([n]), np.array([max(m, 0) + 1]))[0] > n - at
+
+
 def test_answers_derived_from_the_pivot():
     rng = np.random.default_rng(7)
     pool = np.unique(rng.integers(0, 1 << 63, 90, dtype=np.uint64))
