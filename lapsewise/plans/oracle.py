@@ -155,6 +155,32 @@ SELECT order_id, customer_id, CAST(order_purchase_timestamp AS VARCHAR) AS order
 FROM m_orders WHERE order_purchase_timestamp < (SELECT cutoff FROM cutoff)"""
 
 
+@oracle("observation_window_stored")
+def _():
+    return """
+SELECT order_id, customer_id, CAST(order_purchase_timestamp AS VARCHAR) AS order_purchase_timestamp,
+       CAST((SELECT cutoff FROM cutoff) AS VARCHAR) AS cutoff
+FROM m_orders WHERE order_purchase_timestamp < (SELECT cutoff FROM cutoff)"""
+
+
+WRITTEN_TABLES = {
+    "orders": ("m_orders", ("order_id", "customer_id", "order_status", "order_purchase_timestamp", "order_approved_at",
+                            "order_delivered_carrier_date", "order_delivered_customer_date",
+                            "order_estimated_delivery_date")),
+    "order_items": ("m_items", ("order_id", "order_item_id", "product_id", "price", "freight_value")),
+    "products": ("m_products", ("product_id", "product_category_name")),
+    "category_translation": ("m_translation", ("product_category_name", "product_category_name_english")),
+}
+
+
+@oracle("written_figures")
+def _():
+    parts = [f"SELECT '{name}' AS \"table\", '{c}' AS \"column\", count(*) AS rows, "
+             f"CAST({len(columns)} AS BIGINT) AS cols, count(*) - count({c}) AS null_count FROM {source}"
+             for name, (source, columns) in WRITTEN_TABLES.items() for c in columns]
+    return "\n" + "\nUNION ALL ".join(parts)
+
+
 @oracle("censoring_report")
 def _():
     return """

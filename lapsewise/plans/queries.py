@@ -7,6 +7,7 @@ the DuckDB oracles in ``plans.oracle``.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,7 +29,9 @@ from lapsewise.operators import sampling as SP
 from lapsewise.operators import text as TX
 from lapsewise.operators import themes as TH
 from lapsewise.plans.pipeline import TEST_WINDOW_MONTHS, driver_frame, present
+from lapsewise.session import scratch_path
 from lapsewise.sources.driver import PAYMENT_ORDER, model_tables, read_driver
+from lapsewise.sources import order_store as OS
 from lapsewise.sources.files import source_summary as _source_summary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,6 +63,24 @@ def observation_window(spark, sf):
                            L.observation_cutoff(orders, TEST_WINDOW_MONTHS).alias("cutoff")))
 
 
+@query("observation_window_stored")
+def observation_window_stored(spark, sf):
+    """P-2 from orders stored by month: the cutoff from the write's figures, later months not opened."""
+    path = scratch_path(spark, f"orders-by-month-{uuid.uuid4().hex}")
+    OS.write_orders_by_month(model_tables(spark, sf)["orders"], path)
+    return present(OS.read_window(spark, path, TEST_WINDOW_MONTHS)
+                   .select("order_id", "customer_id", "order_purchase_timestamp",
+                           OS.stored_cutoff(spark, path, TEST_WINDOW_MONTHS).alias("cutoff")))
+
+
+@query("written_figures")
+def written_figures(spark, sf):
+    """S-11 and A-18 of the marketplace tables, gathered while they are written."""
+    tables = model_tables(spark, sf)
+    chosen = {n: tables[n] for n in ("orders", "order_items", "products", "category_translation")}
+    return present(OS.write_tables(chosen, scratch_path(spark, f"tables-{uuid.uuid4().hex}")))
+
+
 @query("censoring_report")
 def censoring_report(spark, sf):
     t = model_tables(spark, sf)
