@@ -1179,3 +1179,5 @@ UNION ALL SELECT * FROM (SELECT *, 'structured' AS kind FROM ranked WHERE featur
 
 
 _fixed_oracles()
+
+ORACLES["order_master_stored"] = ORACLES["order_master_join"]

@@ -28,6 +28,7 @@ from lapsewise.operators import preprocess as PP
 from lapsewise.operators import sampling as SP
 from lapsewise.operators import text as TX
 from lapsewise.operators import themes as TH
+from lapsewise.plans.bucketed import stored_master, write_sides
 from lapsewise.plans.pipeline import TEST_WINDOW_MONTHS, driver_frame, present
 from lapsewise.session import scratch_path
 from lapsewise.sources.driver import PAYMENT_ORDER, model_tables, read_driver
@@ -120,6 +121,15 @@ def order_master_join(spark, sf):
     return present(O.join_tables(t, payment_order=PAYMENT_ORDER))
 
 
+@query("order_master_stored")
+def order_master_stored(spark, sf):
+    """J-13 from sides that are bucketed by order_id: written once, then joined without an exchange."""
+    name = f"orders_{uuid.uuid4().hex}"
+    write_sides(model_tables(spark, sf), name, scratch_path(spark, name),
+                int(spark.conf.get("spark.sql.shuffle.partitions")), PAYMENT_ORDER)
+    return present(stored_master(spark, name))
+
+
 # --- features, imputation, encoding -------------------------------------------------
 
 
