@@ -17,10 +17,11 @@ from __future__ import annotations
 import base64
 import gc
 import hashlib
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import regex
+import tiktoken
 from pyspark.sql import DataFrame
 
 from lapsewise.llm.common import map_texts
@@ -44,6 +45,26 @@ def compiled(pattern: str) -> regex.Pattern:
     return regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
 
 
+#: A character for each class that splitting patterns name: letter, number, white space, none of them.
+STAND_INS = {r"\p{L}": "\u00e9", r"\p{N}": "\u00b2", r"\s": "\u00a0", "": "\ufdd0"}
+
+
+def class_changes() -> dict[int, str]:
+    """Code points that the library puts in another class than ``regex`` does (whose Unicode tables are of
+    another version), with a stand-in of the class that the library has for them.
+
+    The library keeps exactly what its pattern matches, so one call per class tells the class of all code points.
+    """
+    every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+    single = {bytes([i]): i for i in range(256)}
+    theirs, ours = dict.fromkeys(every, ""), dict.fromkeys(every, "")
+    for name in filter(None, STAND_INS):
+        kept = tiktoken.Encoding(name, pat_str=name, mergeable_ranks=single, special_tokens={})
+        theirs.update(dict.fromkeys(bytes(kept.encode_ordinary(every)).decode(), name))
+        ours.update(dict.fromkeys(compiled(name).findall(every), name))
+    return {ord(c): STAND_INS[name] for c, name in theirs.items() if ours[c] != name}
+
+
 class Transducer:
     """Encodes the bytes of one match of the pattern.
 
@@ -51,9 +72,11 @@ class Transducer:
     context is the token before the node's first byte, or, near the leaves of
     the trie, only the set of tokens below the node that may not follow it, so
     that contexts which no longer differ share a state. Each transition names
-    the one token that ends an encoding of the bytes read so far; when the
-    match ends, its tokens are read off these from the right. A token is
-    certain as soon as no live thread starts before its end.
+    the one token that ends an encoding of the bytes read so far, so a live
+    thread's past is read off these from the right. A token is certain as soon
+    as the pasts of all live threads have it, or the match ends; ``stream``
+    emits it then, and long matches are encoded that way. Short ones run in
+    step and are read off at their ends.
     """
 
     ROOT, SMALL = 0, 6
@@ -65,6 +88,7 @@ class Transducer:
         self.length = [0] * (max(ranks.values(), default=-1) + 1)
         self.child: dict[int, int] = {}
         self.token: list[int] = [-1]
+        self.depth = [0]                        # bytes read by a thread at a node
         below = [0]
         for word, rank in ranks.items():
             self.length[rank] = len(word)
@@ -75,6 +99,7 @@ class Transducer:
                 if after is None:
                     after = self.child[node << 8 | b] = len(self.token)
                     self.token.append(-1)
+                    self.depth.append(self.depth[node] + 1)
                     below.append(0)
                 node = after
             self.token[node] = rank
@@ -194,29 +219,63 @@ class Transducer:
         ends = np.empty(len(text), np.int32)
         order = np.argsort(-size, kind="stable")
         alone = int(np.searchsorted(-size[order], -IN_STEP, "left"))
-        for i in order[:alone]:
-            self._one(text[base[i]:base[i] + size[i]], ends[base[i]:base[i] + size[i]])
+        apart = {int(i): np.fromiter((v for some in self.stream([words[i]]) for v in some), np.uint32)
+                 for i in order[:alone]}
+        inside = size.copy()
+        inside[order[:alone]] = 0               # nothing to read off: encoded apart
         order = order[alone:]
         if len(order):
             self._in_step(text, ends, base[order], size[order])
-        ids, count = self._read_off(ends, base, size)
+        ids, count = self._read_off(ends, base, inside)
         if self.unreached:
-            whole = [(i, self.unreached[w]) for i, w in enumerate(words) if w in self.unreached]
-            if whole:
-                parts = np.split(ids, np.cumsum(count)[:-1])
-                for i, rank in whole:
-                    parts[i], count[i] = np.array([rank], np.uint32), 1
-                ids = np.concatenate(parts)
+            apart.update((i, np.array([self.unreached[w]], np.uint32))
+                         for i, w in enumerate(words) if w in self.unreached)
+        if apart:
+            parts = np.split(ids, np.cumsum(count)[:-1])
+            for i, own in apart.items():
+                parts[i], count[i] = own, len(own)
+            ids = np.concatenate(parts)
         return ids, count
 
-    def _one(self, word: np.ndarray, ends: np.ndarray) -> None:
-        """A long word byte by byte."""
-        state, out = 0, []
-        for b in word.tolist():
-            after = self.table.item(state, self.column.item(b))
-            state = after if after >= 0 else self.advance(state, b)
-            out.append(self.ends.item(state))
-        ends[:] = out
+    def stream(self, pieces: Iterable[bytes]) -> Iterator[list[int]]:
+        """Ids of one match whose bytes arrive in pieces, each as soon as it is certain.
+
+        Only the bytes behind the last certain token are held. (A match that is itself a token which
+        merging does not give is ``encode``'s matter.)
+        """
+        longest = int(self.lengths.max(initial=1))
+        state, ends, wait = self.state_of(((self.ROOT, -1),)), [], longest
+        for piece in pieces:
+            for b in piece:
+                after = self.table.item(state, self.column.item(b))
+                state = after if after >= 0 else self.advance(state, b)
+                ends.append(self.ends.item(state))
+                if len(ends) >= wait:
+                    threads = self.threads[state]
+                    cut = self._certain(threads, ends)
+                    if cut:
+                        yield self._tokens(ends, cut)
+                        ends = ends[cut:]
+                        state = self.state_of(threads)          # the machine may have started anew
+                    wait = len(ends) + longest
+        if ends:
+            yield self._tokens(ends, len(ends))
+
+    def _certain(self, threads: tuple[tuple[int, int], ...], ends: list[int]) -> int:
+        """The last place up to which the pasts of all live threads have the same tokens."""
+        places = {len(ends) - self.depth[node] for node, _ in threads}
+        while len(places) > 1:
+            last = max(places)
+            places.remove(last)
+            places.add(last - self.length[ends[last - 1]])
+        return places.pop()
+
+    def _tokens(self, ends: list[int], stop: int) -> list[int]:
+        found = []
+        while stop:
+            found.append(ends[stop - 1])
+            stop -= self.length[found[-1]]
+        return found[::-1]
 
     def _in_step(self, text: np.ndarray, ends: np.ndarray, base: np.ndarray, size: np.ndarray) -> None:
         """All words at once, longest first: the tokens that end at each byte."""
@@ -252,13 +311,23 @@ class Transducer:
 
 
 class TextEncoder:
-    """Ids of whole texts: every match of the pattern through the transducer."""
+    """Ids of whole texts: every match of the pattern through the transducer.
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    Code points in ``changes`` are split as their stand-ins are.
+    """
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str, changes: dict[int, str] | None = None):
         self.machine, self.matches = Transducer(ranks), compiled(pattern)
+        self.changes = class_changes() if changes is None else changes
+        self.changed = frozenset(map(chr, self.changes))
+
+    def split(self, text: str) -> list[str]:
+        if text.isascii() or self.changed.isdisjoint(text):
+            return self.matches.findall(text)
+        return [text[m.start():m.end()] for m in self.matches.finditer(text.translate(self.changes))]
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        found = [self.matches.findall(t) for t in texts]
+        found = [self.split(t) for t in texts]
         ids, count = self.machine.encode([m.encode() for some in found for m in some])
         total = np.concatenate([[0], np.cumsum(count)])
         stop = total[np.cumsum([0, *map(len, found)])].tolist()
@@ -336,13 +405,13 @@ class Decoder:
 _CODECS: dict[tuple, tuple[TextEncoder, Decoder, list[bytes]]] = {}
 
 
-def _codec(blob: bytes, pattern: str) -> tuple[TextEncoder, Decoder, list[bytes]]:
+def _codec(blob: bytes, changes: dict[int, str], pattern: str) -> tuple[TextEncoder, Decoder, list[bytes]]:
     """The codec of a rank file, built once in a Python worker."""
     key = (hashlib.sha256(blob).digest(), pattern)
     if key not in _CODECS:
         ranks = parse_ranks(blob)
         decimals = [b"%d" % i for i in range(max(ranks.values(), default=-1) + 1)]
-        _CODECS[key] = TextEncoder(ranks, pattern), Decoder(ranks), decimals
+        _CODECS[key] = TextEncoder(ranks, pattern, changes), Decoder(ranks), decimals
         gc.collect()
         gc.freeze()                             # the tables live as long as the worker
         gc.set_threshold(200_000, 50, 100)
@@ -351,10 +420,10 @@ def _codec(blob: bytes, pattern: str) -> tuple[TextEncoder, Decoder, list[bytes]
 
 def encode(docs: DataFrame, path: str, pattern: str, keep: list[str], text: str = "text") -> DataFrame:
     """The columns ``keep`` plus ``ids`` (array of int) of every whole text; null counts as empty."""
-    blob = docs.sparkSession.sparkContext.broadcast(read_ranks(path))
+    blob = docs.sparkSession.sparkContext.broadcast((read_ranks(path), class_changes()))
 
     def make():
-        encoder = _codec(blob.value, pattern)[0]
+        encoder = _codec(*blob.value, pattern)[0]
         return lambda texts: [[ids.astype(np.int32) for ids in encoder([t.decode() for t in texts])]]
 
     return map_texts(docs, keep, "ids array<int>", make, text)
@@ -363,10 +432,10 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: list[str], text: str
 def round_trip(docs: DataFrame, path: str, pattern: str, keep: list[str], text: str = "text") -> DataFrame:
     """``keep`` plus n_tokens, and the SHA-256 of the ids (decimals joined by commas) and of the bytes
     that the streaming decoder makes of them, for every whole text. One scan, no shuffle."""
-    blob = docs.sparkSession.sparkContext.broadcast(read_ranks(path))
+    blob = docs.sparkSession.sparkContext.broadcast((read_ranks(path), class_changes()))
 
     def make():
-        encoder, decoder, decimals = _codec(blob.value, pattern)
+        encoder, decoder, decimals = _codec(*blob.value, pattern)
 
         def of(texts: list[bytes]) -> list:
             counts, id_digests, text_digests = [], [], []

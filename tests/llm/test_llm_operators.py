@@ -106,6 +106,38 @@ def test_decoder_takes_ids_in_pieces_and_replaces_bad_bytes(codec):
         assert got == raw.decode("utf-8", "replace")
 
 
+@pytest.mark.parametrize("template", ["{}'s", "a{}1 {}{} ", "1{}b\n{}  {}", "'{}ll {}'"])
+def test_every_code_point_is_split_as_the_library_does(codec, template):
+    encoder, _, own = codec
+    some = [chr(c) for c in (*range(0xD800), *range(0xE000, 0x34000), *range(0xE0000, 0xE0200))]
+    for at in range(0, len(some), 4096):
+        texts = [template.replace("{}", c) for c in some[at:at + 4096]]
+        assert [ids.tolist() for ids in encoder(texts)] == own.encode_ordinary_batch(texts)
+
+
+def test_long_matches_emit_tokens_as_soon_as_they_are_certain(codec):
+    encoder, _, own = codec
+    machine, rng = encoder.machine, random.Random(8)
+    longest = int(machine.lengths.max())
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(20_000)), "a" * 9_000, "antidis" * 3_000,
+             "".join(rng.choice("\u4e2d\u6587\u5b57\u00e9a") for _ in range(5_000)), "=" * 7_001, ""]
+    for word in words:
+        raw, said, held = word.encode(), [], 0
+
+        def fed():
+            nonlocal held
+            for i in range(len(raw)):
+                held = max(held, i - done)
+                yield raw[i:i + 1]
+
+        done = 0
+        for some in machine.stream(fed()):
+            said += some
+            done += sum(machine.length[v] for v in some)
+        assert said == own.encode_ordinary(word)
+        assert held <= 3 * longest
+
+
 def test_round_trip_of_odd_rows(codec, odd, none):
     own = codec[2]
     rows = byte_bpe.round_trip(odd, MULTI, P.PATTERN, ["doc_id", "table"]).collect()
