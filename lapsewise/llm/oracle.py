@@ -4,15 +4,18 @@ ORACLES = {}
 
 ORACLES["op9_url_filter"] = r"""
 WITH rest AS (
-  SELECT page_id, url,
+  SELECT page_id, url, html,
          CASE WHEN url LIKE '%://%' THEN substr(url, instr(url, '://') + 3) ELSE '' END AS r
   FROM pages),
 parts AS (
-  SELECT page_id,
+  SELECT page_id, html,
          translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
                    'abcdefghijklmnopqrstuvwxyz') AS host,
          regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path
   FROM rest),
+listed AS (
+  SELECT DISTINCT host, path FROM parts
+  WHERE host <> '' AND regexp_matches(html, '[A-Z]{2,}!! [A-Z]{2,}!!')),
 fits AS (
   SELECT *, '.' || host AS dotted FROM parts),
 ruled AS (
@@ -27,6 +30,7 @@ SELECT page_id, host, path, rule,
        CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
             WHEN (dotted LIKE '%.cheap-pills.example.com' OR dotted LIKE '%.spam-farm.example.org')
                  AND starts_with(path, '/') THEN 'block'
+            WHEN (host, path) IN (SELECT (host, path) FROM listed) THEN 'block'
             ELSE 'allow' END AS verdict
 FROM ruled
 """

@@ -13,10 +13,12 @@ from lapsewise.llm import (alignment, byte_bpe, decontaminate, fingerprints, jac
 from lapsewise.llm.common import fold, table
 from lapsewise.session import scratch_path
 
-# Fixed values of the URL query: the five rules, and the listed canonical addresses.
+# Fixed values of the URL query: the five rules, and two listed hosts.
 URL_RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
              ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 URL_LISTED = ("cheap-pills.example.com/", "spam-farm.example.org/")
+#: Two words in capitals with exclamation marks: the address of such a page is listed.
+SHOUTING = "[A-Z]{2,}!! [A-Z]{2,}!!"
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +75,11 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
         [(h, p, v, 1) for h, p, v in URL_RULES]
         + [(x[: x.index("/")], x[x.index("/"):], "block", 0) for x in URL_LISTED],
         "host string, prefix string, verdict string, rank int")
-    out = url_filter.judge(table(spark, sf_dir, "pages", "page_id", "url"), listed)
+    host, path = url_filter.split_url(F.col("url"))
+    addresses = (table(spark, sf_dir, "pages", "url", "html").where(F.col("html").rlike(SHOUTING))
+                 .select(host.alias("host"), path.alias("path"), F.lit("block").alias("verdict"),
+                         F.lit(0).alias("rank")))
+    out = url_filter.judge(table(spark, sf_dir, "pages", "page_id", "url"), listed, addresses)
     return out.select("page_id", "host", "path", F.when(F.col("rank") == 1, F.col("entry")).alias("rule"),
                       "verdict")
 

@@ -729,7 +729,9 @@ def test_url_judgements(spark):
                                     ("com", "/de/", "block", 1), ("c.net", "/a", "block", 0),
                                     ("c.net", "/a", "block", 0), (None, "/", "block", 1)],
                                    "host string, prefix string, verdict string, rank int")
-    got = url_filter.judge(pages.withColumnRenamed("host", "h"), listed).collect()
+    out = url_filter.judge(pages, listed)
+    assert out.columns == ["page_id", "url", "host", "path", "entry", "rank", "verdict"]
+    got = out.where("host is not null").collect()
     said = {r["page_id"]: (r["host"], r["path"][:9], r["entry"], r["verdict"]) for r in got}
     assert len(got) == 12
     assert said[1] == ("a.example.org", "/en/12", "example.org/en/1", "block")
@@ -745,13 +747,32 @@ def test_url_judgements(spark):
     assert url_filter.judge(pages.select("page_id", "url").limit(0), listed).count() == 0
 
 
+def test_listed_addresses_fit_only_themselves(spark):
+    pages = spark.createDataFrame(
+        [(1, "http://A.org/x?q"), (2, "https://a.org/x#y"), (3, "http://b.a.org/x"), (4, "http://a.org/xy"),
+         (5, "http://a.org"), (6, "http://c.org"), (7, "http://?a.org/x"), (8, None), (9, "http://d.org/z")],
+        "page_id long, url string")
+    listed = spark.createDataFrame([("d.org", "/z", "allow", 0), ("", "/x", "block", 5)],
+                                   "host string, prefix string, verdict string, rank int")
+    addresses = spark.createDataFrame(
+        [("a.org", "/x", "block", 0), ("a.org", "/x", "block", 0), ("c.org", "", "block", 0), ("d.org", "/z", "block", 0),
+         (None, "/x", "block", 9), ("a.org", None, "block", 9), ("?a.org", "/x", "block", 9), ("", "", "block", 9)],
+        "host string, path string, verdict string, rank int")
+    for blocks in (0, 1 << 20):                     # the filter joined by block, and broadcast
+        got = {r["page_id"]: (r["verdict"], r["entry"])
+               for r in url_filter.judge(pages, listed, addresses, broadcast_blocks=blocks).collect()}
+        assert got == {1: ("block", "a.org/x"), 2: ("block", "a.org/x"), 3: ("allow", None), 4: ("allow", None),
+                       5: ("allow", None), 6: ("block", "c.org"), 7: ("allow", None), 8: ("allow", None),
+                       9: ("block", "d.org/z")}
+
+
 def test_bloom_filter_has_no_false_negatives(spark):
     keys = spark.range(3000).select(F.concat(F.lit("h"), F.col("id")).alias("key"))
-    words = url_filter.blocked_bloom(keys, "key").collect()[0]["words"]
+    words = {r["block"]: r["word"] for r in url_filter.blocked_bloom(keys, "key", 750).collect()}
     df = spark.range(9000).select("id", F.concat(F.lit("h"), F.col("id")).alias("key"))
-    hit = df.select("id", url_filter.block_of(F.col("key"), F.lit(len(words))).alias("b"),
+    hit = df.select("id", url_filter.block_of(F.col("key"), F.lit(750)).alias("b"),
                     url_filter.mask_of(F.col("key")).alias("m")).collect()
-    passed = [r["id"] for r in hit if words[r["b"]] & r["m"] == r["m"]]
+    passed = [r["id"] for r in hit if words.get(r["b"], 0) & r["m"] == r["m"]]
     assert set(range(3000)) <= set(passed) and len(passed) < 3000 + 0.1 * 6000
 
 
