@@ -86,7 +86,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.apply_rules(table(spark, sf_dir, "documents", "doc_id", "text"))
-    return out.drop("rejected_by")
+    return out.drop("rejected_by", "rules_tried")
 
 
 def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

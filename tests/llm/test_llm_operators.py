@@ -790,17 +790,46 @@ def test_quality_of_odd_rows(odd, none):
 
 
 def test_cascade_verdict_does_not_depend_on_the_order(smoke):
-    texts = [r["text"].encode() for r in smoke]
+    texts = [r["text"].encode() for r in smoke] + [b"", b"a b a b a b", b"# " * 90, "\u00e9 ".encode() * 60]
     names = [r.name for r in quality.RULES]
-    kept = quality.cascade(texts, names) == ""
+    each = {r.name: r.rejects(quality.Texts(texts)) for r in quality.RULES}
     rng = random.Random(1)
-    for _ in range(4):
+    for made in ((), quality.COUNTS) * 3:
         rng.shuffle(names)
-        assert ((quality.cascade(texts, names) == "") == kept).all()
+        view = quality.Texts(texts)
+        for name in made:
+            getattr(view, name)
+        said, tried = quality.cascade(view, names)
+        first = [next((i for i, n in enumerate(names) if each[n][k]), None) for k in range(len(texts))]
+        assert said.tolist() == ["" if i is None else names[i] for i in first]
+        assert tried.tolist() == [len(names) if i is None else i + 1 for i in first]
+        assert tried.sum() < len(names) * len(texts)
     assert sorted(quality.measured_order(texts)) == sorted(names)
     assert quality.measured_order([]) == [r.name for r in quality.RULES]
 
 
+def test_cascade_counts_only_what_a_rule_asks_for(smoke):
+    texts = [r["text"].encode() for r in smoke] + [b"few words"] * 30
+    asked = []
+
+    def slow(t):
+        asked.append(len(t.texts))
+        return t.n_dup_lines > 1
+
+    rules = (quality.RULES[0], quality.Rule("slow", slow))
+    view = quality.Texts(texts)
+    quality.cascade(view, ["few_words", "slow"], rules)
+    assert "n_repeat_words" not in view._kept and "line_counts" not in view._kept
+    assert asked == [sum(len(t.split()) >= 50 for t in texts)]
+
+
+def test_quality_without_counts_gives_the_same_verdicts(odd):
+    whole = {(r["doc_id"], r["kept"]) for r in quality.apply_rules(odd).collect()}
+    bare = quality.apply_rules(odd, counts=False)
+    assert bare.columns == ["doc_id", "kept", "rejected_by", "rules_tried"]
+    assert {(r["doc_id"], r["kept"]) for r in bare.collect()} == whole
+
+
 # -- pipeline -------------------------------------------------------------------------------------
 
 def test_pipeline_stages(spark):
