@@ -1,13 +1,18 @@
 """Document fingerprints: invertible Bloom lookup sketches of hashed paragraphs.
 
-A text's paragraphs (cut at line breaks and sentence ends) are hashed; a
-sketch is a table of cells that hold a count, the XOR of the digests and the
+A text's units (paragraphs cut at line breaks and sentence ends, the first
+ones and long ones again at words whose ends the content decides) are hashed;
+a sketch is a table of cells that hold a count, the XOR of the digests and the
 XOR of their checks, each digest being in one cell of each of three parts.
 The sketches of two versions subtract cell by cell; what both have cancels,
 and peeling cells that hold one digest recovers the digests in which they
-differ. Digests are dealt to small tables by their hash, so every table stays
-small however long the text; a table that does not peel is made again with
-more cells. DataFrame functions only.
+differ. A sketch that does not peel is made again with more cells.
+
+A fingerprint is the number of a text's digests and one such sketch of the
+least of them; the likeness of two texts comes from two fingerprints alone.
+It says how many digests two versions differ in, and so how many small tables
+all their digests are dealt to for the recovery of every difference; each
+stays small however long the text. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -19,13 +24,18 @@ from pyspark.sql import functions as F
 
 from lapsewise.llm.common import written
 
-#: Digests of the first version in a table, on average, and cells of a part on each try.
+#: Expected differences in a dealt table, and cells of a part on each try.
 PER_TABLE, CELLS = 3, (4, 12, 48)
-#: Cells of a part in the printed fingerprint.
-PRINTED_CELLS = 4
+#: Digests in a fingerprint's sketch (the least ones), and cells of a part in it and in the next try.
+KEPT, PRINTED_CELLS = 16, (16, 48)
 #: Rounds of peeling before a larger table is tried.
 ROUNDS = 6
+#: Paragraphs end at line breaks and sentence ends.
 PARAGRAPH = r"\n|(?<=[.!?])[ \t]+"
+#: The first FINE_FIRST paragraphs, and those of more than FINE_FROM characters, are cut after words that end so;
+#: units of more than WORD_MOST characters are cut into pieces of PIECE.
+FINE, FINE_FIRST, FINE_FROM, WORD_MOST, PIECE = r"(?<=[a-g0-9,;:])[ \t]+", 2, 200, 24, 16
+TOP = (1 << 63) - 1
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -34,13 +44,22 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def digests(text: Column) -> Column:
-    """The distinct hashes of a text's paragraphs; blank ones do not count."""
-    parts = F.filter(F.split(text, PARAGRAPH), lambda p: F.trim(p) != "")
-    return F.array_distinct(F.transform(parts, lambda p: F.xxhash64(p)))
+    """The distinct hashes of a text's units; blank ones do not count, repeated ones once."""
+    def filled(parts: Column) -> Column:
+        return F.filter(parts, lambda p: F.trim(p) != "")
+
+    def fine(p: Column) -> Column:
+        return F.flatten(F.transform(F.split(p, FINE), lambda u: F.when(
+            F.length(u) <= WORD_MOST, F.array(u)).otherwise(
+                F.regexp_extract_all(u, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)))))
+
+    units = F.flatten(F.transform(filled(F.split(text, PARAGRAPH)), lambda p, i: F.when(
+        (i < FINE_FIRST) | (F.length(p) > FINE_FROM), filled(fine(p))).otherwise(F.array(p))))
+    return F.array_distinct(F.transform(units, lambda u: F.xxhash64(u)))
 
 
 def _check(d: Column) -> Column:
-    return F.xxhash64(d, F.lit("check"))
+    return F.xxhash64(d, F.lit("check")).bitwiseAND(F.lit(0xFFFFFFFF))
 
 
 def _placed(d: Column, check: Column, cells: int, **more: Column) -> Column:
@@ -76,48 +95,103 @@ def subtract(a: Column, b: Column) -> Column:
 
 
 def peel(table: Column, cells: int) -> Column:
-    """struct(ok, plus, minus): whether the table of a difference peels to nothing, and how many
-    digests only the first and only the second version has."""
+    """struct(ok, plus, minus): whether the table of a difference peels to nothing, and the
+    digests found that only the first and only the second version has."""
     def remove(x: Column, i: Column, found: Column) -> Column:
         own = F.filter(found, lambda p: (p["p0"] == i) | (p["p1"] == i) | (p["p2"] == i))
         return F.aggregate(own, x, lambda s, p: _cell(
             s["c"] - p["c"], s["k"].bitwiseXOR(p["d"]), s["h"].bitwiseXOR(p["h"])))
 
+    def with_sign(found: Column, sign: int) -> Column:
+        return F.transform(F.filter(found, lambda p: p["c"] == sign), lambda p: p["d"])
+
     def step(state: Column) -> Column:
         pure = F.filter(state["cells"], lambda x: (F.abs(x["c"]) == 1) & (x["h"] == _check(x["k"])))
         keys = F.transform(F.array_distinct(pure), lambda x: _placed(x["k"], x["h"], cells, c=x["c"]))
         return let(keys, lambda found: F.when(F.size(found) == 0, state).otherwise(F.struct(
             F.transform(state["cells"], lambda x, i: remove(x, i, found)).alias("cells"),
-            (state["plus"] + F.size(F.filter(found, lambda p: p["c"] == 1))).alias("plus"),
-            (state["minus"] + F.size(F.filter(found, lambda p: p["c"] == -1))).alias("minus"))))
+            F.concat(state["plus"], with_sign(found, 1)).alias("plus"),
+            F.concat(state["minus"], with_sign(found, -1)).alias("minus"))))
 
-    start = F.struct(table.alias("cells"), F.lit(0).alias("plus"), F.lit(0).alias("minus"))
+    none = F.lit([]).cast("array<long>")
+    start = F.struct(table.alias("cells"), none.alias("plus"), none.alias("minus"))
     end = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, lambda state, _: step(state))
     return let(end, lambda s: F.struct(
         (~F.exists(s["cells"], lambda x: (x["c"] != 0) | (x["k"] != 0) | (x["h"] != 0))).alias("ok"),
         s["plus"].alias("plus"), s["minus"].alias("minus")))
 
 
-def differences(a: Column, others: dict[str, Column]) -> Column:
-    """For each of ``others``, struct(ok, plus, minus) against ``a`` from the sketches, larger ones
+def differences(a: Column, b: Column, sizes: tuple[int, ...] = CELLS) -> Column:
+    """struct(ok, plus, minus) of two arrays of distinct digests from their sketches, larger ones
     where one fails; should the largest fail too, the arrays themselves are compared."""
-    def attempt(b: Column, sizes: tuple[int, ...], own: Column | None = None) -> Column:
-        if not sizes:
-            return F.struct(F.lit(True).alias("ok"), F.size(F.array_except(a, b)).alias("plus"),
-                            F.size(F.array_except(b, a)).alias("minus"))
-        own = sketch(a, sizes[0]) if own is None else own
-        tried = peel(subtract(own, sketch(b, sizes[0])), sizes[0])
-        return let(tried, lambda r: F.when(r["ok"], r).otherwise(attempt(b, sizes[1:])))
+    if not sizes:
+        return F.struct(F.lit(True).alias("ok"), F.array_except(a, b).alias("plus"),
+                        F.array_except(b, a).alias("minus"))
+    tried = peel(subtract(sketch(a, sizes[0]), sketch(b, sizes[0])), sizes[0])
+    return let(tried, lambda r: F.when(r["ok"], r).otherwise(differences(a, b, sizes[1:])))
+
+
+# -- fingerprints ----------------------------------------------------------------------------------
+
+def sampled(keys: Column) -> Column:
+    """struct(n, top, keys): the number of digests, the least KEPT of them, and the greatest of
+    these (TOP if they are all)."""
+    return let(F.slice(F.sort_array(keys), 1, KEPT), lambda some: F.struct(
+        F.size(keys).alias("n"),
+        F.when(F.size(keys) > KEPT, F.get(some, F.lit(KEPT - 1))).otherwise(F.lit(TOP)).alias("top"),
+        some.alias("keys")))
+
+
+def fingerprint(some: Column, cells: int = PRINTED_CELLS[0]) -> Column:
+    """struct(n, top, cells) of what ``sampled`` gives."""
+    return F.struct(some["n"].alias("n"), some["top"].alias("top"), sketch(some["keys"], cells).alias("cells"))
+
+
+def printed(print_: Column) -> Column:
+    """A fingerprint as text: n, top, and each cell's count, digests and checks in hexadecimal
+    (an empty cell as nothing), joined by colons."""
+    cells = F.transform(print_["cells"], lambda x: F.when(x["c"] == 0, F.lit("")).otherwise(F.concat_ws(
+        ".", x["c"].cast("string"), F.hex(x["k"]), F.hex(x["h"]))))
+    return F.concat_ws(":", print_["n"].cast("string"), F.hex(print_["top"]), F.array_join(cells, ":"))
 
-    return let(sketch(a, CELLS[0]), lambda own: F.struct(
-        *[attempt(b, CELLS, own).alias(name) for name, b in others.items()]))
 
+def parsed(text: Column) -> Column:
+    """The fingerprint that ``printed`` wrote."""
+    def number(x: Column) -> Column:
+        return F.conv(x, 16, -10).cast("long")
 
-def printed(keys: Column) -> Column:
-    """A fingerprint: the digests' number and the cells of their fixed-size sketch, in hexadecimal."""
-    cells = F.transform(sketch(keys, PRINTED_CELLS), lambda x: F.concat(
-        F.hex(x["c"].cast("long")), F.lit("."), F.hex(x["k"])))
-    return F.concat_ws(":", F.size(keys).cast("string"), F.concat_ws(":", cells))
+    def cell(x: Column) -> Column:
+        return let(F.split(x, r"\."), lambda p: F.when(x == "", _cell(
+            F.lit(0), F.lit(0).cast("long"), F.lit(0).cast("long"))).otherwise(
+                _cell(F.get(p, F.lit(0)), number(F.get(p, F.lit(1))), number(F.get(p, F.lit(2))))))
+
+    return let(F.split(text, ":"), lambda parts: F.struct(
+        F.get(parts, F.lit(0)).cast("int").alias("n"), number(F.get(parts, F.lit(1))).alias("top"),
+        F.transform(F.slice(parts, F.lit(3), F.size(parts)), cell).alias("cells")))
+
+
+def _share(a: Column, b: Column, found: Column) -> Column:
+    """Likeness from the differences of two samples: shared digests over all digests up to the lower top."""
+    least = F.least(a["top"], b["top"])
+    shared = F.least(a["n"], F.lit(KEPT)) - F.size(found["plus"])
+    every = shared + F.size(F.filter(F.concat(found["plus"], found["minus"]), lambda d: d <= least))
+    return F.when(every == 0, F.lit(1.0)).otherwise(shared / every)
+
+
+def likeness(a: Column, b: Column, cells: int = PRINTED_CELLS[0]) -> Column:
+    """Likeness (0 to 1) of two fingerprints; null where their difference does not peel.
+
+    Of two texts with at most KEPT digests it is the share of their digests that both have (1 for
+    two without any), of others its estimate from the least digests of both.
+    """
+    return let(peel(subtract(a["cells"], b["cells"]), cells),
+               lambda found: F.when(found["ok"], _share(a, b, found)))
+
+
+def likeness_of_sampled(a: Column, b: Column, own: Column, other: Column) -> Column:
+    """``likeness`` of the fingerprints ``own`` and ``other``; larger ones where they do not peel."""
+    return F.coalesce(likeness(own, other), let(
+        differences(a["keys"], b["keys"], PRINTED_CELLS[1:]), lambda found: _share(a, b, found)))
 
 
 def followers(docs: DataFrame) -> DataFrame:
@@ -145,10 +219,12 @@ def compare_edited(docs: DataFrame, text: str = "text") -> DataFrame:
 
     The edited text has the last third of the code points (rounded down)
     replaced by as many first ones of the next document (descending doc_id;
-    after the last the first). Likeness of two texts: shared digests over all
-    digests, from the peeled difference (1 for two texts without paragraphs).
+    after the last the first). near_edited and near_next are the likeness of
+    the printed fingerprints, or of larger ones where those do not peel.
+    n_units: digests of the text; n_removed, n_added: how many only the text
+    and only the edited text has, recovered from tables of all digests.
     Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
-    near_edited, near_next, one row for each row. Null text is empty; of
+    near_edited, near_next and these, one row for each row. Null text is empty; of
     repeated rows one takes part in the order; a null doc_id comes last.
     The texts are shuffled once, and once more the part that others need.
     """
@@ -164,12 +240,19 @@ def compare_edited(docs: DataFrame, text: str = "text") -> DataFrame:
     given = (keyed.where("abs(copy) = 1 and n >= 0 and (doc_id is not null or k < 0)").join(links, ["k", "h"])
              .select(F.col("before.k").alias("k"), F.col("before.h").alias("h"),
                      F.substring(F.col("text"), F.lit(1), F.floor(F.col("before.n") / 3).cast("int"))
-                     .alias("head"), digests(F.col("text")).alias("x")))
+                     .alias("head"), sampled(digests(F.col("text"))).alias("x")))
     both = (keyed.join(given, ["k", "h"])
             .withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), F.col("n") - F.floor(
                 F.col("n") / 3).cast("int")), F.col("head")))
-            .withColumns({"a": digests(F.col("text")), "e": digests(F.col("edited"))}))
-    tables = F.greatest(F.lit(1), F.ceil(F.size("a") / PER_TABLE)).cast("long")
+            .withColumns({"a": digests(F.col("text")), "e": digests(F.col("edited"))})
+            .withColumns({"a_some": sampled(F.col("a")), "e_some": sampled(F.col("e"))})
+            .withColumns({f"{v}_print": fingerprint(F.col(some))
+                          for v, some in (("a", "a_some"), ("e", "e_some"), ("x", "x"))})
+            .withColumns({f"near_{v}": likeness_of_sampled(
+                F.col("a_some"), F.col(some), F.col("a_print"), F.col(f"{v}_print"))
+                for v, some in (("e", "e_some"), ("x", "x"))}))
+    differ = (1 - F.col("near_e")) / (1 + F.col("near_e")) * (F.size("a") + F.size("e"))
+    tables = F.greatest(F.lit(1), F.ceil(differ / PER_TABLE)).cast("long")
 
     def dealt(side: int, name: str) -> Column:
         return F.transform(F.col(name), lambda d: F.struct(
@@ -177,32 +260,29 @@ def compare_edited(docs: DataFrame, text: str = "text") -> DataFrame:
             d.alias("d"), F.lit(None).cast(ABOUT).alias("about")))
 
     about = F.struct("n", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-                     printed(F.col("a")).alias("fingerprint"), printed(F.col("e")).alias("edited_fingerprint"),
-                     F.size("a").alias("size"))
+                     printed(F.col("a_print")).alias("fingerprint"),
+                     printed(F.col("e_print")).alias("edited_fingerprint"),
+                     "near_e", "near_x", F.size("a").alias("size"))
     first = F.array(F.struct(F.lit(0).cast("long").alias("table"), F.lit(-1).alias("side"),
                              F.lit(None).cast("long").alias("d"), about.cast(ABOUT).alias("about")))
     rows = both.select("doc_id", "k", "h", "copy", F.explode(F.concat(
-        first, dealt(0, "a"), dealt(1, "e"), dealt(2, "x"))).alias("r"))
+        first, dealt(0, "a"), dealt(1, "e"))).alias("r"))
 
     def of(side: int) -> Column:
         return F.collect_list(F.when(F.col("r.side") == side, F.col("r.d")))
 
     small = rows.groupBy("k", "h", "copy", "r.table").agg(
-        of(0).alias("a"), of(1).alias("e"), of(2).alias("x"), F.max("r.about").alias("about"),
-        F.max("doc_id").alias("doc_id"))
-    found = small.select("k", "h", "copy", "doc_id", "about", differences(
-        F.col("a"), {"edit": F.col("e"), "next": F.col("x")}).alias("by"))
+        of(0).alias("a"), of(1).alias("e"), F.max("r.about").alias("about"), F.max("doc_id").alias("doc_id"))
+    found = small.select("k", "h", "copy", "doc_id", "about", differences(F.col("a"), F.col("e")).alias("by"))
     total = found.groupBy("k", "h", "copy").agg(
         F.max("doc_id").alias("doc_id"), F.max("about").alias("about"),
-        *[F.sum(f"by.{v}.{s}").alias(f"{v}_{s}") for v in ("edit", "next") for s in ("plus", "minus")])
-
-    def near(v: str) -> Column:
-        union = F.col("about.size") + F.col(f"{v}_minus")
-        return F.when(union == 0, F.lit(1.0)).otherwise((F.col("about.size") - F.col(f"{v}_plus")) / union)
-
+        *[F.sum(F.size(f"by.{side}")).alias(side) for side in ("plus", "minus")])
     return total.select("doc_id", F.col("about.n").cast("long").alias("n_chars"), "about.edited_sha256",
                         "about.fingerprint", "about.edited_fingerprint",
-                        near("edit").alias("near_edited"), near("next").alias("near_next"))
+                        F.col("about.near_e").alias("near_edited"), F.col("about.near_x").alias("near_next"),
+                        F.col("about.size").cast("long").alias("n_units"),
+                        F.col("plus").alias("n_removed"), F.col("minus").alias("n_added"))
 
 
-ABOUT = "struct<n:int,edited_sha256:string,fingerprint:string,edited_fingerprint:string,size:int>"
+ABOUT = ("struct<n:int,edited_sha256:string,fingerprint:string,edited_fingerprint:string,"
+         "near_e:double,near_x:double,size:int>")

@@ -8,6 +8,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -668,47 +669,107 @@ def test_sketch_differences_are_exact(spark):
         b = [rng.getrandbits(63) for _ in range(rng.choice([0, 1, 3, 8, 40]))]
         rows.append((i, both + a, both + b, len(a), len(b)))
     df = spark.createDataFrame(rows, "i int, a array<long>, b array<long>, plus int, minus int")
-    got = df.select("plus", "minus", fingerprints.differences(F.col("a"), {"b": F.col("b")})["b"].alias("d")).collect()
-    assert all((r["d"]["plus"], r["d"]["minus"]) == (r["plus"], r["minus"]) for r in got)
+    got = df.select("plus", "minus", "a", "b", fingerprints.differences(F.col("a"), F.col("b")).alias("d")).collect()
+    assert all((len(r["d"]["plus"]), len(r["d"]["minus"])) == (r["plus"], r["minus"]) for r in got)
+    assert all((set(r["d"]["plus"]), set(r["d"]["minus"])) == (set(r["a"]) - set(r["b"]), set(r["b"]) - set(r["a"]))
+               for r in got)
     small = fingerprints.CELLS[0]
     fits = df.where("plus + minus between 1 and 3").select("plus", "minus", fingerprints.peel(
         fingerprints.subtract(fingerprints.sketch(F.col("a"), small), fingerprints.sketch(F.col("b"), small)),
         small).alias("d")).collect()
     assert fits and sum(r["d"]["ok"] for r in fits) >= 0.8 * len(fits)
-    assert all((r["d"]["plus"], r["d"]["minus"]) == (r["plus"], r["minus"]) for r in fits if r["d"]["ok"])
+    assert all((len(r["d"]["plus"]), len(r["d"]["minus"])) == (r["plus"], r["minus"]) for r in fits if r["d"]["ok"])
+
+
+def brute_units(text):
+    """Units, cut character by character."""
+    def cut(t, ends):
+        out, at, i = [], 0, 0
+        while i < len(t):
+            if t[i] in " \t" and i and ends(t[i - 1]):
+                stop = i
+                while i < len(t) and t[i] in " \t":
+                    i += 1
+                out.append(t[at:stop])
+                at = i
+            else:
+                i += 1
+        return [*out, t[at:]]
+
+    parts = [p for line in text.split("\n") for p in cut(line, lambda c: c in ".!?") if p.strip(" ")]
+    units = []
+    for i, p in enumerate(parts):
+        if i < 2 or len(p) > 200:
+            for u in cut(p, lambda c: c in "abcdefg0123456789,;:"):
+                units += [u] if len(u) <= 24 else [u[j:j + 16] for j in range(0, len(u), 16)]
+        else:
+            units.append(p)
+    return {u for u in units if u.strip(" ")}
+
+
+def brute_digests(text):
+    values = (xxhash.xxh64(u.encode(), seed=42).intdigest() for u in brute_units(text))
+    return {v - (1 << 64) if v >> 63 else v for v in values}
+
+
+def brute_likeness(a, b):
+    few_a, few_b = sorted(a)[:16], sorted(b)[:16]
+    top = min([few[-1] for few, every in ((few_a, a), (few_b, b)) if len(every) > 16], default=1 << 63)
+    every = {d for d in (*few_a, *few_b) if d <= top}
+    return len(set(few_a) & set(few_b)) / len(every) if every else 1.0
 
 
 def brute_edited(rows):
-    import re
     rows = [(k, t or "") for k, t in rows]
     order = sorted(dict.fromkeys(rows), key=lambda r: -r[0])
-    pieces = lambda t: {p for p in re.split(fingerprints.PARAGRAPH, t) if p.strip(" ")}
-    near = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
     out = []
     for k, t in rows:
         after = order[(order.index((k, t)) + 1) % len(order)][1]
         cut = len(t) // 3
         new = t[: len(t) - cut] + after[:cut]
-        out.append((k, len(t), hashlib.sha256(new.encode()).hexdigest(),
-                    round(near(pieces(t), pieces(new)), 9), round(near(pieces(t), pieces(after)), 9)))
+        a, e, x = map(brute_digests, (t, new, after))
+        out.append((k, len(t), hashlib.sha256(new.encode()).hexdigest(), round(brute_likeness(a, e), 9),
+                    round(brute_likeness(a, x), 9), len(a), len(a - e), len(e - a)))
     return sorted(out)
 
 
 def test_fingerprints_match_brute_force(spark, none):
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefghijklmno\u00e9") for _ in range(rng.randint(1, 9))) for _ in range(500)]
     rows = [(r[0], r[1]) for r in ODD if r[0] is not None]
     rows += [(r["doc_id"] + 100, r["text"]) for r in spark.read.parquet(
         f"{SMOKE}/documents.parquet").where("doc_id < 40").collect()]
+    rows += [(90, "one two"), (91, " ".join(rng.choice(words) for _ in range(3000))), (92, "x" * 5000),
+             (93, "\U0001f600" * 70), (94, "a. b! c?\td\n\n \n\te"), (95, "")]
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, head string").repartition(3)
     got = fingerprints.compare_edited(docs).collect()
     assert sorted((r["doc_id"], r["n_chars"], r["edited_sha256"], round(r["near_edited"], 9),
-                   round(r["near_next"], 9)) for r in got) == brute_edited(rows)
+                   round(r["near_next"], 9), r["n_units"], r["n_removed"], r["n_added"])
+                  for r in got) == brute_edited(rows)
     texts = dict(rows)
     prints = {}
     for r in got:
         assert prints.setdefault(texts[r["doc_id"]] or "", r["fingerprint"]) == r["fingerprint"]
+        if r["n_chars"] >= 60 and (texts[r["doc_id"]])[:40].strip() and r["n_units"] > 2:
+            assert r["near_edited"] > 0         # (a unit repeated throughout counts once)
     assert fingerprints.compare_edited(none).count() == 0
 
 
+def test_likeness_comes_from_the_printed_fingerprints_alone(spark):
+    docs = spark.read.parquet(f"{SMOKE}/documents.parquet").select("doc_id", "text")
+    got = fingerprints.compare_edited(docs).cache()
+    two = got.select("near_edited", fingerprints.likeness(
+        fingerprints.parsed(F.col("fingerprint")), fingerprints.parsed(F.col("edited_fingerprint"))).alias("again"))
+    rows = two.collect()
+    assert len(rows) == docs.count()
+    assert all(r["again"] in (None, r["near_edited"]) for r in rows)
+    assert sum(r["again"] is not None for r in rows) > 0.9 * len(rows)
+    same = got.select(fingerprints.printed(fingerprints.parsed(F.col("fingerprint"))).alias("a"), "fingerprint")
+    assert all(r["a"] == r["fingerprint"] for r in same.collect())
+    assert max(len(r["fingerprint"]) for r in got.collect()) < 1500
+    got.unpersist()
+
+
 def test_fingerprint_of_a_null_key_and_a_single_row(spark, odd):
     assert fingerprints.compare_edited(odd).count() == len(ODD)
     one = fingerprints.compare_edited(spark.createDataFrame([(1, "a b c")], "doc_id long, text string")).collect()
