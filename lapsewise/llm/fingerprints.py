@@ -32,9 +32,10 @@ KEPT, PRINTED_CELLS = 16, (16, 48)
 ROUNDS = 6
 #: Paragraphs end at line breaks and sentence ends.
 PARAGRAPH = r"\n|(?<=[.!?])[ \t]+"
-#: The first FINE_FIRST paragraphs, and those of more than FINE_FROM characters, are cut after words that end so;
-#: units of more than WORD_MOST characters are cut into pieces of PIECE.
-FINE, FINE_FIRST, FINE_FROM, WORD_MOST, PIECE = r"(?<=[a-g0-9,;:])[ \t]+", 2, 200, 24, 16
+#: How paragraphs are cut again: the words that a cut follows, the most characters of a unit, and those of the
+#: pieces of a longer one. The first FINE_FIRST paragraphs of at most LONG characters are cut finely, longer ones coarsely.
+FINE, COARSE = (r"(?<=[a-g0-9,;:])[ \t]+", 24, 16), (r"(?<=[dgy,;:])[ \t]+", 200, 100)
+FINE_FIRST, LONG = 2, 200
 TOP = (1 << 63) - 1
 
 
@@ -48,13 +49,13 @@ def digests(text: Column) -> Column:
     def filled(parts: Column) -> Column:
         return F.filter(parts, lambda p: F.trim(p) != "")
 
-    def fine(p: Column) -> Column:
-        return F.flatten(F.transform(F.split(p, FINE), lambda u: F.when(
-            F.length(u) <= WORD_MOST, F.array(u)).otherwise(
-                F.regexp_extract_all(u, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)))))
+    def cut(p: Column, ends: str, most: int, piece: int) -> Column:
+        return filled(F.flatten(F.transform(F.split(p, ends), lambda u: F.when(
+            F.length(u) <= most, F.array(u)).otherwise(
+                F.regexp_extract_all(u, F.lit(f"(?s).{{1,{piece}}}"), F.lit(0))))))
 
     units = F.flatten(F.transform(filled(F.split(text, PARAGRAPH)), lambda p, i: F.when(
-        (i < FINE_FIRST) | (F.length(p) > FINE_FROM), filled(fine(p))).otherwise(F.array(p))))
+        F.length(p) > LONG, cut(p, *COARSE)).when(i < FINE_FIRST, cut(p, *FINE)).otherwise(F.array(p))))
     return F.array_distinct(F.transform(units, lambda u: F.xxhash64(u)))
 
 

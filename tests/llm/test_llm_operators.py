@@ -699,7 +699,10 @@ def brute_units(text):
     parts = [p for line in text.split("\n") for p in cut(line, lambda c: c in ".!?") if p.strip(" ")]
     units = []
     for i, p in enumerate(parts):
-        if i < 2 or len(p) > 200:
+        if len(p) > 200:
+            for u in cut(p, lambda c: c in "dgy,;:"):
+                units += [u] if len(u) <= 200 else [u[j:j + 100] for j in range(0, len(u), 100)]
+        elif i < 2:
             for u in cut(p, lambda c: c in "abcdefg0123456789,;:"):
                 units += [u] if len(u) <= 24 else [u[j:j + 16] for j in range(0, len(u), 16)]
         else:
