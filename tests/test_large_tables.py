@@ -24,3 +24,7 @@ def test_lexicon_tokens_are_found_by_a_hash_set(spark):
     assert got == {0: (0.7, 0.6), 1: (0.0, 0.0), 2: (0.0, 0.0), 3: (0.0, 0.0), 4: (-0.375, 0.675),
                    5: (-0.2775, 0.54),
                    6: (round((0.7 - 0.84) / 2, 9), round((0.6 + 0.804) / 2, 9))}
+
+
+def test_the_frames_joins_run_once_for_the_train_medians(spark):
+    assert "parquet" not in plan(QUERIES["impute_train_median"](spark, SMOKE))
