@@ -13,14 +13,17 @@
    has a theme if it has two of its terms; the themes of most reviews come with
    their share and the review that says most of it.
 
-Pairs are linear in the length of a text (a window, never all pairs), counted
-with map-side combining; weights are whole numbers, so no result hangs on the
+Pairs are linear in the length of a text (a window, never all pairs) and are made
+of vocabulary terms only, as numbers, counted where the reviews are; weights are whole numbers, so no result hangs on the
 order of a sum.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapsewise.operators.joins import with_scalars
@@ -33,6 +36,8 @@ LEAST_SHARE, LEAST_REVIEWS, MOST_SHARE = 0.002, 5, 0.25
 LETTERS, NEAR, LEAST_PAIR = 3, 4, 3
 #: Edges of a term, rounds of propagation, terms of a theme (at least) and of its name, hits of a review.
 EDGES, ROUNDS, LEAST_TERMS, NAMED_BY, HITS = 8, 6, 3, 3, 2
+#: Words that a task pairs at a time.
+PIECE = 1 << 20
 
 
 def vocabulary(reviews: DataFrame) -> DataFrame:
@@ -46,32 +51,67 @@ def vocabulary(reviews: DataFrame) -> DataFrame:
             .select("term", "n"))
 
 
-def near_pairs(w: Column) -> Column:
-    """The distinct unordered pairs of different words at most NEAR places apart, each as ``a b``
-    (strings, which ``array_distinct`` hashes; structs it would compare all with all)."""
-    def at(d: int) -> Column:
-        n = F.greatest(F.size(w) - d, F.lit(0))
-        return F.zip_with(F.slice(w, F.lit(1), n), F.slice(w, F.lit(d + 1), n), lambda a, b: F.when(
-            a != b, F.concat_ws(" ", F.least(a, b), F.greatest(a, b))))
+def near_pairs(reviews: DataFrame, terms: list[str]) -> DataFrame:
+    """(p, c): partial counts of the reviews in which two different terms stand at most NEAR places apart.
 
-    return F.array_compact(F.array_distinct(F.concat(*[at(d) for d in range(1, NEAR + 1)])))
+    p = i·n + k for the terms i < k of the n ``terms``, and n² + i for all pairs of the term i. A
+    review counts once for a pair; other words keep their places but make no pair.
+    """
+    shared = reviews.sparkSession.sparkContext.broadcast(terms)
+    n = len(terms)
+
+    def count(words: pa.Array) -> pa.RecordBatch:
+        flat = words.flatten()
+        known = pa.array(shared.value, flat.type)
+        term = pc.fill_null(pc.index_in(flat, value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        sizes = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
+        review = np.repeat(np.arange(len(words), dtype=np.int64), sizes)
+        found = []
+        for d in range(1, NEAR + 1):
+            a, b = term[:-d], term[d:]
+            near = (a >= 0) & (b >= 0) & (a != b) & (review[:-d] == review[d:])
+            a, b = a[near], b[near]
+            found.append((review[:-d][near] * n + np.minimum(a, b)) * n + np.maximum(a, b))
+        found = np.sort(np.concatenate(found))
+        once = found[np.diff(found, prepend=-1) != 0]                   # a pair of a review
+        p, c = np.unique(once % (n * n), return_counts=True)
+        sums = (np.bincount(p // n, c, n) + np.bincount(p % n, c, n)).astype(np.int64)
+        of = np.flatnonzero(sums)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([p, n * n + of])),
+                                           pa.array(np.concatenate([c, sums[of]]))], ["p", "c"])
+
+    def run(batches):
+        for batch in batches:
+            words = batch.column(0)
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False))
+            at = 0
+            while at < len(words):              # so many reviews at a time that their words are about PIECE
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PIECE, "right")))
+                yield count(words.slice(at, to - at))
+                at = to
+
+    return reviews.select("w").mapInArrow(run, "p long, c long")
 
 
 def term_graph(reviews: DataFrame, terms: DataFrame) -> DataFrame:
     """(src, dst, weight): the strongest edges of each term, by surplus over chance in thousandths."""
-    found = (reviews.select(F.explode(near_pairs(F.col("w"))).alias("p"))
-             .select(F.substring_index("p", " ", 1).alias("a"), F.substring_index("p", " ", -1).alias("b")))
-    known = terms.select("term")
-    pairs = materialize(found.join(known.withColumnRenamed("term", "a"), "a")
-                        .join(known.withColumnRenamed("term", "b"), "b")
-                        .groupBy("a", "b").agg(F.count("a").alias("c")))
-    both = pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"), "c").unionByName(
-        pairs.select(F.col("b").alias("src"), F.col("a").alias("dst"), "c"))
-    places = materialize(both.groupBy("src").agg(F.sum("c").cast("double").alias("m")))
-    all_places = places.agg(F.sum("m").alias("t"))
+    known = sorted(r["term"] for r in terms.select("term").collect())      # bounded by the shares
+    n = len(known)
+    if not known:
+        return reviews.sparkSession.createDataFrame([], "src string, dst string, weight long")
+    p = F.col("p")
+    # the rare pairs count in the sums of their terms only
+    counts = materialize(near_pairs(reviews, known).groupBy("p").agg(F.sum("c").alias("c"))
+                         .where((p >= n * n) | (F.col("c") >= LEAST_PAIR)))
+    names = F.broadcast(reviews.sparkSession.createDataFrame(list(enumerate(known)), "id long, term string"))
+    places = F.broadcast(counts.where(p >= n * n).select((p - n * n).alias("id"), F.col("c").cast("double").alias("m"))
+                         .join(names, "id"))
+    pairs = counts.where(p < n * n).select(((p - p % n) / n).cast("long").alias("a"), (p % n).alias("b"), "c")
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "c"))
     weighed = with_scalars(
-        both.where(F.col("c") >= LEAST_PAIR).join(places, "src")
-        .join(places.select(F.col("src").alias("dst"), F.col("m").alias("m_dst")), "dst"), all_places)
+        both.join(places.select(F.col("id").alias("a"), F.col("term").alias("src"), "m"), "a")
+        .join(places.select(F.col("id").alias("b"), F.col("term").alias("dst"), F.col("m").alias("m_dst")), "b"),
+        counts.where(p >= n * n).agg(F.sum("c").cast("double").alias("t")))
     weight = F.floor((F.col("c") - F.col("m") * F.col("m_dst") / F.col("t")) * 1000)
     strongest = Window.partitionBy("src").orderBy(F.col("weight").desc(), "dst")     # bounded by the vocabulary
     return (weighed.select("src", "dst", weight.cast("long").alias("weight")).where(F.col("weight") > 0)
@@ -119,12 +159,15 @@ def find_themes(df: DataFrame, key: str = "review_id", text: str = "review_comme
     few reviews for a vocabulary there are no themes. Only keys and terms are
     aggregated; the quotes are fetched for one review a theme.
     """
-    words = F.coalesce(F.filter(tokens(text), lambda t: F.length(t) >= LETTERS), F.array().cast("array<string>"))
-    reviews = materialize(df.select(F.col(key).alias("key"), words.alias("w")))
+    words = F.filter(tokens(text), lambda t: F.length(t) >= LETTERS)
+    # written as one text: an array of strings takes several times its room
+    written = materialize(df.select(F.col(key).alias("key"), F.coalesce(F.array_join(words, " "), F.lit("")).alias("w")))
+    none = F.array().cast("array<string>")
+    reviews = written.select("key", F.when(F.col("w") != "", F.split("w", " ")).otherwise(none).alias("w"))
     terms = materialize(vocabulary(reviews))
     graph = materialize(term_graph(reviews, terms))
     of_theme = materialize(theme_terms(graph, communities(graph)))
-    hits = (reviews.select("key", F.explode(F.array_distinct("w")).alias("term")).join(of_theme, "term")
+    hits = (reviews.select("key", F.explode(F.array_distinct("w")).alias("term")).join(F.broadcast(of_theme), "term")
             .groupBy("theme", "n_terms", "key").agg(F.count("term").alias("hits"))
             .where(F.col("hits") >= HITS))
     per_theme = hits.groupBy("theme", "n_terms").agg(
@@ -134,9 +177,9 @@ def find_themes(df: DataFrame, key: str = "review_id", text: str = "review_comme
     best = materialize(with_scalars(
         per_theme.orderBy(F.col("reviews_with_theme").desc(), "theme").limit(top_k),
         reviews.agg(F.count("w").alias("reviews"))))
-    # top_k rows
-    chosen = F.broadcast(best.select("representative_id"))
-    quotes = (df.join(chosen, df[key] == chosen["representative_id"], "left_semi")
+    # top_k keys, as values: only these reviews' texts are read again
+    chosen = [r["representative_id"] for r in best.select("representative_id").collect()]
+    quotes = (df.where(F.col(key).isin(chosen))
               .groupBy(F.col(key).alias("__id")).agg(F.min(text).alias("representative_quote")))
     return (best.withColumn("share", F.col("reviews_with_theme") / F.col("reviews"))
             .join(quotes, F.col("representative_id") == F.col("__id"), "left")
