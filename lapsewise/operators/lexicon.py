@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lapsewise.functions.exprs import non_blank
+from lapsewise.functions.exprs import is_true, non_blank
 from lapsewise.operators.joins import with_scalars
 from lapsewise.operators.text import NEGATIONS, tokens
 
@@ -60,7 +60,6 @@ def fit_lexicon(reviews: DataFrame, text: str = "review_comment_message", score:
 
 def scoped_tokens(toks: Column) -> Column:
     """Array of (term, negated): whether one of the SCOPE tokens before is a negation."""
-    negations = F.array(*[F.lit(w) for w in NEGATIONS])
     n = F.size(toks)
 
     def before(d: int) -> Column:
@@ -72,7 +71,7 @@ def scoped_tokens(toks: Column) -> Column:
     def negated(x: Column) -> Column:
         out = F.lit(False)
         for d in range(1, SCOPE + 1):
-            out = out | F.coalesce(F.array_contains(negations, x[f"p{d}"]), F.lit(False))
+            out = out | is_true(x[f"p{d}"].isin(list(NEGATIONS)))
         return out
 
     # a text shorter than the scope leaves places without a token
@@ -84,13 +83,14 @@ def learnt_sentiment(df: DataFrame, lexicon: DataFrame, key: str = "order_id",
                      text: str = "review_comment_message") -> DataFrame:
     """X-2: ``df`` plus has_review_text, sentiment_polarity, sentiment_subjectivity (row count unchanged).
 
-    ``key`` names a row. Null and blank texts, and texts without a lexicon
+    ``key`` names a row. The lexicon, bounded by the vocabulary, goes to the
+    tokens, which are not exchanged. Null and blank texts, and texts without a lexicon
     token, score (0, 0).
     """
     found = (df.where(non_blank(text)).select(F.col(key).alias("__key"), tokens(text).alias("w"))
              .select("__key", F.explode(scoped_tokens(F.col("w"))).alias("t"))
              .select("__key", "t.term", "t.negated")
-             .join(lexicon.select("term", "polarity", "subjectivity"), "term"))
+             .join(F.broadcast(lexicon.select("term", "polarity", "subjectivity")), "term"))
     turned = F.col("polarity") * F.when(F.col("negated"), F.lit(-0.5)).otherwise(F.lit(1.0))
     means = found.groupBy("__key").agg(F.avg(turned).alias("__p"), F.avg("subjectivity").alias("__s"))
     return (df.join(means, F.col(key) == F.col("__key"), "left")

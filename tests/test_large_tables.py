@@ -1,9 +1,15 @@
 """Steps that grow with the tables run once, over the columns that they need."""
 
+import random
+from collections import Counter
+
 import pytest
 from conftest import SMOKE
+from pyspark.sql import functions as F
 
+from lapsewise.operators import lexicon as LX
 from lapsewise.operators import text as TX
+from lapsewise.operators import themes as TH
 from lapsewise.plans.queries import QUERIES
 
 
@@ -28,3 +34,36 @@ def test_lexicon_tokens_are_found_by_a_hash_set(spark):
 
 def test_the_frames_joins_run_once_for_the_train_medians(spark):
     assert "parquet" not in plan(QUERIES["impute_train_median"](spark, SMOKE))
+
+
+def test_pairs_are_counted_of_vocabulary_terms_only_where_the_reviews_are(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(i, [rng.choice("abcdefgh") * 3 for _ in range(rng.choice([0, 1, 2, 7, 40]))]) for i in range(300)] + [(900, None)]
+    known = [x * 3 for x in "abcde"]
+    want = Counter()
+    for _, w in rows:
+        w = w or []
+        want.update({(a, b) for i in range(len(w)) for j in range(i + 1, min(i + 1 + TH.NEAR, len(w)))
+                     for a, b in [sorted((w[i], w[j]))] if a != b and a in known and b in known})
+    n = len(known)
+    sums = Counter()
+    for (a, b), c in want.items():
+        sums[a] += c
+        sums[b] += c
+    reviews = spark.createDataFrame(rows, "key long, w array<string>")
+    for piece in (1, 100, TH.PIECE):
+        monkeypatch.setattr(TH, "PIECE", piece)
+        got = {r["p"]: r["c"] for r in TH.near_pairs(reviews, known).groupBy("p").agg(F.sum("c").alias("c")).collect()}
+        assert {(known[p // n], known[p % n]): c for p, c in got.items() if p < n * n} == want
+        assert {known[p - n * n]: c for p, c in got.items() if p >= n * n} == sums
+
+
+def test_only_held_out_reviews_are_scored_for_the_agreement(spark):
+    lexicon = spark.createDataFrame([("good", 0.5, 0.5)], "term string, polarity double, subjectivity double")
+    told = spark.createDataFrame([(1, "not good")], "order_id long, review_comment_message string")
+    scored = LX.learnt_sentiment(told, lexicon)
+    assert "strategy=broadcast" in plan(scored) and "array_contains" not in plan(scored)
+    assert scored.first()["sentiment_polarity"] == -0.25
+    # the learning rows do not reach the scoring: the flag is asked before the tokens are made
+    p = plan(QUERIES["sentiment_agreement"](spark, SMOKE))
+    assert all("held_out" in line for line in p.splitlines() if "Filter" in line and "RLIKE" in line)
