@@ -24,7 +24,8 @@ def write_sides(tables: dict[str, DataFrame], name: str, path: str, buckets: int
     """Tables ``<name>_spine`` (orders with their customers) and one a side, bucketed and sorted by ``order_id``.
 
     ``path``: a shared folder for their files. One file a bucket and table;
-    choose ``buckets`` so that one of the widest (reviews) fits in a task.
+    choose ``buckets`` so that one of the widest (reviews) fits in a task. The files
+    are packed with zstd: they are mostly texts.
     """
     frames = {"spine": attach_customers(tables["orders"], tables["customers"]),
               "reviews": latest_review(tables["order_reviews"], review_tie).select(KEY, *REVIEW_COLUMNS),
@@ -33,7 +34,7 @@ def write_sides(tables: dict[str, DataFrame], name: str, path: str, buckets: int
               "payments": payments_per_order(tables["payments"], payment_order)}
     for side, df in frames.items():
         (df.repartition(buckets, KEY).write.bucketBy(buckets, KEY).sortBy(KEY)
-         .option("path", f"{path}/{side}").saveAsTable(f"{name}_{side}"))
+         .option("compression", "zstd").option("path", f"{path}/{side}").saveAsTable(f"{name}_{side}"))
 
 
 def stored_master(spark: SparkSession, name: str) -> DataFrame:

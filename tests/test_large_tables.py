@@ -1,6 +1,7 @@
 """Steps that grow with the tables run once, over the columns that they need."""
 
 import random
+import uuid
 from collections import Counter
 
 import pytest
@@ -8,9 +9,12 @@ from conftest import SMOKE
 from pyspark.sql import functions as F
 
 from lapsewise.operators import lexicon as LX
+from lapsewise.operators import models as MD
 from lapsewise.operators import text as TX
 from lapsewise.operators import themes as TH
+from lapsewise.plans.bucketed import SIDES, forget_sides, write_sides
 from lapsewise.plans.queries import QUERIES
+from lapsewise.sources.driver import PAYMENT_ORDER, model_tables
 
 
 def plan(df) -> str:
@@ -67,3 +71,18 @@ def test_only_held_out_reviews_are_scored_for_the_agreement(spark):
     # the learning rows do not reach the scoring: the flag is asked before the tokens are made
     p = plan(QUERIES["sentiment_agreement"](spark, SMOKE))
     assert all("held_out" in line for line in p.splitlines() if "Filter" in line and "RLIKE" in line)
+
+
+def test_stored_sides_are_packed_with_zstd(spark, tmp_path):
+    name = f"m{uuid.uuid4().hex}"
+    write_sides(model_tables(spark, SMOKE), name, str(tmp_path), 2, PAYMENT_ORDER)
+    for side in ("spine", *SIDES):
+        files = list((tmp_path / side).glob("*.parquet"))
+        assert files and all(f.name.endswith(".zstd.parquet") for f in files)
+    forget_sides(spark, name)
+
+
+def test_trees_keep_no_nodes_of_rows_between_levels(spark):
+    rows = spark.range(200).select(F.col("id").cast("double").alias("x"), (F.col("id") % 3 == 0).cast("int").alias("label"))
+    model = MD.train_gbt(rows, ["x"], max_iter=2, max_depth=2).stages[-1]
+    assert not model.getOrDefault("cacheNodeIds")
