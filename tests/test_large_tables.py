@@ -86,3 +86,30 @@ def test_trees_keep_no_nodes_of_rows_between_levels(spark):
     rows = spark.range(200).select(F.col("id").cast("double").alias("x"), (F.col("id") % 3 == 0).cast("int").alias("label"))
     model = MD.train_gbt(rows, ["x"], max_iter=2, max_depth=2).stages[-1]
     assert not model.getOrDefault("cacheNodeIds")
+
+
+def counted(df):
+    """The rows of ``df`` and how many of them were read so far."""
+    read = df.sparkSession.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+    return df.mapInPandas(count, df.schema), read
+
+
+def test_split_reads_its_rows_twice_only(spark):
+    from lapsewise.operators.sampling import stratified_split
+    df = spark.range(0, 200, 1, 2).selectExpr("id order_id", "cast(id % 4 = 0 as int) label")
+    rows, read = counted(df)
+    split = stratified_split(rows).collect()
+    assert sum(r["fold"] == "test" for r in split) == 40 and read.value == 400
+    assert Counter(map(tuple, split)) == Counter(map(tuple, stratified_split(df).collect()))
+
+
+def test_regression_makes_its_features_once(spark):
+    df = spark.range(0, 100, 1, 2).selectExpr("id order_id", "cast(id % 3 = 0 as int) label", "double(id % 7) x")
+    rows, read = counted(df)
+    model = MD.train_logreg(rows, ["x"], max_iter=10)
+    assert read.value == 200 and model.transform(df).count() == 100      # the classes' sizes, the features
