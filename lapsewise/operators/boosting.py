@@ -1,0 +1,418 @@
+"""Boosted trees by histograms: the trees of ``GBTClassifier``, level by level, from packed rows.
+
+``GBTClassifier`` meets every feature of every row in each level of each tree. Here a
+row is packed once: its bins (``GBTClassifier``'s own cut values) of several features
+share one number, as long as all their combinations stay within ``CELLS``. A level
+then costs one count and one sum a number and row, over the smaller child of each
+node only: the histogram of the larger one is the parent's without it. Sums of single
+features come from the shared ones exactly, whatever the features are.
+
+What a tree is made of is ``GBTClassifier``'s: labels -1 and 1 for the first tree, then
+the residuals 4y / (1 + exp(2yF)) of the log loss; splits by the loss of variance
+(the first feature and cut of equal ones), leaves that are pure or gain nothing stay
+leaves, leaves of equal predictions are joined. The result is a ``GBTClassificationModel``.
+
+Blocks of packed rows with their margins are a cached RDD, and each tree makes the next
+one from it; every ``CHECKPOINT`` trees it is checkpointed, which keeps the lineage
+short, and the checkpoint before is removed. A level is one job, whose tasks return sums
+of bins (the model's size bounds these); the first one of a tree also makes the margins.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Callable, Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import RDD, SparkContext, StorageLevel
+from pyspark.core.broadcast import Broadcast
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
+from pyspark.ml.common import _py2java
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import DenseVector
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lapsewise.session import checkpoint_dir, remove
+
+#: Most combinations of bins that share a number; rows of a block; rows for which a further task pays.
+CELLS, BLOCK, TASK = 1024, 1 << 17, 1 << 14
+#: Trees between checkpoints; blocks that a task holds at most; partial sums that the driver adds up itself.
+CHECKPOINT, TASK_BLOCKS, DIRECT = 25, 64, 64
+#: Blocks are bytes already: they are kept as they are.
+KEPT = StorageLevel.MEMORY_AND_DISK_DESER
+#: Gains that differ by less than this share are equal; a gain or a variance of less than this share of the mean
+#: square is rounding.
+EQUAL, NONE = 1e-10, 1e-13
+
+
+def cut_values(gbt: GBTClassifier, rows: DataFrame) -> list[np.ndarray]:
+    """Cut values of each feature, as ``GBTClassifier`` finds them; it also checks labels, weights and features."""
+    jvm = rows.sparkSession._jvm
+    tree = jvm.org.apache.spark.ml.tree.impl
+    module = lambda name: getattr(getattr(jvm, name + "$"), "MODULE$")
+    learner = gbt._to_java()
+    instances = module("org.apache.spark.ml.util.DatasetUtils").extractInstances(
+        learner, rows._jdf, jvm.scala.Some(2))
+    algo = module("org.apache.spark.mllib.tree.configuration.Algo")
+    strategy = learner.getOldBoostingStrategy(
+        module("scala.collection.immutable.Map").empty(), algo.Classification()).treeStrategy()
+    strategy.setAlgo(algo.Regression())
+    strategy.setImpurity(module("org.apache.spark.mllib.tree.impurity.Variance"))
+    about = tree.DecisionTreeMetadata.buildMetadata(instances, strategy, 1, "all")
+    found = module("org.apache.spark.ml.tree.impl.RandomForest").findSplits(instances, about, gbt.getSeed())
+    return [np.array([s.threshold() for s in splits], float) for splits in found]
+
+
+class Packing:
+    """Which features share a number, and where their bins lie among all bins."""
+
+    def __init__(self, cuts: list[np.ndarray]):
+        self.cuts = cuts
+        self.bins = [len(c) + 1 for c in cuts]
+        self.start = np.concatenate([[0], np.cumsum(self.bins)])
+        self.groups: list[list[int]] = []
+        self.cells: list[int] = []
+        self.place: dict[int, tuple[int, int]] = {}                      # feature: group, stride
+        for f in sorted((f for f, n in enumerate(self.bins) if n > 1), key=lambda f: -self.bins[f]):
+            g = next((g for g, n in enumerate(self.cells) if n * self.bins[f] <= CELLS), len(self.cells))
+            if g == len(self.cells):
+                self.groups.append([])
+                self.cells.append(1)
+            self.place[f] = g, self.cells[g]
+            self.groups[g].append(f)
+            self.cells[g] *= self.bins[f]
+        self.single = [self._single(g) for g in range(len(self.groups))]
+
+    def bin_of(self, f: int) -> np.ndarray:
+        """The bin of feature f in each combination of its group."""
+        g, stride = self.place[f]
+        return np.arange(self.cells[g]) // stride % self.bins[f]
+
+    def _single(self, g: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the group's bins among all bins, and what a sum of combinations adds to each."""
+        at = np.concatenate([self.start[f] + np.arange(self.bins[f]) for f in self.groups[g]])
+        adds = np.concatenate([self.bin_of(f)[:, None] == np.arange(self.bins[f]) for f in self.groups[g]], axis=1)
+        return at, adds.astype(float)
+
+    def pack(self, x: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(self.groups), len(x)), np.uint16)
+        for f, (g, stride) in self.place.items():
+            out[g] += np.searchsorted(self.cuts[f], x[:, f], side="left").astype(np.uint16) * np.uint16(stride)
+        return out
+
+
+class Block:
+    """Packed rows, those of label 0 first, with their margins (none before the first tree) and the squares of the
+    last tree's leaves."""
+
+    def __init__(self, codes: np.ndarray, zeros: int, margin: np.ndarray | None = None,
+                 squares: np.ndarray | None = None):
+        self.codes, self.zeros, self.margin, self.squares = codes, zeros, margin, squares
+
+    def residual(self) -> np.ndarray:
+        y = np.ones(self.codes.shape[1])
+        y[:self.zeros] = -1.0
+        with np.errstate(over="ignore"):
+            return y if self.margin is None else 4.0 * y / (1.0 + np.exp(2.0 * y * self.margin))
+
+    def weights(self, w: tuple[float, float]) -> np.ndarray:
+        return np.repeat(w, (self.zeros, self.codes.shape[1] - self.zeros))
+
+    def nodes(self, sides: dict[int, tuple[int, np.ndarray]]) -> Iterator[tuple[int, np.ndarray]]:
+        """(node, its rows) of the leaves of a tree; node k's children are 2k and 2k + 1."""
+        todo = [(1, np.arange(self.codes.shape[1]))]
+        while todo:
+            node, at = todo.pop()
+            if node not in sides:
+                yield node, at
+                continue
+            group, left = sides[node]
+            to_left = left[self.codes[group][at]]
+            todo += [(2 * node, at[to_left]), (2 * node + 1, at[~to_left])]
+
+    def advanced(self, tree: Tree, step: float, depth: int) -> Block:
+        """The block with the tree's part added to the margins, and the leaves' Σ weight · residual²."""
+        r = self.residual()
+        squares_of = r * r * self.weights(tree.w)
+        margin = np.zeros(len(r)) if self.margin is None else self.margin.copy()
+        squares = np.zeros(2 << depth)
+        for node, at in self.nodes(tree.sides):
+            margin[at] += step * tree.prediction(node)
+            squares[node] = squares_of[at].sum()
+        return Block(self.codes, self.zeros, margin, squares)
+
+
+def packed_blocks(rows: DataFrame, label: str, shared: Broadcast) -> RDD:
+    """The rows as blocks, dealt evenly to as many tasks as pay."""
+    def pack(batches):
+        packing = shared.value
+        held, count = [], 0
+        for batch in batches:
+            y = batch.column(0).to_numpy(zero_copy_only=False)
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(y), len(packing.cuts))
+            held.append((y, packing.pack(x)))
+            count += len(y)
+            if count >= BLOCK:
+                yield block(held)
+                held, count = [], 0
+        if count:
+            yield block(held)
+
+    def block(held):
+        y = np.concatenate([y for y, _ in held])
+        codes = np.concatenate([c for _, c in held], axis=1)[:, np.argsort(y, kind="stable")]
+        return pa.RecordBatch.from_pydict({"zeros": [int((y == 0).sum())], "n": [len(y)], "codes": [codes.tobytes()]},
+                                          schema=pa.schema([("zeros", pa.int64()), ("n", pa.int64()), ("codes", pa.binary())]))
+
+    groups = len(shared.value.groups)
+    parts = (rows.select(F.col(label).cast("double"), vector_to_array("features").alias("x"))
+             .mapInArrow(pack, "zeros long, n long, codes binary").rdd.persist(KEPT))
+    n, blocks = parts.map(lambda r: (r["n"], 1)).fold((0, 0), lambda a, b: (a[0] + b[0], a[1] + b[1]))
+    tasks = min(max(1, blocks), max(1, math.ceil(n / TASK)),
+                max(rows.sparkSession.sparkContext.defaultParallelism, math.ceil(n / BLOCK / TASK_BLOCKS)))
+
+    def joined(dealt):
+        held, count = [], 0
+        for _, r in dealt:
+            held.append((np.frombuffer(r["codes"], np.uint16).reshape(groups, r["n"]), r["zeros"]))
+            count += r["n"]
+            if count >= BLOCK:
+                yield one(held)
+                held, count = [], 0
+        if count:
+            yield one(held)
+
+    def one(held):
+        return Block(np.concatenate([c[:, :z] for c, z in held] + [c[:, z:] for c, z in held], axis=1),
+                     sum(z for _, z in held))
+
+    dealt = (parts.zipWithIndex().map(lambda p: (p[1], p[0])).partitionBy(tasks, lambda i: i)
+             .mapPartitions(joined, preservesPartitioning=True).persist(KEPT))
+    dealt.count()
+    parts.unpersist()
+    return dealt
+
+
+def total(parts: RDD) -> np.ndarray:
+    """The sum of the tasks' arrays, added in the order of the tasks."""
+    if parts.getNumPartitions() <= DIRECT:
+        return sum(parts.collect())
+    return parts.treeReduce(np.add, depth=2)
+
+
+def level_sums(blocks: Iterable[Block], packing: Packing, sides: dict, wanted: list[int], w: tuple[float, float],
+               n_squares: int) -> Iterator[np.ndarray]:
+    """For each wanted node: rows of label 0, rows of label 1 and Σ weight · residual of all bins, then these
+    three and Σ weight · residual² of the node. Behind them the squares that ``advanced`` left."""
+    bins = int(packing.start[-1])
+    place = {node: i for i, node in enumerate(wanted)}
+    by_group = [np.zeros((len(wanted), 3, c)) for c in packing.cells]
+    whole = np.zeros((len(wanted), 4))
+    squares = np.zeros(n_squares)
+    for b in blocks:
+        r = b.residual()
+        if b.squares is not None:
+            squares += b.squares
+        wr = r * b.weights(w)
+        for node, at in b.nodes(sides):
+            i = place.get(node)
+            if i is None:
+                continue
+            every = len(at) == len(r)
+            zeros = int(np.searchsorted(at, b.zeros))
+            own = wr if every else wr[at]
+            whole[i] += zeros, len(at) - zeros, own.sum(), own @ (r if every else r[at])
+            for sums, codes in zip(by_group, b.codes, strict=True):
+                c = (codes if every else codes[at]).astype(np.int64)
+                n = sums.shape[2]
+                sums[i] += np.bincount(c[:zeros], minlength=n), np.bincount(c[zeros:], minlength=n), \
+                    np.bincount(c, own, minlength=n)
+    out = np.zeros((len(wanted), 3, bins))
+    for (at, adds), sums in zip(packing.single, by_group, strict=True):
+        out[:, :, at] = sums @ adds
+    yield np.concatenate([np.concatenate([out.reshape(len(wanted), -1), whole], axis=1).ravel(), squares])
+
+
+def leaf_squares(blocks: Iterable[Block]) -> Iterator[np.ndarray]:
+    """The squares that ``advanced`` left with the blocks."""
+    yield sum(b.squares for b in blocks)
+
+
+class Tree:
+    """A tree while it grows. Of each node: rows of label 0, of label 1, Σ weight · residual, Σ weight · residual²."""
+
+    def __init__(self, w: tuple[float, float]):
+        self.w = w
+        self.stats: dict[int, list[float]] = {}
+        self.split: dict[int, tuple[int, int, float]] = {}               # feature, cut, gain
+        self.sides: dict[int, tuple[int, np.ndarray]] = {}               # group, which combinations go left
+
+    def rows(self, node: int) -> float:
+        return self.stats[node][0] + self.stats[node][1]
+
+    def weight(self, node: int) -> float:
+        return self.stats[node][0] * self.w[0] + self.stats[node][1] * self.w[1]
+
+    def prediction(self, node: int) -> float:
+        weight = self.weight(node)
+        return self.stats[node][2] / weight if weight else 0.0
+
+    def impurity(self, node: int) -> float:
+        weight = self.weight(node)
+        return (self.stats[node][3] - self.stats[node][2] ** 2 / weight) / weight if weight else 0.0
+
+    def mean_square(self, node: int) -> float:
+        weight = self.weight(node)
+        return self.stats[node][3] / weight if weight else 0.0
+
+    def leaves(self) -> list[int]:
+        return [k for k in self.stats if k not in self.split]
+
+
+def best_splits(sums: np.ndarray, packing: Packing, w: tuple[float, float]) -> list[tuple | None]:
+    """Of each node's sums (node, 3, bin) the split that gains most: feature, cut, gain, sums of both children."""
+    bins = np.array(packing.bins)
+    widest = bins.max(initial=1)
+    if widest < 2:
+        return [None] * len(sums)
+    real = np.arange(widest) < bins[:, None]
+    at = packing.start[:-1, None] + np.where(real, np.arange(widest), 0)
+    left = np.cumsum(np.where(real, sums[:, :, at], 0.0), axis=-1)                    # node, 3, feature, cut
+    whole, left = left[..., -1:], left[..., :-1]
+    right = whole - left
+    weight = lambda s: s[:, 0] * w[0] + s[:, 1] * w[1]
+    allowed = real[:, 1:] & (left[:, 0] + left[:, 1] >= 1) & (right[:, 0] + right[:, 1] >= 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = (left[:, 2] ** 2 / weight(left) + right[:, 2] ** 2 / weight(right)
+                - whole[:, 2] ** 2 / weight(whole)) / weight(whole)
+    gain = np.where(allowed & np.isfinite(gain), gain, -np.inf)
+    out = []
+    for i, g in enumerate(gain):
+        most = g.max()
+        if not most > 0:
+            out.append(None)
+            continue
+        f, cut = np.unravel_index(np.argmax(g >= most * (1 - EQUAL)), g.shape)        # the first of equal ones
+        out.append((int(f), int(cut), float(g[f, cut]), left[i, :, f, cut].tolist(), right[i, :, f, cut].tolist()))
+    return out
+
+
+def grow(summed: Callable[[dict, list[int]], np.ndarray], packing: Packing, depth: int,
+         w: tuple[float, float]) -> tuple[Tree, np.ndarray]:
+    """The next tree of the blocks' residuals, and the squares of the tree before. ``summed`` adds up all
+    ``level_sums``."""
+    tree = Tree(w)
+    bins = int(packing.start[-1])
+    level, known = [1], {}                                                            # node: its sums
+    for d in range(depth):
+        # of two children the one of fewer rows is summed; the other is what the parent has besides
+        wanted = [k for k in level if k == 1 or (tree.rows(k), k) < (tree.rows(k ^ 1), k ^ 1)]
+        sums = summed(tree.sides, wanted)
+        if d == 0:
+            squares = sums[-(2 << depth):]
+        sums = sums[:-(2 << depth)].reshape(len(wanted), -1)
+        above, known = known, {}
+        for k, s in zip(wanted, sums, strict=True):
+            known[k] = s[:3 * bins].reshape(3, bins)
+            if k == 1:
+                tree.stats[k] = s[3 * bins:].tolist()
+                continue
+            tree.stats[k][3] = float(s[-1])
+            known[k ^ 1] = above[k >> 1] - known[k]
+            known[k ^ 1][2][known[k ^ 1][:2].sum(axis=0) == 0] = 0.0                  # no rows: only rounding is left
+            tree.stats[k ^ 1][3] = tree.stats[k >> 1][3] - tree.stats[k][3]
+        open_ = [k for k in level if tree.impurity(k) > NONE * tree.mean_square(k)]
+        level = []
+        if not open_:
+            break
+        for k, found in zip(open_, best_splits(np.array([known[k] for k in open_]), packing, w), strict=True):
+            if found is not None and found[2] > NONE * tree.mean_square(k):
+                f, cut, gain, left, right = found
+                tree.split[k] = f, cut, gain
+                tree.sides[k] = packing.place[f][0], packing.bin_of(f) <= cut
+                tree.stats[2 * k], tree.stats[2 * k + 1] = [*left, math.nan], [*right, math.nan]
+                level += [2 * k, 2 * k + 1]
+        if not level:
+            break
+    return tree, squares
+
+
+def boosted(spark: SparkSession, blocks: RDD, shared: Broadcast, n: int, depth: int, step: float,
+            w: tuple[float, float]) -> list[Tree]:
+    """n trees; the first one counts whole, the others by ``step``."""
+    trees: list[Tree] = []
+    path = before = None
+
+    def known(squares):
+        for k in trees[-1].leaves():
+            trees[-1].stats[k][3] = float(squares[k])
+        before.unpersist()
+
+    for t in range(n):
+        tree, squares = grow(lambda sides, wanted, blocks=blocks: total(blocks.mapPartitions(
+            lambda b: level_sums(b, shared.value, sides, wanted, w, 2 << depth))), shared.value, depth, w)
+        if trees:
+            known(squares)                                   # of the tree before, with the margins that it gave
+            if t % CHECKPOINT == 0:
+                if path:
+                    remove(spark, path)
+                path = blocks.getCheckpointFile()
+        trees.append(tree)
+        part = step if t else 1.0
+        before, blocks = blocks, blocks.mapPartitions(
+            lambda b, tree=tree, part=part: (x.advanced(tree, part, depth) for x in b), preservesPartitioning=True) \
+            .persist(KEPT)
+        if (t + 1) % CHECKPOINT == 0 and t + 1 < n:
+            blocks.checkpoint()
+    known(total(blocks.mapPartitions(lambda b: [sum((x.squares for x in b), np.zeros(2 << depth))])))
+    blocks.unpersist()
+    if path:
+        remove(spark, path)
+    return trees
+
+
+def spark_trees(spark: SparkSession, trees: list[Tree], packing: Packing):
+    """The trees as Spark ML's, in an array; leaves of one node that predict the same become one."""
+    jvm, gateway = spark._jvm, SparkContext._gateway
+    ml = jvm.org.apache.spark.ml
+    tree_type, leaf, internal, split = ml.regression.DecisionTreeRegressionModel, ml.tree.LeafNode, ml.tree.InternalNode, ml.tree.ContinuousSplit
+    variance, part = jvm.org.apache.spark.mllib.tree.impurity.VarianceCalculator, jvm.java.util.Arrays.copyOfRange
+    stats = [(t.weight(k), *t.stats[k][2:]) for t in trees for k in t.stats]
+    values = _py2java(spark.sparkContext, DenseVector(np.ravel(stats))).values()
+    place = {key: 3 * i for i, key in enumerate((t, k) for t, tree in enumerate(trees) for k in tree.stats)}
+
+    def node(t, k):
+        tree = trees[t]
+        prediction, impurity = tree.prediction(k), tree.impurity(k)
+        about = variance(part(values, place[t, k], place[t, k] + 3), int(tree.rows(k)))
+        if k not in tree.split:
+            return prediction, leaf(prediction, impurity, about)
+        (left_value, left), (right_value, right) = node(t, 2 * k), node(t, 2 * k + 1)
+        if left_value is not None and left_value == right_value:
+            return left_value, leaf(left_value, impurity, about)
+        f, cut, gain = tree.split[k]
+        return None, internal(prediction, impurity, gain, left, right, split(f, float(packing.cuts[f][cut])), about)
+
+    made = gateway.new_array(tree_type, len(trees))
+    for t in range(len(trees)):
+        made[t] = tree_type(node(t, 1)[1], len(packing.cuts))
+    return made
+
+
+def fit_gbt(gbt: GBTClassifier, rows: DataFrame, w: tuple[float, float]) -> GBTClassificationModel:
+    """``gbt.fit(rows)`` for rows whose weights are w[0] (label 0) and w[1] (label 1)."""
+    spark = rows.sparkSession
+    checkpoint_dir(spark)
+    packing = Packing(cut_values(gbt, rows))
+    shared = spark.sparkContext.broadcast(packing)
+    blocks = packed_blocks(rows, gbt.getLabelCol(), shared)
+    trees = boosted(spark, blocks, shared, gbt.getMaxIter(), gbt.getMaxDepth(), gbt.getStepSize(), w)
+    shared.unpersist()
+    steps = [1.0] + [gbt.getStepSize()] * (len(trees) - 1)
+    learner = gbt._to_java()
+    model = spark._jvm.org.apache.spark.ml.classification.GBTClassificationModel(
+        learner.uid(), spark_trees(spark, trees, packing), _py2java(spark.sparkContext, DenseVector(steps)).values(),
+        len(packing.cuts), 2)
+    return GBTClassificationModel._from_java(learner.copyValues(model, learner.extractParamMap()))
