@@ -154,3 +154,12 @@ def test_trees_of_one_class_or_one_value(spark, labels):
     df = spark.createDataFrame([(i, y, 1.0) for i, y in enumerate(labels)], "order_id int, label int, x double")
     model = MD.train_gbt(df, ["x"], max_iter=2, max_depth=2)
     assert all(t.numNodes == 1 for t in model.stages[-1].trees) and MD.score(model, df).count() == 6
+
+
+def test_leaves_below_the_same_nodes_are_looked_up_once():
+    from lapsewise.operators.attribution import LeafMasks
+    node = lambda k, f, cut, left, right, value, cover: {
+        "tree": 0, "node": k, "feature": f, "threshold": cut, "left": left, "right": right, "value": value, "cover": cover}
+    masks = LeafMasks([node(0, 0, 0.5, 1, 2, 0.0, 8.0), node(1, 1, 0.5, 3, 4, 0.0, 6.0), node(2, 0, 0.7, 5, 6, 0.0, 2.0),
+                       *[node(k, -1, 0.0, -1, -1, k / 7, c) for k, c in ((3, 2.0), (4, 4.0), (5, 1.0), (6, 1.0))]], 2)
+    assert len(masks.lists) == 2 and len(masks.comparisons) == 3
