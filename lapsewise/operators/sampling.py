@@ -10,17 +10,23 @@ counts: rows are bucketed by the first 4 hex digits of the hash (65,536
 buckets), the per-(label, bucket) counts give the boundary bucket, a second
 level of 4 hex digits narrows it, and only the rows sharing both prefixes with
 the cut (about n / 2^32) are ranked individually. The passes read a narrow copy
-(label, key, buckets), every per-task unit is bounded by the bucket count, not by
-the data.
+(label, key, buckets) that is removed behind them, every per-task unit is bounded by
+the bucket count, not by the data. The fold is a column of the row and the small
+tables of cuts: ``df``'s rows are not exchanged.
 """
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapsewise.functions.exprs import hash_key, hash_unit
-from lapsewise.session import materialize
+from lapsewise.session import materialize, packed, remove
+
+#: Rows at the cut that are broadcast; more (a key that repeats as often) are joined.
+BROADCAST_TIES = 1 << 20
 
 
 def _level_cut(rows: DataFrame, label: str, bucket: str, need: str) -> DataFrame:
@@ -44,9 +50,9 @@ def stratified_split(df: DataFrame, label: str = "label", key: str = "order_id",
     buckets = {"__b1": F.conv(F.substring(h, 1, 4), 16, 10).cast("int"),
                "__b2": F.conv(F.substring(h, 5, 4), 16, 10).cast("int")}
     # every pass for sizes and cuts reads these few columns only; ``df`` is read twice
-    narrow = materialize(df.select(label, key, *[c.alias(n) for n, c in buckets.items()]))
-    sizes = (narrow.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
-             .withColumn("__need", F.ceil(F.col("__n") * F.lit(float(test_size))).cast("bigint")))
+    narrow = packed(df.select(label, key, *[c.alias(n) for n, c in buckets.items()]))
+    sizes = materialize(narrow.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
+                        .withColumn("__need", F.ceil(F.col("__n") * F.lit(float(test_size))).cast("bigint")))
     r = narrow.join(F.broadcast(sizes), label)
     # sizes and cuts hold one row per label (a class column), so they are broadcast and no
     # row is exchanged by its label; materialising them keeps the
@@ -63,6 +69,10 @@ def stratified_split(df: DataFrame, label: str = "label", key: str = "order_id",
                Window.partitionBy(label).orderBy(h, key)))
            .where(F.col("__rk") <= F.col("__need") - F.col("__b1_below") - F.col("__b2_below"))
            .select(label, key, F.lit(True).alias("__tie_test")))
+    for path in {os.path.dirname(f) for f in narrow.inputFiles()}:
+        remove(df.sparkSession, path)
+    if tie.count() <= BROADCAST_TIES:
+        tie = F.broadcast(tie)
     out = df.withColumns(buckets)
     for per_label in (sizes, cut1, cut2):
         out = out.join(F.broadcast(per_label), label, "inner" if per_label is sizes else "left")

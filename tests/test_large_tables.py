@@ -163,3 +163,14 @@ def test_leaves_below_the_same_nodes_are_looked_up_once():
     masks = LeafMasks([node(0, 0, 0.5, 1, 2, 0.0, 8.0), node(1, 1, 0.5, 3, 4, 0.0, 6.0), node(2, 0, 0.7, 5, 6, 0.0, 2.0),
                        *[node(k, -1, 0.0, -1, -1, k / 7, c) for k, c in ((3, 2.0), (4, 4.0), (5, 1.0), (6, 1.0))]], 2)
     assert len(masks.lists) == 2 and len(masks.comparisons) == 3
+
+
+def test_split_leaves_its_rows_where_they_are(spark, tmp_path):
+    from lapsewise.operators.sampling import stratified_split
+    from lapsewise.session import packed
+    df = packed(spark.range(0, 200, 1, 2).selectExpr("id order_id", "cast(id % 4 = 0 as int) label", "string(id) s"))
+    split = stratified_split(df)
+    split.collect()
+    text = split._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in text and "Exchange hashpartitioning" not in text
+    assert {f.split(".")[-2] for f in df.inputFiles()} == {"zstd"}
