@@ -174,3 +174,9 @@ def test_split_leaves_its_rows_where_they_are(spark, tmp_path):
     text = split._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in text and "Exchange hashpartitioning" not in text
     assert {f.split(".")[-2] for f in df.inputFiles()} == {"zstd"}
+
+
+def test_frames_of_models_are_not_kept_as_checkpoints(spark):
+    from lapsewise.plans.queries import feature_matrix_train, model_inputs
+    assert "zstd.parquet" in str(model_inputs(spark, SMOKE)[0].inputFiles())
+    assert "zstd.parquet" in str(feature_matrix_train(spark, SMOKE).inputFiles())
